@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 LAST_ID = (1 << 63) - 1
 
 _SHIPPED: set[str] = set()
+#: Bytes of one Arrow batch between the JVM and Python; texts can be very long.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that functions
     pickled by reference import there however the driver's path was set."""
     sc = spark.sparkContext
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -42,7 +42,7 @@ U64 = np.uint64
 #: Longest run of windows in one packed string.
 MAX_RUN = 60
 #: A map task hands over what it has gathered when it reaches so many bytes.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 #: Bloom filter: bits at least, and at most (32 MB on each worker).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 #: Text bytes that feed one bucket, roughly.
@@ -233,7 +233,7 @@ class _Pack:
         at = np.concatenate([[0], np.cumsum(length)])
         index = np.arange(at[-1]) + np.repeat(bs - at[:-1], length)
         self.text.append(text[index])
-        self.cols.append((length, *cols))
+        self.cols.append((length, V.span_hashes(text, bs, be), *cols))
         self.size += int(at[-1]) + 40 * len(bs)
 
 
@@ -261,13 +261,13 @@ def _span_batch(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.nda
 
 def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def hand_over(pack: _Pack) -> Iterator[pa.RecordBatch]:
-        length, key, doc, tag, start, runs = (np.concatenate(c) for c in zip(*pack.cols, strict=True))
+        length, digest, key, doc, tag, start, runs = (np.concatenate(c) for c in zip(*pack.cols, strict=True))
         text = np.concatenate(pack.text)
+        pack.text.clear()
         end = np.cumsum(length)
         begin = end - length
-        digest = V.span_hashes(text, begin, end)
         order = np.lexsort((doc, digest, key))
-        raw = text.tobytes()
+        raw = memoryview(text)
         k, d = key[order], digest[order]
         same = np.append(False, (k[1:] == k[:-1]) & (d[1:] == d[:-1]))
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
