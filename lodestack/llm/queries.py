@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_repeats, superkmer_dedup
+from . import bpe_transducer, fm_quality, scaled_sketch, source_mix, suffix_repeats, superkmer_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_source_mix": source_mix.op1,
         "op2_suffix_array_dedup": suffix_repeats.op2,
+        "op3_token_files": token_files.op3,
+        "op4_bpe_transducer": bpe_transducer.op4,
+        "op6_quality_classifier": fm_quality.op6,
+        "op7_scaled_sketch": scaled_sketch.op7,
         "op9_substring_dedup": superkmer_dedup.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mix": source_mix.OP1_SQL}
