@@ -1,61 +1,147 @@
-"""Texts as words whose byte-level BPE encodings can simply be joined.
+"""Texts as pieces whose byte-level BPE encodings can simply be joined, encoded once each.
 
-The pre-tokenizer of byte-level BPE never spans a single space, or a single line feed, that
-stands between two characters other than white space: the space begins the next pre-token,
-the line feed is one of its own.  So a text is the join of its lines' first words, of later
-words with their space, and of line feeds, and each distinct word is encoded once for each
-worker.  A text with other arrangements of white space is cut only where the rule holds.
+The pre-tokenizer of byte-level BPE always cuts before a single space and around a single
+line feed that stand between characters other than white space, and between a letter and a
+punctuation mark other than an apostrophe.  A :class:`PieceTable` cuts there, keeps the codes
+of pieces it has met in a bounded hash table, and has only new ones encoded.  All but that
+runs in NumPy over many texts at once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-IRREGULAR = re.compile(r"\s\s|^\s|\s$")
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of a worker's cache; it starts anew when full.
-CACHE_ENTRIES = 300_000
+import numpy as np
 
+from . import _vec as V
 
-class PieceCache:
-    """Maps texts to their pieces' codes.  ``encode`` gets a list of distinct pieces and returns
-    a code for each."""
+U64 = np.uint64
+#: Slots of a worker's table; it starts anew when half full.
+SLOTS = 1 << 22
+#: Text whose pieces are looked up together.
+CHUNK = 1 << 20
 
-    def __init__(self, encode: Callable[[list[str]], list]):
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = True
+_PLAIN = np.arange(256) > 32  # neither white space nor a control character
+#: Lead bytes of characters that may be white space (U+0085, U+00A0, U+1680, U+2000 to U+3000).
+_MAYBE2 = np.arange(256) == 0xC2
+_MAYBE3 = np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
+
+
+def cut_points(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sorted positions at which pieces start, those of the texts included."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    pad = np.concatenate([np.zeros(3, np.uint8), text, np.zeros(1, np.uint8)])
+    before, after = pad[2 : n + 2], pad[4 : n + 4]
+    gap = np.flatnonzero((text == 32) | (text == 10))
+    ok = _PLAIN[before[gap]] & _PLAIN[after[gap]] & ~_MAYBE2[pad[gap + 1]] & ~_MAYBE3[pad[gap]] & ~_MAYBE2[after[gap]] & ~_MAYBE3[after[gap]]
+    gap = gap[ok]
+    feeds = gap[text[gap] == 10] + 1
+    cuts = np.zeros(n, bool)
+    cuts[1:] = _LETTER[text[:-1]] & _MARK[text[1:]]
+    cuts[gap] = True
+    cuts[feeds[feeds < n]] = True
+    # a text's first and last byte have no neighbour in another text
+    edges = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    for at in (edges, edges - 1, edges + 1):
+        at = at[(at > 0) & (at < n)]
+        cuts[at] &= _LETTER[text[at - 1]] & _MARK[text[at]]
+    cuts[edges] = True
+    cuts[0] = True
+    return np.flatnonzero(cuts)
+
+
+class PieceTable:
+    """``encode`` gets distinct pieces (str) and returns the ids of each as int32 bytes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
-        self.head: dict[str, object] = {}
-        self.rest: dict[str, object] = {}
-        self.feed = encode(["\n"])[0]
-
-    def _learn(self, known: dict[str, object], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = list(words)
-            known.update(zip(new, self.encode([lead + w for w in new]), strict=True))
-
-    def codes(self, texts: list[str]) -> list[list]:
-        """For each text the codes of its pieces in order (none for an empty text)."""
-        plans: list[list[list[str]]] = []
-        heads: set[str] = set()
-        rests: set[str] = set()
-        for t in texts:
-            lines = [SAFE_CUT.split(t)] if IRREGULAR.search(t) else [x.split(" ") for x in t.split("\n")] if t else []
-            for words in lines:
-                heads.add(words[0])
-                rests.update(words[1:])
-            plans.append(lines)
-        self._learn(self.head, heads, "")
-        self._learn(self.rest, rests, " ")
-        out = []
-        for lines in plans:
-            row: list = []
-            for i, words in enumerate(lines):
-                if i:
-                    row.append(self.feed)
-                row.append(self.head[words[0]])
-                row.extend(map(self.rest.__getitem__, words[1:]))
-            out.append(row)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.key = np.zeros(SLOTS // 2 + CHUNK, U64)
+        self.check = np.zeros(SLOTS // 2 + CHUNK, U64)
+        self.begin = np.zeros(SLOTS // 2 + CHUNK, np.int64)
+        self.count = np.zeros(SLOTS // 2 + CHUNK, np.int32)
+        self.ids = np.zeros(1 << 20, np.int32)
+        self.n = self.used = 0
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), -1, np.int32)
+        left, at = np.arange(len(key)), (key & U64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            e = self.slot[at]
+            hit = (self.key[e] == key[left]) & (self.check[e] == check[left]) & (e >= 0)
+            out[left[hit]] = e[hit]
+            go = (e >= 0) & ~hit
+            left, at = left[go], (at[go] + 1) & (SLOTS - 1)
         return out
+
+    def _insert(self, key: np.ndarray, check: np.ndarray, codes: list[bytes]) -> None:
+        if self.n + len(key) > SLOTS // 2:
+            self._clear()
+        new = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        self.key[new], self.check[new] = key, check
+        count = np.array([len(c) // 4 for c in codes], np.int32)
+        flat = np.frombuffer(b"".join(codes), np.int32)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(flat), self.used), np.int32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[new], self.count[new] = self.used + np.cumsum(count) - count, count
+        self.used += len(flat)
+        self.n += len(key)
+        left, at = new, (key & U64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]  # of several that want a slot one gets it
+            lost = self.slot[at] != left
+            left, at = left[lost], (at[lost] + 1) & (SLOTS - 1)
+
+    def _chunk(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces in order, how many each has)."""
+        key = V.span_hashes(text, start, end)
+        # the first bytes and the length besides the hash
+        pad = np.concatenate([text, np.zeros(8, np.uint8)])
+        head = np.ndarray(len(pad) - 7, "<u8", pad, strides=(1,))[start]
+        size = np.minimum(end - start, 8).astype(U64)
+        check = (head & (~U64(0) >> (U64(64) - size * U64(8)))) ^ ((end - start).astype(U64) << U64(48))
+        found = self._find(key, check)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            _, first = np.unique(key[miss], return_index=True)
+            first = miss[first]
+            raw = text.tobytes()
+            codes = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            fresh = self.n + len(first) > SLOTS // 2
+            self._insert(key[first], check[first], codes)
+            if fresh:  # the table was cleared: learn what it knew of this chunk again
+                return self._chunk(text, start, end)
+            found[miss] = self._find(key[miss], check[miss])
+            if (found < 0).any():  # equal hashes of different pieces: those not taken yet
+                return self._chunk(text, start, end)
+        count = self.count[found]
+        place = np.repeat(self.begin[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return self.ids[place], count
+
+    def codes(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text's ids)."""
+        start = cut_points(text, offsets)
+        end = np.append(start[1:], len(text))
+        ids, counts, at = [], [], 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK)))
+            lo, hi = start[at], end[to - 1]
+            got, n = self._chunk(text[lo:hi], start[at:to] - lo, end[at:to] - lo)
+            ids.append(got)
+            counts.append(n)
+            at = to
+        if not ids:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
+        return np.concatenate(ids), total[np.searchsorted(start, offsets)]

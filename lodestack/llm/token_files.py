@@ -26,20 +26,17 @@ from pyspark.sql.window import Window
 
 from . import _vec as V
 from ._common import documents, id_key, scratch_dir, ship, shuffle_partitions, text_of
-from ._pieces import PieceCache
+from ._pieces import PieceTable
 
 #: Fixed values of the file format.
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10, 1 << 20
-#: Text that is encoded together.
-TOGETHER_BYTES = 512 << 10
-
 SCHEMA = "shard int, row int, doc_id long, n_tokens int, tokens array<int>"
-_CODERS: dict[str, PieceCache] = {}
+_CODERS: dict[str, PieceTable] = {}
 
 
-def coder(path: str) -> PieceCache:
-    """The tokenizers file at ``path`` behind a worker's cache of pieces; codes are int32 bytes."""
+def coder(path: str) -> PieceTable:
+    """The tokenizers file at ``path`` behind a worker's table of pieces."""
     if path not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,27 +52,27 @@ def coder(path: str) -> PieceCache:
             for a in range(0, len(plain), 4096):  # joined by line feeds: one call for many pieces
                 part = plain[a : a + 4096]
                 x = ids("\n".join(part))
-                cuts = np.flatnonzero(x == feed[0]) if len(feed) == 1 else np.zeros(0, int)
+                cuts = np.flatnonzero(x == feed[0]).tolist() if len(feed) == 1 else []
                 if len(cuts) == len(part) - 1:
-                    found |= {p: y[y != feed[0]].tobytes() for p, y in zip(part, np.split(x, cuts), strict=True)}
+                    raw = x.tobytes()
+                    found.update(zip(part, [raw[4 * i : 4 * j] for i, j in zip([0, *(c + 1 for c in cuts)], [*cuts, len(x)], strict=True)], strict=True))
             return [found[p] if p in found else ids(p).tobytes() for p in pieces]
 
-        _CODERS[path] = PieceCache(encode)
+        _CODERS[path] = PieceTable(encode)
     return _CODERS[path]
 
 
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = np.array([END_ID], np.int32).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, row = coder(path), 0
+        table, row = coder(path), 0
         for rb in batches:
-            _, off = V.buffers(rb.column("text"))
-            for a, b in V.slices(off, TOGETHER_BYTES):
+            text, off = V.buffers(rb.column("text"))
+            for a, b in V.slices(off):
                 size = b - a
-                raw = [b"".join(x) + end for x in cache.codes(rb.column("text").slice(a, size).to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                ids, at = table.codes(text[off[a] : off[b]], off[a : b + 1] - off[a])
+                ids = np.insert(ids, at[1:], END_ID)
+                offsets = (at + np.arange(size + 1)).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [rb.column("shard").slice(a, size), pa.array(np.arange(row, row + size, dtype=np.int32)), rb.column("doc_id").slice(a, size), pa.array(np.diff(offsets)), tokens],
                     ["shard", "row", "doc_id", "n_tokens", "tokens"],
