@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,11 +33,10 @@ from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._common import documents, ship, text_of
-from ._pieces import PieceCache
+from ._pieces import PieceTable
 
 #: States held at a time.
 MAX_STATES = 200_000
-TOGETHER_BYTES = 512 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +54,8 @@ class Transducer:
         self.token = {r: t for t, r in ranks.items()}
         self.inner = {t[:i] for t in ranks for i in range(1, len(t))}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int]] = {}
+        self._whole: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -69,31 +71,64 @@ class Transducer:
             self._next.append({})
         return n
 
-    def merge(self, text: bytes) -> list[int]:
-        """Plain merging: always the adjacent pair of least rank, the leftmost of equals."""
+    def merge(self, text: bytes, below: int = 1 << 60) -> list[int]:
+        """Plain merging: always the adjacent pair of least rank, the leftmost of equals; ranks
+        from ``below`` on don't merge."""
         parts = [text[i : i + 1] for i in range(len(text))]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def whole(self, t: int) -> bool:
+        """Whether a token is the encoding of its own bytes."""
+        got = self._whole.get(t)
+        if got is None:
+            got = self._whole[t] = self.merge(self.token[t]) == [t]
+        return got
+
+    def halves(self, t: int) -> tuple[int, int]:
+        """The two tokens whose merge made ``t``; a byte is its own halves."""
+        got = self._halves.get(t)
+        if got is None:
+            parts = self.merge(self.token[t], below=t)
+            got = self._halves[t] = (parts[0], parts[1]) if len(parts) == 2 else (t, t)
+        return got
+
     def fits(self, a: int, b: int) -> bool:
-        """Whether the tokens a, b side by side are what their bytes merge to."""
+        """Whether the tokens a, b side by side are what their bytes merge to.  The merges at
+        the border are undone from the last one back; if at some point the two parts beside it
+        form a token that merges before what was undone, the border would not have lasted."""
         got = self._fits.get((a, b))
         if got is None:
             if len(self._fits) > 4 * MAX_STATES:
                 self._fits.clear()
-            got = self._fits[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            got = self._fits[a, b] = self._lasts(a, b)
         return got
 
+    def _lasts(self, a: int, b: int) -> bool:
+        left, right, bound = a, b, 1 << 60  # a merge across the border of a rank below bound comes first
+        while True:
+            across = self.ranks.get(self.token[left] + self.token[right])
+            if across is not None and across < bound:
+                return False
+            (_, l_in), (r_in, _) = self.halves(left), self.halves(right)
+            l_whole, r_whole = len(self.token[left]) == 1, len(self.token[right]) == 1
+            if l_whole and r_whole:
+                return True
+            if r_whole or (not l_whole and left > right):
+                left, bound = l_in, left  # merges left of the border win ties
+            else:
+                right, bound = r_in, right + 1
+
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         paths = []
         for open_, last, tail in self._states[state]:
             x = open_ + bytes((byte,))
             t = self.ranks.get(x)
-            if t is not None and (self.fits(last, t) if last >= 0 else self.merge(x) == [t]):
+            if t is not None and (last < 0 or self.fits(last, t)) and self.whole(t):
                 paths.append((b"", t, (*tail, t)))
             if x in self.inner:
                 paths.append((x, last, tail))
@@ -169,18 +204,18 @@ def decode_stream(tokens: Iterable[int], table: dict[int, bytes], block: int = 4
     yield out.close()
 
 
-_CODERS: dict[tuple[str, str], tuple[PieceCache, list[bytes]]] = {}
+_CODERS: dict[tuple[str, str], tuple[PieceTable, list[bytes]]] = {}
 
 
-def coder(path: str, pattern: str) -> tuple[PieceCache, list[bytes]]:
-    """A worker's cache of pieces over the transducer (codes: int32 bytes), and the tokens."""
+def coder(path: str, pattern: str) -> tuple[PieceTable, list[bytes]]:
+    """A worker's table of pieces over the transducer, and the bytes of each token."""
     if (path, pattern) not in _CODERS:
         fst, split = Transducer(read_ranks(path)), regex.compile(pattern)
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array([i for p in split.findall(piece) for i in fst.run(p.encode())], np.int32).tobytes() for piece in pieces]
+            return [array("i", [i for p in split.findall(piece) for i in fst.run(p.encode())]).tobytes() for piece in pieces]
 
-        _CODERS[path, pattern] = PieceCache(encode), [fst.token.get(i, b"") for i in range(max(fst.token) + 1)]
+        _CODERS[path, pattern] = PieceTable(encode), [fst.token.get(i, b"") for i in range(max(fst.token) + 1)]
     return _CODERS[path, pattern]
 
 
@@ -189,25 +224,24 @@ _SCHEMA = "doc_id long, tokens array<int>"
 
 def _rows(path: str, pattern: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, table = coder(path, pattern)
+        pieces, table = coder(path, pattern)
         names = [str(i).encode() for i in range(len(table))] if digest else []
         for rb in batches:
-            _, off = V.buffers(rb.column("text"))
-            for a, b in V.slices(off, TOGETHER_BYTES):
-                raw = [b"".join(x) for x in cache.codes(rb.column("text").slice(a, b - a).to_pylist())]
+            text, off = V.buffers(rb.column("text"))
+            for a, b in V.slices(off):
+                all_ids, at = pieces.codes(text[off[a] : off[b]], off[a : b + 1] - off[a])
                 doc = rb.column("doc_id").slice(a, b - a)
                 if not digest:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))], ["doc_id", "tokens"])
+                    yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(all_ids))], ["doc_id", "tokens"])
                     continue
                 n, ids_sha, text_sha = [], [], []
-                for x in raw:
-                    ids = np.frombuffer(x, np.int32).tolist()
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    ids = all_ids[lo:hi].tolist()
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest())
                     sha, stream = hashlib.sha256(), Utf8Stream()
-                    for at in range(0, len(ids), 4096):
-                        sha.update(stream.feed(b"".join(map(table.__getitem__, ids[at : at + 4096]))).encode())
+                    for i in range(0, len(ids), 4096):
+                        sha.update(stream.feed(b"".join(map(table.__getitem__, ids[i : i + 4096]))).encode())
                     sha.update(stream.close().encode())
                     text_sha.append(sha.hexdigest())
                 yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
