@@ -1,23 +1,56 @@
-"""The corpus pipeline: stages in order, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages in order, each over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``docs``.  Null and empty texts pass through: they are scored like others, are
+never near duplicates, have nothing to cut, take no part in the mix and so end there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import suffix_repeats
+from lodestack.llm import bpe_transducer, fm_quality, near_join, source_mix, suffix_repeats
 from lodestack.llm._common import documents, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, trained on the folder's labels, rejects go."""
+    machine = fm_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return fm_quality.score(docs, machine).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents chained by a similarity of 0.8 or more the one with the least doc_id stays."""
+    return near_join.keep_first(docs)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that an earlier document has go."""
+    """Bytes in 50-byte windows that an earlier document has are cut from the text."""
     return suffix_repeats.remove_repeats(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("suffix-array dedup", cut_repeats)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as the mix of sources (weights 1, 2, 3) takes them."""
+    return source_mix.mixed(docs, source_mix.ramped((1, 2, 3)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and token ids of every row."""
+    return bpe_transducer.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding", encode),
+]
 
 #: The stages train a model and sort suffixes, which SQL can't express.
 ORACLE_SQL: str | None = None
