@@ -16,7 +16,7 @@ LAST_ID = (1 << 63) - 1
 
 _SHIPPED: set[str] = set()
 #: Bytes of one Arrow batch between the JVM and Python; texts can be very long.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -42,7 +42,7 @@ U64 = np.uint64
 #: Longest run of windows in one packed string.
 MAX_RUN = 60
 #: A map task hands over what it has gathered when it reaches so many bytes.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 #: Bloom filter: bits at least, and at most (32 MB on each worker).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 #: Text bytes that feed one bucket, roughly.
@@ -188,6 +188,7 @@ def _census(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     held = 0
         if parts:
             yield hand_over(parts)
+        V.trim()
 
     return run
 
@@ -333,6 +334,7 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     pack = _Pack()
         if pack.cols:
             yield from hand_over(pack)
+        V.trim()
 
     return run
 
@@ -398,6 +400,7 @@ def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             yield from bucket(rows)
+        V.trim()
 
     return run
 

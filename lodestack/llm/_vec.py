@@ -8,13 +8,15 @@ callers compare the text itself.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are expanded into 8-byte arrays at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,13 +63,30 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Text after which a worker gives freed memory back.
+TRIM_BYTES = 8 << 20
+_handled = 0
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system, as workers live on from task to task."""
+    with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts take up to ``limit`` bytes together (one row at least)."""
+    global _handled
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to
         at = to
+    _handled += int(offsets[-1])
+    if _handled > TRIM_BYTES:
+        trim()
+        _handled = 0
 
 
 def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -172,6 +172,7 @@ def _links(threshold: float) -> object:
                 held.append(row)
         if held:
             yield done(now, held)
+        V.trim()
 
     return run
 
