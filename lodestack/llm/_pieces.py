@@ -17,9 +17,9 @@ from . import _vec as V
 
 U64 = np.uint64
 #: Slots of a worker's table; it starts anew when half full.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Text whose pieces are looked up together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -67,7 +67,7 @@ class PieceTable:
         self.slot = np.full(SLOTS, -1, np.int32)
         self.key = np.zeros(SLOTS // 2 + CHUNK, U64)
         self.check = np.zeros(SLOTS // 2 + CHUNK, U64)
-        self.begin = np.zeros(SLOTS // 2 + CHUNK, np.int64)
+        self.begin = np.zeros(SLOTS // 2 + CHUNK, np.int32)
         self.count = np.zeros(SLOTS // 2 + CHUNK, np.int32)
         self.ids = np.zeros(1 << 20, np.int32)
         self.n = self.used = 0

@@ -42,7 +42,7 @@ U64 = np.uint64
 #: Longest run of windows in one packed string.
 MAX_RUN = 60
 #: A map task hands over what it has gathered when it reaches so many bytes.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 #: Bloom filter: bits at least, and at most (32 MB on each worker).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 #: Text bytes that feed one bucket, roughly.
@@ -383,8 +383,8 @@ def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], I
         np.minimum.at(least, owner, docs)
         base = np.concatenate([[0], np.cumsum(run)])
         low = solver(list(index), key, run, least)
-        for a in range(0, len(owner), 200_000):  # bounds what is expanded at a time
-            o, d, t, s = owner[a : a + 200_000], docs[a : a + 200_000], tags[a : a + 200_000], starts[a : a + 200_000]
+        for a in range(0, len(owner), 40_000):  # bounds what is expanded at a time
+            o, d, t, s = owner[a : a + 40_000], docs[a : a + 40_000], tags[a : a + 40_000], starts[a : a + 40_000]
             n = run[o]
             row = np.repeat(np.arange(len(o)), n)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)

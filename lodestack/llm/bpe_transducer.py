@@ -36,7 +36,7 @@ from ._common import documents, ship, text_of
 from ._pieces import PieceTable
 
 #: States held at a time.
-MAX_STATES = 200_000
+MAX_STATES = 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,7 +103,7 @@ class Transducer:
         form a token that merges before what was undone, the border would not have lasted."""
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 4 * MAX_STATES:
+            if len(self._fits) > 2 * MAX_STATES:
                 self._fits.clear()
             got = self._fits[a, b] = self._lasts(a, b)
         return got

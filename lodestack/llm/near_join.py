@@ -121,7 +121,7 @@ def overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
     row, column = row[shared], column[shared]
     split = n if first == n else first
     out = np.zeros((split, n if first == n else n - first), np.float32)
-    step = max(256, (1 << 22) // n)
+    step = max(256, (1 << 20) // n)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, [c, c + step])
         x = np.zeros((n, step), np.float32)

@@ -30,7 +30,7 @@ from ._common import documents
 U64 = np.uint64
 K, M = 50, 16
 #: Bytes of strings under one suffix array.
-ARRAY_BYTES = 1 << 19
+ARRAY_BYTES = 1 << 18
 #: left_of of a suffix that starts its string, and of an interval with several left symbols.
 DIVERSE = 256
 
