@@ -15,6 +15,8 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
 FENCE = re.compile(r"\s{0,3}(?:```|~~~)")
 FIELD = re.compile(r"([A-Za-z_][\w-]*):\s*(.*)$")
@@ -169,6 +171,7 @@ def chunk_files(files: DataFrame, min_words: int = 60, target_words: int = 500,
                 rows += [{"corpus": corpus, "rel": rel, "path": path, "title": title(meta, parts, rel), "ordinal": i, **c} for i, c in enumerate(found)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("corpus", "rel", "path", "text").mapInPandas(run, CHUNK_SCHEMA)
 
 
