@@ -17,7 +17,7 @@ from . import _vec as V
 
 U64 = np.uint64
 #: Slots of a worker's table; it starts anew when half full.
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 #: Text whose pieces are looked up together.
 CHUNK = 1 << 19
 
