@@ -217,9 +217,9 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, **plan: int) -> Data
     kept even if nothing of its text stays."""
     fields = [c for c in docs.columns if not c.startswith("__ls_")]
     rows = repeated_bytes(docs, k, m, **plan).select(*fields, S.SPANS)
-    # only rows with something to cut pass through Python
-    new = F.pandas_udf(_cut_column, "string")
-    cut = rows.withColumn("text", F.when(F.col(S.SPANS).isNotNull(), new("text", S.SPANS)).otherwise(F.col("text")))
+    # a Python function runs for every row, whatever the branch, so other rows send it a null
+    new = F.pandas_udf(_cut_column, "string")(F.when(F.col(S.SPANS).isNotNull(), F.col("text")), F.col(S.SPANS))
+    cut = rows.withColumn("text", F.when(F.col(S.SPANS).isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in fields:
         cut = cut.withColumn("n_chars", F.when(F.col(S.SPANS).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*fields)
