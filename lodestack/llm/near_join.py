@@ -3,7 +3,8 @@
 Texts are sets of five-word shingles; two are linked if the sets' Jaccard similarity is 0.8
 or more.
 
-1. Texts with equal sets are one class; all that follows runs on one text of each class.
+1. Texts with equal sets are one class; all that follows runs on one text of each class.  A
+   class has a number of its own, as a doc_id may be null or name several texts.
 2. A class gets a signature of ``TREES`` labels, each a sequence of MinHash values, and every
    label is a path in its tree, a prefix trie.  Matched prefixes are shortened from
    ``MAX_DEPTH`` until a pair at the threshold meets in some tree with probability ``RECALL``;
@@ -17,8 +18,9 @@ A family that is very large is verified in ever more block pairs, each of bounde
 
 Edge cases: null and empty texts, and texts of white space, have no links and are classes of
 their own; a text under five words has one shingle; a null doc_id comes last and appears as
-null; rows that repeat a doc_id and text are copies of it; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+null; rows that share a doc_id but not the text are texts like any others; rows that repeat
+a doc_id and text are copies of it, of which one stays; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
@@ -103,7 +105,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, at = _sets(text[off[a] : off[b]], off[a : b + 1] - off[a])
             sets = [h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             part = rb.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("family"), part.column("blocks"), pa.array(sets, pa.binary())], ["key", "family", "blocks", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("family"), part.column("blocks"), pa.array(sets, pa.binary())], ["cls", "family", "blocks", "items"])
 
 
 def overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
@@ -157,9 +159,9 @@ def _links(threshold: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(now: tuple, held: list[dict]) -> pa.RecordBatch:
             _, i, j = now
-            rows = [(r["key"], r["items"]) for r in held if r["own"] == i]
-            got = group(rows, [] if i == j else [(r["key"], r["items"]) for r in held if r["own"] == j])
-            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([x[0] for x in got.values()], pa.int64()), pa.array([x[1] for x in got.values()], pa.int64()), pa.array([held[0]["blocks"] > 1] * len(got))], ["key", "links", "link_to", "split"])
+            rows = [(r["cls"], r["items"]) for r in held if r["own"] == i]
+            got = group(rows, [] if i == j else [(r["cls"], r["items"]) for r in held if r["own"] == j])
+            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([x[0] for x in got.values()], pa.int64()), pa.array([x[1] for x in got.values()], pa.int64()), pa.array([held[0]["blocks"] > 1] * len(got))], ["cls", "links", "link_to", "split"])
 
         now, held = None, []
         for rb in batches:
@@ -177,49 +179,68 @@ def _links(threshold: float) -> object:
     return run
 
 
+def _tag() -> Column:
+    """Tells the texts of one doc_id (or of none) apart."""
+    return F.xxhash64(text_of())
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK) -> DataFrame:
-    """(key, tag, class_id, class_tag, n_links, n_copies) for every row of ``docs`` (doc_id, text):
+    """(key, tag, class_id, n_links, n_copies, first) for every row of ``docs`` (doc_id, text):
     class_id is the least doc_id key that chains of links lead to, n_links the number of other
-    texts within the threshold, n_copies the documents with the same shingles."""
+    texts within the threshold, n_copies the documents with the same shingles; ``first`` are
+    the rows of the one text (tag) that stands for all that are chained."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(id_key().alias("key"), F.hash(text_of()).alias("tag"), text_of().alias("text"))
-    signed = staged(rows.mapInArrow(_signatures(depth_for(threshold, recall, trees), trees), "key long, tag int, low long, high long, n long, nodes array<long>"))
-    classes = staged(signed.where("n > 0").groupBy("low", "high").agg(F.min(F.struct("key", "tag")).alias("rep"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")))
+    rows = docs.select(id_key().alias("key"), _tag().alias("tag"), text_of().alias("text"))
+    signed = staged(rows.mapInArrow(_signatures(depth_for(threshold, recall, trees), trees), "key long, tag long, low long, high long, n long, nodes array<long>"))
+    classes = signed.where("n > 0").groupBy("low", "high").agg(F.min(F.struct("key", "tag")).alias("rep"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
+    classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()))
     # star edges from each node's classes to its least one
-    seen = classes.select(F.col("rep.key").alias("a"), F.explode("nodes").alias("node"))
+    seen = classes.select(F.col("cls").alias("a"), F.explode("nodes").alias("node"))
     least = seen.groupBy("node").agg(F.min("a").alias("b"), F.count("*").alias("size")).where("size > 1").select("node", "b")
     families = components(seen.join(least, "node").where("a <> b").select("a", "b"))
     sizes = families.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    tags = classes.select(F.col("rep.key").alias("vertex"), F.col("rep.tag").alias("rep_tag"))
-    members = staged(families.join(sizes, "root").join(tags, "vertex").select(F.col("vertex").alias("key"), F.col("rep_tag").alias("tag"), F.col("root").alias("family"), "blocks"))
-    text = rows.join(_small(members), ["key", "tag"]).dropDuplicates(["key"])
-    items = text.select("key", "family", "blocks", "text").mapInArrow(_shingles, "key long, family long, blocks int, items binary").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    reps = classes.select("cls", "rep.key", "rep.tag")
+    members = staged(families.join(sizes, "root").select(F.col("vertex").alias("cls"), F.col("root").alias("family"), "blocks").join(reps, "cls"))
+    text = rows.join(_small(members), ["key", "tag"]).dropDuplicates(["cls"])
+    items = text.select("cls", "family", "blocks", "text").mapInArrow(_shingles, "cls long, family long, blocks int, items binary").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    pairs = items.withColumn("p", F.explode(pair)).select("family", "p.i", "p.j", "own", "blocks", "key", "items")
-    linked = staged(pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "key").mapInArrow(_links(threshold), "key long, links long, link_to long, split boolean"))
-    degree = linked.groupBy("key").agg(F.sum("links").alias("n_links"), F.min("link_to").alias("near"))
-    chains = components(linked.where("split and key <> link_to").select(F.col("key").alias("a"), F.col("link_to").alias("b")))
-    root = degree.join(chains, F.col("key") == F.col("vertex"), "left").select("key", "n_links", F.coalesce("root", "near").alias("class_id"))
-    named = classes.select("low", "high", "copies", F.col("rep.key").alias("key"), F.col("rep.tag").alias("rep_tag")).join(root, "key", "left")
-    named = named.select("low", "high", "copies", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("class_id").isNull() | (F.col("class_id") == F.col("key"))).alias("leads"), "rep_tag")
+    pairs = items.withColumn("p", F.explode(pair)).select("family", "p.i", "p.j", "own", "blocks", "cls", "items")
+    linked = staged(pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cls").mapInArrow(_links(threshold), "cls long, links long, link_to long, split boolean"))
+    degree = linked.groupBy("cls").agg(F.sum("links").alias("n_links"), F.min("link_to").alias("near"))
+    chains = components(linked.where("split and cls <> link_to").select(F.col("cls").alias("a"), F.col("link_to").alias("b")))
+    root = staged(degree.join(chains, F.col("cls") == F.col("vertex"), "left").select("cls", "n_links", F.coalesce("root", "near").alias("chain")).join(members.select("cls", "key", "tag"), "cls"))
+    head = root.groupBy("chain").agg(F.min(F.struct("key", "tag", "cls")).alias("head"))
+    root = root.join(head, "chain").select("cls", "n_links", F.col("head.key").alias("class_id"), (F.col("head.cls") == F.col("cls")).alias("leads"))
+    named = classes.select("low", "high", "copies", "rep", "cls").join(root, "cls", "left")
+    named = named.select("low", "high", "copies", "rep", F.coalesce("class_id", "rep.key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("leads", F.lit(True)).alias("leads"))
     out = signed.where("n > 0").select("key", "tag", "low", "high").join(named, ["low", "high"])
-    first = F.col("leads") & (F.col("key") == F.col("class_id")) & (F.col("tag") == F.col("rep_tag"))
+    first = F.col("leads") & (F.col("key") == F.col("rep.key")) & (F.col("tag") == F.col("rep.tag"))
     out = out.select("key", "tag", "class_id", "n_links", F.col("copies").alias("n_copies"), first.alias("first"))
     bare = signed.where("n = 0").select("key", "tag", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("first"))
     return out.union(bare)
 
 
 def keep_first(docs: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller doc_id."""
+    """One row of ``docs`` for all that chains of links lead to: that of the least doc_id (of
+    several texts under it the one of the least tag, of repeated rows the one of the least hash).
+    Texts without words all stay."""
     cols = docs.columns
-    gone = staged(near_duplicates(docs, **options).where("not first").select(F.col("key").alias("__ls_key"), F.col("tag").alias("__ls_tag")).distinct())
-    keyed = docs.select(*cols, id_key().alias("__ls_k"), F.hash(text_of()).alias("__ls_t"))
-    return keyed.join(_small(gone), (F.col("__ls_k") == F.col("__ls_key")) & (F.col("__ls_t") == F.col("__ls_tag")), "left_anti").select(*cols)
+    marks = near_duplicates(docs, **options).where("not first or n_copies > 1").groupBy(F.col("key").alias("__ls_key"), F.col("tag").alias("__ls_tag"))
+    marks = staged(marks.agg(F.max("first").alias("__ls_first"), F.count("*").alias("__ls_rows")).where("not __ls_first or __ls_rows > 1"))
+    keyed = docs.select(*cols, id_key().alias("__ls_k"), _tag().alias("__ls_t"))
+    on = (F.col("__ls_k") == F.col("__ls_key")) & (F.col("__ls_t") == F.col("__ls_tag"))
+    kept = keyed.join(_small(marks), on, "left_anti").select(*cols)
+    again = marks.where("__ls_first")
+    if again.isEmpty():
+        return kept
+    # merged in map tasks, so that a row repeated very often doesn't gather in one task
+    one = keyed.join(_small(again), on).groupBy("__ls_key", "__ls_tag").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("__ls_row"))
+    return kept.union(one.select(*(F.col("__ls_row")[c].alias(c) for c in cols)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,30 @@ def test_against_all_pairs(spark, block):
     assert sorted(set(ids)) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_null_and_repeated_ids(spark, block):
+    words = lambda name, *swaps: " ".join("x" if i in swaps else f"{name}{i}" for i in range(100))
+    rows = [
+        *((None, words("a", *s)) for s in ((), (3,), (97,))),  # near copies, all without id
+        (7, words("b")), (None, words("b", 98)),  # one near a document with an id
+        *((None, words(n)) for n in "cdefgh"),  # unrelated
+        *[(None, words("i"))] * 3,  # exact copies without id
+        (9, words("j")), (9, words("j", 50)), (9, words("k")), (9, words("k")),  # an id of several texts
+        (None, ""), (None, ""), (None, None),
+    ]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string").repartition(5)
+    kept = [(r.doc_id, r.text) for r in near_join.keep_first(df, block=block).collect()]
+    assert sum(t in {words("a", *s) for s in ((), (3,), (97,))} for _, t in kept) == 1
+    assert sum(t in {words("j"), words("j", 50)} for _, t in kept) == 1
+    rest = [(d, t) for d, t in kept if not t or t[0] not in "aj"]
+    key = lambda r: (r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(rest, key=key) == sorted([(7, words("b")), (9, words("k")), *((None, words(n)) for n in "cdefghi"), (None, ""), (None, ""), (None, None)], key=key)
+    got = sorted((r.class_id, r.n_links, r.n_copies) for r in near_join.near_duplicates(df, block=block).collect())
+    last = near_join.LAST_ID
+    want = [(7, 1, 1)] * 2 + [(9, 1, 1)] * 2 + [(9, 0, 2)] * 2 + [(last, 2, 1)] * 3 + [(last, 0, 1)] * 9 + [(last, 0, 3)] * 3
+    assert got == sorted(want)
+
+
 def test_depth_reaches_the_recall():
     d = near_join.depth_for()
     assert 1 - (1 - 0.8**d) ** near_join.TREES >= near_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_join.TREES
