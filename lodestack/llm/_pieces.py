@@ -9,7 +9,8 @@ runs in NumPy over many texts at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -56,11 +57,23 @@ def cut_points(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cuts)
 
 
+def spans_of(words: list[bytes], text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(start, end) of the leftmost longest matches of ``words`` in each text."""
+    raw = text.tobytes()
+    if not any(w in raw for w in words):
+        return np.zeros((0, 2), np.int64)
+    find = re.compile(b"|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))).finditer
+    at = offsets.tolist()
+    return np.array([m.span() for a, b in zip(at[:-1], at[1:], strict=True) for m in find(raw, a, b)], np.int64).reshape(-1, 2)
+
+
 class PieceTable:
-    """``encode`` gets distinct pieces (str) and returns the ids of each as int32 bytes."""
+    """``encode`` gets distinct pieces (str) and returns the ids of each as int32 bytes.  Where
+    a text holds one of ``words``, that is a piece, and what stands beside it is cut like a text."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], words: Sequence[str] = ()):
         self.encode = encode
+        self.words = [w.encode() for w in words]
         self._clear()
 
     def _clear(self) -> None:
@@ -131,7 +144,13 @@ class PieceTable:
 
     def codes(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's ids)."""
-        start = cut_points(text, offsets)
+        spans = spans_of(self.words, text, offsets) if self.words else ()
+        if len(spans):
+            start = cut_points(text, np.union1d(offsets, spans))
+            nth = np.searchsorted(spans[:, 0], start) - 1  # the last match that starts before
+            start = start[(nth < 0) | (start >= spans[nth, 1])]
+        else:
+            start = cut_points(text, offsets)
         end = np.append(start[1:], len(text))
         ids, counts, at = [], [], 0
         while at < len(start):

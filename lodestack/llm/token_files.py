@@ -7,6 +7,10 @@ delta-encoded; row groups and pages are kept small and carry a page index, so a
 wants a few documents, or only the counts, touches only those pages.  Spark's writer commits
 files, so a lost executor leaves no half-written ones.
 
+A text may hold the string of one of the file's added tokens, such as <|endoftext|>.  With
+``added`` it gets that token's id, as the library does unless told otherwise, and as ``op3``
+does; without, it is ordinary text where the token is a special one.
+
 Edge cases: null and empty texts hold the end id alone; a null doc_id sorts last; rows that
 repeat a doc_id are ordered by a hash of their text; an empty table gives an empty folder and
 result; columns other than doc_id and text are not read.
@@ -32,22 +36,27 @@ from ._pieces import PieceTable
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10, 1 << 20
 SCHEMA = "shard int, row int, doc_id long, n_tokens int, tokens array<int>"
-_CODERS: dict[str, PieceTable] = {}
+_CODERS: dict[tuple[str, bool], PieceTable] = {}
 
 
-def coder(path: str) -> PieceTable:
+def coder(path: str, added: bool = False) -> PieceTable:
     """The tokenizers file at ``path`` behind a worker's table of pieces."""
-    if path not in _CODERS:
+    if (path, added) not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        tok.encode_special_tokens = not added
+        tokens = list(tok.get_added_tokens_decoder().values()) if added else []
+        if any(t.single_word or t.lstrip or t.rstrip for t in tokens) or (tokens and tok.normalizer):
+            raise ValueError(f"{path}: added tokens that depend on what is beside them can't be cut from texts")
+        words = [t.content for t in tokens]
+        joins = not any("\n" in w for w in words)
         ids = lambda t: np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int32)
         feed = ids("\n")
 
         def encode(pieces: list[str]) -> list[bytes]:
-            plain = [p for p in pieces if "\n" not in p and p.strip() == p.lstrip(" ") and p.strip()]
+            plain = [p for p in pieces if joins and "\n" not in p and p.strip() == p.lstrip(" ") and p.strip()]
             found: dict[str, bytes] = {}
             for a in range(0, len(plain), 4096):  # joined by line feeds: one call for many pieces
                 part = plain[a : a + 4096]
@@ -58,13 +67,13 @@ def coder(path: str) -> PieceTable:
                     found.update(zip(part, [raw[4 * i : 4 * j] for i, j in zip([0, *(c + 1 for c in cuts)], [*cuts, len(x)], strict=True)], strict=True))
             return [found[p] if p in found else ids(p).tobytes() for p in pieces]
 
-        _CODERS[path] = PieceTable(encode)
-    return _CODERS[path]
+        _CODERS[path, added] = PieceTable(encode, words)
+    return _CODERS[path, added]
 
 
-def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, added: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, row = coder(path), 0
+        table, row = coder(path, added), 0
         for rb in batches:
             text, off = V.buffers(rb.column("text"))
             for a, b in V.slices(off):
@@ -82,7 +91,7 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None = None, added: bool = False) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizers file ``tokenizer`` into folder ``path``.
     The tokenizer file must be at that path on every executor."""
     spark = docs.sparkSession
@@ -91,7 +100,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.repartitionByRange(n, id_key(), F.hash("text")).sortWithinPartitions(id_key(), F.hash("text"))
     rows = rows.withColumn("shard", F.spark_partition_id())
-    out = rows.mapInArrow(_encode(tokenizer), SCHEMA).write
+    out = rows.mapInArrow(_encode(tokenizer, added), SCHEMA).write
     options = {
         "compression": "zstd",
         "parquet.block.size": ROW_GROUP_BYTES,
@@ -137,7 +146,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_dir(spark)
-    write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, added=True)
     ship(spark)
     rows = read_tokens(spark, path).mapInArrow(_crc, "shard int, row int, doc_id long, n_tokens long, ids_crc32 long")
     return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -112,6 +112,26 @@ def test_token_files(spark, docs, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan and "tokens:array" not in plan.split("ReadSchema")[-1]
 
 
+def test_added_tokens_as_in_the_library(spark, tmp_path):
+    rng = random.Random(11)
+    end = "<|endoftext|>"
+    texts = ["a b <|endoftext|> x", end, end * 3, f"x{end}y", f"a\n{end}\nb", f"  {end}  x", f"it{end}'s", "<|endof", "text|> a", f"<|endoftext{end}|> <|endoftext|", "plain text", "", None]
+    texts += ["".join(rng.choice([end, end[:7], end[7:], " ", "\n", "a", "é", "'s", "!", "\t", " b"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, T.END_ID] for i, t in enumerate(texts)}
+    assert want[0] == [64, 275, 220, 50256, 2124, T.END_ID]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    (tmp_path / "sf").mkdir()
+    df.coalesce(1).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    import numpy as np
+
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in T.op3(spark, str(tmp_path / "sf")).collect()}
+    start = 0
+    for i, ids in want.items():
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[i]
+        start += len(ids)
+
+
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     T.write_tokens(empty, P.path("byte_bpe_50k.json"), str(tmp_path / "none"))
