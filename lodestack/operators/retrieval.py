@@ -6,15 +6,20 @@ queries is broadcast only if it has few rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import ship
 
 BROADCAST_ROWS = 100_000
+#: Vectors of a block; a task holds a block of queries and one of vectors at a time.
+VECTOR_BLOCK = 1024
 FIELD_WEIGHTS = {"heading": 2.0, "body": 1.0, "path": 0.5}
 
 
@@ -80,6 +85,51 @@ def knn(vectors: DataFrame, queries: DataFrame, pool: int, digits: int = 6) -> D
     return ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
 
 
+def _blocks(rows: DataFrame, id_: str, name: str) -> DataFrame:
+    """Rows (id, vec) in blocks of about ``VECTOR_BLOCK``, for each dimension by itself."""
+    n = max(1, -(-rows.count() // VECTOR_BLOCK))
+    cut = rows.where(F.col("vec").isNotNull()).groupBy(F.size("vec").alias(f"{name}_dim"), F.pmod(F.xxhash64(id_, "vec"), F.lit(n)).alias(f"{name}_block"))
+    return cut.agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col("vec").cast("array<double>").alias("vec"))).alias(name))
+
+
+def _nearest(pool: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def part(rows: pa.ListScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = rows.values.field("id").to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], rows.values.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i in range(rb.num_rows):
+                dim = rb.column("q_dim")[i].as_py()
+                if dim != rb.column("v_dim")[i].as_py():
+                    continue
+                (asked, q), (ids, v) = part(rb.column("q")[i], dim), part(rb.column("v")[i], dim)
+                score = np.round(q @ v.T, digits) + 0.0
+                # of each query those that reach its pool-th best score, then the first of them by id
+                k = min(pool, len(ids))
+                row, col = np.nonzero(score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None])
+                order = np.lexsort((col, -score[row, col], row))
+                row, col = row[order], col[order]
+                few = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[few], col[few]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(score[row, col])], ["query_id", "id", "score"])
+
+    return run
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, pool: int, digits: int = 6) -> DataFrame:
+    """As :func:`knn`, for queries that grow with the table: blocks of queries against blocks of
+    vectors, each pair of which returns ``pool`` rows for each of its queries at most."""
+    ship(vectors.sparkSession)
+    v = _blocks(vectors.select("id", "vec"), "id", "v")
+    q = _blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "vec"), "query_id", "q")
+    pairs = v.crossJoin(q).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v_dim", "v_block", "q_dim", "q_block")
+    scored = pairs.select("v_dim", "v", "q_dim", "q").mapInArrow(_nearest(pool, digits), "query_id long, id long, score double")
+    out = ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
+    return out.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+
+
 def rrf(lanes: Sequence[tuple[DataFrame, Column]], k: int = 20, digits: int = 9) -> DataFrame:
     """Weighted reciprocal-rank fusion of lanes (query_id, id, score): a lane that lacks an id
     adds nothing.  Returns query_id, id, score, rank_1, rank_2, ..., ordered by rank."""

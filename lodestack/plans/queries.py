@@ -48,6 +48,12 @@ def query_vectors(spark: SparkSession, sf: str, n: int = 1) -> DataFrame:
     return vectors(spark, sf).where(F.col("id") < n).select((F.col("id") + 1).cast("int").alias("query_id"), "vec")
 
 
+def q_vector_batch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 20 asks all rows: the queries grow with the table."""
+    v = vectors(spark, sf)
+    return R.knn_blocks(v, v.where("id % 20 = 0").select((F.col("id") + 1).cast("int").alias("query_id"), "vec"), 5)
+
+
 def old_files(spark: SparkSession, sf: str) -> DataFrame:
     """An earlier state of :func:`files`: every seventh missing, some with another content or time."""
     f, i = files(spark, sf), F.col("event_id")
@@ -175,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_fields": q_bm25_fields,
         "vector_topk": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d), 20).select("id", "score"),
         "vector_batch": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d, 50), 5),
+        "vector_batch_all": q_vector_batch_all,
         "normalize": lambda s, d: vectors(s, d).select("id", F.transform(T.normalize(F.col("vec")), lambda x: F.round(x, 5)).alias("v")).select("id", F.posexplode("v").alias("i", "x")),
         "rrf_fuse": q_rrf_fuse,
         "per_file_cap": q_per_file_cap,
@@ -259,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_fields": f"WITH {weighed} {_TOP}",
         "vector_topk": f"WITH {_VEC} SELECT id, score FROM vec",
         "vector_batch": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 50) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
+        "vector_batch_all": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
         "normalize": "WITH n AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings) SELECT id, (unnest(range(1, len(e) + 1)) - 1)::INTEGER AS i, round(unnest(e)::DOUBLE / CASE WHEN l = 0 THEN 1 ELSE l END, 5) AS x FROM n",
         "rrf_fuse": f"WITH {_LANES} SELECT id, round(coalesce(1.0 / (20 + l.r), 0) + coalesce(0.5 / (20 + v.r), 0), 9)::DOUBLE AS score, l.r AS rank_1, v.r AS rank_2 FROM l FULL JOIN v USING (id)",
         "per_file_cap": f"WITH {_LANES}, h AS (SELECT l.id, split_part(rel, '/', 1) AS ref, score FROM l JOIN c ON id = chunk_id), k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, id) <= 3) SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM k QUALIFY place <= 25",

@@ -144,3 +144,31 @@ def test_queries_equal_sql(spark, name):
     cols = sorted(got.columns)
     want = con.sql(f"select {', '.join(cols)} from ({Q.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are absent")
+def test_every_twentieth_vector_asks_all(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as from '{sf}/embeddings.parquet'")
+    got = Q.queries()["vector_batch_all"](spark, sf)
+    assert got.columns == ["query_id", "id", "score"] and got.schema["query_id"].dataType.simpleString() == "int"
+    rows = sorted(tuple(r) for r in got.collect())
+    assert len({q for q, _, _ in rows}) == 100
+    assert rows == sorted(con.sql(f"select query_id, id, score from ({Q.oracle_sql()['vector_batch_all']})").fetchall())
+
+
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 16)
+    rng = random.Random(4)
+    same = [0.5] * 6
+    v = [(i, same if i % 3 == 0 else [rng.uniform(-1, 1) for _ in range(6 if i % 5 else 4)]) for i in range(150)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(v, "id long, vec array<float>")
+    q = df.where("id % 20 = 0").select(F.col("id").cast("int").alias("query_id"), "vec")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(R.knn_blocks(df, q, 5)) == rows(R.knn(df, q, 5))
+    assert rows(R.knn_blocks(df.limit(0), q, 5)) == [] == rows(R.knn_blocks(df, q.limit(0), 5))
