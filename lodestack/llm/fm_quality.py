@@ -154,13 +154,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """A machine fitted to rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality)
-    marks and that are not held out, at most ``max_rows`` of them."""
+    marks and that are not held out, at most ``max_rows`` of them.  Of rows that repeat a
+    doc_id the one whose text has the least hash counts."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_rows)
     # the sample has max_rows rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    # merged in map tasks, so that the bound holds for what is collected
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "label", "text")
     got = rows.mapInArrow(_vectors, "doc_id long, label int, col array<int>, val array<float>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")[:max_rows]
     label, col, val = got["label"].to_numpy(), got["col"].combine_chunks(), got["val"].combine_chunks()

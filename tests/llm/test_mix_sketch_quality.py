@@ -138,6 +138,17 @@ def test_classifier(spark, docs):
     assert scored.columns == ["doc_id", "text", "source", "size", "score", "predicted"]
 
 
+def test_repeated_ids_leave_room_for_others(spark, monkeypatch):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], f"again {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(fm_quality, "fit", got.extend)
+    fm_quality.train(df, labels, max_rows=len(ids))
+    assert [label for label, _, _ in got] == [i % 2 for i in ids]
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(2)
     m = fm_quality.Machine(0.1, rng.normal(size=fm_quality.SIZE), rng.normal(size=(fm_quality.SIZE, 3)))
