@@ -3,8 +3,8 @@
 The pre-tokenizer of byte-level BPE always cuts before a single space and around a single
 line feed that stand between characters other than white space, and between a letter and a
 punctuation mark other than an apostrophe.  A :class:`PieceTable` cuts there, keeps the codes
-of pieces it has met in a bounded hash table, and has only new ones encoded.  All but that
-runs in NumPy over many texts at once.
+and bytes of pieces it has met in a bounded hash table, and has only new ones encoded.  All
+but that runs in NumPy over many texts at once.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from . import _vec as V
 U64 = np.uint64
 #: Slots of a worker's table; it starts anew when half full.
 SLOTS = 1 << 22
-#: Text whose pieces are looked up together.
-CHUNK = 1 << 19
+#: Text whose pieces are looked up together, and bytes of pieces kept to compare (one may be longer).
+CHUNK, RAW_BYTES = 1 << 19, 1 << 25
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -79,28 +79,59 @@ class PieceTable:
     def _clear(self) -> None:
         self.slot = np.full(SLOTS, -1, np.int32)
         self.key = np.zeros(SLOTS // 2 + CHUNK, U64)
-        self.check = np.zeros(SLOTS // 2 + CHUNK, U64)
+        self.head = np.zeros(SLOTS // 2 + CHUNK, U64)
+        self.size = np.zeros(SLOTS // 2 + CHUNK, np.int32)
+        self.place = np.zeros(SLOTS // 2 + CHUNK, np.int32)
         self.begin = np.zeros(SLOTS // 2 + CHUNK, np.int32)
         self.count = np.zeros(SLOTS // 2 + CHUNK, np.int32)
         self.ids = np.zeros(1 << 20, np.int32)
-        self.n = self.used = 0
+        self.raw = np.zeros(1 << 20, np.uint8)
+        self.n = self.used = self.kept = 0
+
+    def _same(self, e: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the pieces at ``start`` are the bytes of entries ``e`` of equal size and first
+        eight bytes: the rest is compared eight bytes at a time, the last eight overlapping."""
+        out = np.ones(len(e), bool)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) // 8
+            of = np.repeat(np.arange(len(long)), n)
+            step = 8 * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1)
+            step = np.minimum(step, size[long][of] - 8)
+            held = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+            out[long[of[eight[start[long][of] + step] != held[self.place[e[long]][of] + step]]]] = False
+        return out
 
-    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    def _find(self, key: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Entry of each piece or -1; entries are compared byte by byte, so equal hashes of
+        different pieces only cost another probe."""
         out = np.full(len(key), -1, np.int32)
         left, at = np.arange(len(key)), (key & U64(SLOTS - 1)).astype(np.int64)
         while len(left):
             e = self.slot[at]
-            hit = (self.key[e] == key[left]) & (self.check[e] == check[left]) & (e >= 0)
+            hit = np.flatnonzero((self.key[e] == key[left]) & (self.head[e] == head[left]) & (self.size[e] == size[left]) & (e >= 0))
+            same = self._same(e[hit], eight, start[left[hit]], size[left[hit]])
+            hit = hit[same]
             out[left[hit]] = e[hit]
-            go = (e >= 0) & ~hit
+            go = e >= 0
+            go[hit] = False
             left, at = left[go], (at[go] + 1) & (SLOTS - 1)
         return out
 
-    def _insert(self, key: np.ndarray, check: np.ndarray, codes: list[bytes]) -> None:
-        if self.n + len(key) > SLOTS // 2:
-            self._clear()
+    def _full(self, pieces: int, size: int) -> bool:
+        return self.n > 0 and (self.n + pieces > SLOTS // 2 or self.kept + size > RAW_BYTES)
+
+    def _insert(self, key: np.ndarray, head: np.ndarray, pieces: list[bytes], codes: list[bytes]) -> None:
         new = np.arange(self.n, self.n + len(key), dtype=np.int32)
-        self.key[new], self.check[new] = key, check
+        size = np.array([len(p) for p in pieces], np.int32)
+        self.key[new], self.head[new], self.size[new] = key, head, size
+        long = np.flatnonzero(size > 8)  # the head holds a shorter one
+        flat = np.frombuffer(b"".join(pieces[i] for i in long.tolist()), np.uint8)
+        if self.kept + len(flat) > len(self.raw):
+            self.raw = np.concatenate([self.raw[: self.kept], np.zeros(max(len(flat), self.kept), np.uint8)])
+        self.raw[self.kept : self.kept + len(flat)] = flat
+        self.place[new[long]] = self.kept + np.cumsum(size[long]) - size[long]
+        self.kept += len(flat)
         count = np.array([len(c) // 4 for c in codes], np.int32)
         flat = np.frombuffer(b"".join(codes), np.int32)
         if self.used + len(flat) > len(self.ids):
@@ -118,26 +149,20 @@ class PieceTable:
 
     def _chunk(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces in order, how many each has)."""
-        key = V.span_hashes(text, start, end)
-        # the first bytes and the length besides the hash
-        pad = np.concatenate([text, np.zeros(8, np.uint8)])
-        head = np.ndarray(len(pad) - 7, "<u8", pad, strides=(1,))[start]
-        size = np.minimum(end - start, 8).astype(U64)
-        check = (head & (~U64(0) >> (U64(64) - size * U64(8)))) ^ ((end - start).astype(U64) << U64(48))
-        found = self._find(key, check)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
+        key, eight, size = V.span_hashes(text, start, end), V.words_at(text), (end - start).astype(np.int32)
+        head = eight[start] & (~U64(0) >> (U64(64) - np.minimum(size, 8).astype(U64) * U64(8)))
+        found, raw = self._find(key, eight, start, size, head), text.tobytes()
+        while len(miss := np.flatnonzero(found < 0)):
+            # one piece for each hash; different pieces of one hash are learnt in later rounds
             _, first = np.unique(key[miss], return_index=True)
             first = miss[first]
-            raw = text.tobytes()
-            codes = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-            fresh = self.n + len(first) > SLOTS // 2
-            self._insert(key[first], check[first], codes)
-            if fresh:  # the table was cleared: learn what it knew of this chunk again
-                return self._chunk(text, start, end)
-            found[miss] = self._find(key[miss], check[miss])
-            if (found < 0).any():  # equal hashes of different pieces: those not taken yet
-                return self._chunk(text, start, end)
+            pieces = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            if self._full(len(first), int(size[first].sum())):
+                self._clear()  # and learn what it knew of this chunk again
+                found[:] = -1
+                continue
+            self._insert(key[first], head[first], pieces, self.encode([p.decode("utf-8", "replace") for p in pieces]))
+            found[miss] = self._find(key[miss], eight, start[miss], size[miss], head[miss])
         count = self.count[found]
         place = np.repeat(self.begin[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return self.ids[place], count

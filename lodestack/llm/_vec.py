@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POW: dict[str, np.ndarray] = {}
+#: Longer spans are hashed one by one.
+LONG_SPAN = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,21 +34,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    """base**i (or base**-i) modulo 2**64 for i below n; grown by doubling and kept."""
-    key = "inv" if inverse else "pow"
-    have = _POW.get(key)
-    if have is None or len(have) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.ones(size, U64)
-        have[1:] = U64(base)
-        np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE_BYTES:
-            _POW[key] = have
-    return have[:n]
-
-
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of n + 1 entries) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -109,14 +95,34 @@ def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; zeros follow the text."""
+    pad = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray(len(text) + 1, "<u8", pad, strides=(1,))
+
+
 def span_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes hash equally wherever they stand."""
+    """A 64-bit hash of the bytes of each span; equal bytes hash equally wherever they stand.
+    Eight bytes at a time are mixed in, so spans of one length up to eight bytes never
+    collide; spans over LONG_SPAN bytes get a BLAKE2 digest."""
+    size = end - start
     if not len(start):
         return np.zeros(0, U64)
-    total = np.zeros(len(text) + 1, U64)
-    np.cumsum((text.astype(U64) + U64(1)) * _powers(len(text), False), out=total[1:])
-    inv = _powers(len(text) + 1, True)
-    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+    eight = words_at(text)
+    h = mix(size.astype(U64) * U64(0x2545F4914F6CDD1D) + U64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = start[live], size[live]
+    while len(live):
+        word = eight[at]
+        part = left < 8
+        if part.any():
+            word[part] &= ~U64(0) >> (U64(64) - left[part].astype(U64) * U64(8))
+        h[live] = mix((h[live] ^ word) * U64(0x9FB21C651E98DF25))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def gram_hashes(symbols: np.ndarray, m: int) -> np.ndarray:

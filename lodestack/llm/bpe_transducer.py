@@ -7,8 +7,8 @@ fits the one before; every prefix of the input has exactly one such path.  A sta
 deterministic transducer is the set of paths that can still win: the bytes each has open, its
 last token, and the tokens on which the paths differ so far.  What all paths agree on is
 emitted, which happens after a bounded lookahead, as no token is longer than the longest of
-the vocabulary.  States and transitions are made when first needed; their number is bounded,
-and they are made anew when it is reached.
+the vocabulary.  States and transitions are made when first needed; at ``MAX_STATES``, also
+in the midst of a string, all but the state just reached are forgotten and made anew.
 
 Decoding joins the tokens' bytes and turns them into text through a UTF-8 state machine that
 keeps a character cut by the end of a block for the next one.
@@ -56,12 +56,14 @@ class Transducer:
         self._fits: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._whole: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self._reset()
+
+    def _reset(self) -> None:
+        for held in (self._ids, self._states, self._next):
+            held.clear()
         self.start = self._id(((b"", -1, ()),))
 
     def _id(self, state: tuple) -> int:
@@ -137,12 +139,17 @@ class Transducer:
         while all(len(t) > n for t in tails) and len({t[n] for t in tails}) == 1:
             n += 1
         out = tails[0][:n]
-        made = self._id(tuple(sorted((o, la, t[n:]) for o, la, t in paths)))
+        new = tuple(sorted((o, la, t[n:]) for o, la, t in paths))
+        if len(self._states) >= MAX_STATES and new not in self._ids:
+            self._reset()  # only the state just reached goes on
+            return self._id(new), out
+        made = self._id(new)
         self._next[state][byte] = made, out
         return made, out
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Next state, and the tokens that are now certain."""
+        """Next state, and the tokens that are now certain.  A state holds until the next step;
+        when the bound on states is reached all others are forgotten."""
         return self._next[state].get(byte) or self._make(state, byte)
 
     def flush(self, state: int) -> tuple[int, ...]:
@@ -150,8 +157,6 @@ class Transducer:
         return next(tail for open_, _, tail in self._states[state] if not open_)
 
     def run(self, text: bytes) -> list[int]:
-        if len(self._states) > MAX_STATES:
-            self._reset()
         out: list[int] = []
         state, table = self.start, self._next
         for byte in text:

@@ -35,6 +35,8 @@ from ._pieces import PieceTable
 #: Fixed values of the file format.
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10, 1 << 20
+#: Text that goes into one file, where that gives more files than shuffle partitions.
+FILE_TEXT_BYTES = 256 << 20
 SCHEMA = "shard int, row int, doc_id long, n_tokens int, tokens array<int>"
 _CODERS: dict[tuple[str, bool], PieceTable] = {}
 
@@ -96,7 +98,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     The tokenizer file must be at that path on every executor."""
     spark = docs.sparkSession
     ship(spark)
-    n = files or shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = files or max(shuffle_partitions(spark), -(-size // FILE_TEXT_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.repartitionByRange(n, id_key(), F.hash("text")).sortWithinPartitions(id_key(), F.hash("text"))
     rows = rows.withColumn("shard", F.spark_partition_id())
@@ -121,11 +124,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``start``: the ids of all documents before a row.  Shards are summed first, then rows
-    within their shard, so no task takes more than a shard (or one number for each shard)."""
+    within their shard, so no task takes more than a shard (or one number for each shard).
+    ``counts`` (shard, n_tokens) may give the same numbers from a cheaper plan."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("total"))
+    totals = (rows if counts is None else counts).groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("total"))
     ahead = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("ahead"))
     inner = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(F.col("n_tokens").cast("long")).over(inner), F.lit(0))
@@ -148,5 +152,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, added=True)
     ship(spark)
-    rows = read_tokens(spark, path).mapInArrow(_crc, "shard int, row int, doc_id long, n_tokens long, ids_crc32 long")
-    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    files = read_tokens(spark, path)
+    rows = files.mapInArrow(_crc, "shard int, row int, doc_id long, n_tokens long, ids_crc32 long")
+    return with_starts(rows, files.select("shard", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")

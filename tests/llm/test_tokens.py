@@ -137,3 +137,69 @@ def test_empty_table(spark, tmp_path):
     T.write_tokens(empty, P.path("byte_bpe_50k.json"), str(tmp_path / "none"))
     assert T.with_starts(T.read_tokens(spark, str(tmp_path / "none"))).count() == 0
     assert B.round_trip(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def encoders():
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    return B.coder(ranks, P.PATTERN)[0], T.coder(P.path("byte_bpe_50k.json"), True)
+
+
+def test_pieces_are_compared_and_not_only_hashed(monkeypatch):
+    """Pieces whose polynomial hashes modulo 2^64 agree, and a hash with four values only."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestack.llm import _pieces
+
+    tm = "a"
+    while len(tm) < 2048:
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    pair = ["a" * 8 + tm, "a" * 8 + tm.translate(str.maketrans("ab", "ba"))]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for table in encoders():
+        ids, at = table.codes(*B.V.buffers(pa.array(pair)))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in (0, 1)] == [tok.encode(t, add_special_tokens=False).ids for t in pair]
+    real = B.V.span_hashes
+    monkeypatch.setattr(B.V, "span_hashes", lambda t, s, e: real(t, s, e) & np.uint64(3))
+    monkeypatch.setattr(_pieces, "SLOTS", 1 << 12)
+    monkeypatch.setattr(_pieces, "CHUNK", 1 << 10)
+    monkeypatch.setattr(_pieces, "RAW_BYTES", 1 << 12)
+    table = _pieces.PieceTable(lambda ps: [np.array(tok.encode(p, add_special_tokens=False).ids, np.int32).tobytes() for p in ps])
+    texts = [t or "" for t in TEXTS] + more(3, 200)
+    ids, at = table.codes(*B.V.buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        if "<|" not in t:
+            assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_long_pre_token_in_bounded_states(monkeypatch):
+    monkeypatch.setattr(B, "MAX_STATES", 5000)
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    fst = B.Transducer(B.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    most, make = 0, fst._make
+
+    def watched(state, byte):
+        nonlocal most
+        got = make(state, byte)
+        most = max(most, len(fst._states))
+        return got
+
+    monkeypatch.setattr(fst, "_make", watched)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert fst.run(long.encode()) == tok.encode(long, add_special_tokens=False).ids
+    assert 1000 < most <= 5000
+    monkeypatch.undo()
+
+
+def test_long_texts(spark):
+    rng = random.Random(17)
+    long = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 9))) for _ in range(250_000))
+    assert len(long) > 1_000_000
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = tok.encode(long, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    (r,) = B.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert r.tokens == want
+    (back,) = B.decode(spark.createDataFrame([(1, want)], "doc_id long, tokens array<int>"), P.path("byte_bpe_50k.tiktoken")).collect()
+    assert back.text == long
