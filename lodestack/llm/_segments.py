@@ -13,9 +13,10 @@ bucket is solved:
 2. *Routing.*  Consecutive windows of one document with the same minimiser travel as one
    packed string.  Within a map task equal strings are merged: only the document with the
    least id still has to ask, for all others a smaller document with the string is known.  So
-   a string sends a bucket at most one document for each map task, however many have it.  A
-   minimiser found in very many tasks is routed by whole windows instead, which spreads the
-   strings around a passage that a large part of the corpus quotes.
+   a string sends a bucket at most one document for each map task, however many have it.
+   Buckets of one reduce task travel in one row, gathered from more text the more tasks there
+   are.  A minimiser found in very many tasks is routed by whole windows instead, which
+   spreads the strings around a passage that a large part of the corpus quotes.
 3. *Solving.*  A bucket gets its distinct strings with their least doc_id, and a solver says
    for each window the least document that has it.  Windows whose least document is smaller
    than their own are removed.
@@ -31,6 +32,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,13 @@ from ._common import LAST_ID, id_key, ship, shuffle_partitions, text_of
 U64 = np.uint64
 #: Longest run of windows in one packed string.
 MAX_RUN = 60
-#: A map task hands over what it has gathered when it reaches so many bytes.
-FLUSH_BYTES = 8 << 20
+#: A map task hands over what it has gathered when it reaches so many bytes: a row for each
+#: reduce task then holds about ROW_BYTES, so rows grow with the text and not with its square.
+FLUSH_BYTES, MAX_FLUSH_BYTES, ROW_BYTES = 8 << 20, 64 << 20, 1 << 10
 #: Bloom filter: bits at least, and at most (32 MB on each worker).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
-#: Text bytes that feed one bucket, roughly.
-BUCKET_BYTES = 2 << 20
+#: Text bytes that feed one bucket, roughly, and buckets of one reduce task.
+BUCKET_BYTES, TASK_BUCKETS = 2 << 20, 4
 #: A minimiser reported by so many map tasks is routed by whole windows.
 HOT_TASKS = 64
 
@@ -61,6 +64,7 @@ class Plan:
     k: int
     m: int
     buckets: int
+    tasks: int
     bits: int
     hot_tasks: int = HOT_TASKS
 
@@ -68,15 +72,25 @@ class Plan:
     def block(self) -> int:
         return self.bits // self.buckets
 
+    @property
+    def subs(self) -> int:
+        """Buckets of a reduce task: those whose numbers share its leading bits."""
+        return self.buckets // self.tasks
+
+    @property
+    def flush(self) -> int:
+        return min(MAX_FLUSH_BYTES, max(FLUSH_BYTES, self.tasks * ROW_BYTES))
+
 
 def plan_for(df: DataFrame, kind: str, k: int, m: int, **override: int) -> Plan:
     """Sizes buckets and filter by the bytes of text, one aggregate over the column."""
     total = df.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
     pow2 = lambda n: 1 << max(0, int(n) - 1).bit_length()
     buckets = override.get("buckets") or min(1 << 20, max(16, pow2(total // BUCKET_BYTES)))
+    tasks = min(buckets, override.get("tasks") or min(1 << 18, max(4, pow2(total // (BUCKET_BYTES * TASK_BUCKETS)))))
     per_bit = 8 if kind == "bytes" else 64
     bits = override.get("bits") or min(MAX_BITS, max(MIN_BITS, pow2(total // per_bit)))
-    return Plan(kind, k, m, buckets, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS))
+    return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS))
 
 
 class Symbols:
@@ -157,17 +171,26 @@ class Filter:
         return self._has(self.hot, self.hot_block, key) if self.any_hot else np.zeros(len(key), bool)
 
 
+def _by_task(plan: Plan, key: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(task, range of each of its buckets) for the tasks that ascending keys fall into."""
+    bucket = _bucket_of(plan, key)
+    task = bucket // plan.subs
+    first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+        t = int(task[a])
+        cut = a + np.searchsorted(bucket[a:b], np.arange(t * plan.subs, (t + 1) * plan.subs + 1))
+        yield t, list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
 def _census(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def hand_over(parts: list[np.ndarray]) -> pa.RecordBatch:
         key, n = np.unique(np.concatenate(parts), return_counts=True)
         parts.clear()
-        cut = np.searchsorted(_bucket_of(plan, key), np.arange(plan.buckets + 1))
         low, rows = (key & U64(0xFFFFFFFF)).astype(np.uint32), []
-        for b in range(plan.buckets):
-            part, times = low[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]]
-            if len(part):
-                rows.append((b, part[times == 1].tobytes(), part[times > 1].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "once", "more"])
+        for t, ranges in _by_task(plan, key):
+            found = [(low[a:b], n[a:b] > 1) for a, b in ranges]
+            rows.append((t, [x[~m].tobytes() for x, m in found], [x[m].tobytes() for x, m in found]))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), _BLOBS, _BLOBS), strict=True)], ["task", "once", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -183,7 +206,7 @@ def _census(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 fresh = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
                 parts.append(key[fresh])
                 held += 8 * len(parts[-1])
-                if held > FLUSH_BYTES:
+                if held > plan.flush:
                     yield hand_over(parts)
                     held = 0
         if parts:
@@ -193,15 +216,15 @@ def _census(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a partition sorted by bucket, one bucket at a time."""
+def _task_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of a partition sorted by task, one task at a time."""
     now, rows = None, []
     for rb in batches:
         for row in rb.to_pylist():
-            if row["bucket"] != now and rows:
+            if row["task"] != now and rows:
                 yield now, rows
                 rows = []
-            now = row["bucket"]
+            now = row["task"]
             rows.append(row)
     if rows:
         yield now, rows
@@ -209,14 +232,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
 
 def _tally(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _by_bucket(batches):
-            once, more = ([np.frombuffer(r[c], np.uint32) for r in rows] for c in ("once", "more"))
-            low, tasks = np.unique(np.concatenate(once + more), return_counts=True)
-            shared = (tasks > 1) | np.isin(low, np.concatenate(more))
-            hot = low[tasks >= plan.hot_tasks]
-            if shared.any():
-                row = {"bucket": b, "shared": _fill(low[shared], plan.block), "hot": _fill(hot, max(64, plan.block // 8)) if len(hot) else b""}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]))
+        for t, rows in _task_rows(batches):
+            for sub in range(plan.subs):
+                once, more = ([np.frombuffer(r[c][sub], np.uint32) for r in rows] for c in ("once", "more"))
+                low, tasks = np.unique(np.concatenate(once + more), return_counts=True)
+                shared = (tasks > 1) | np.isin(low, np.concatenate(more))
+                hot = low[tasks >= plan.hot_tasks]
+                if shared.any():
+                    row = {"bucket": t * plan.subs + sub, "shared": _fill(low[shared], plan.block), "hot": _fill(hot, max(64, plan.block // 8)) if len(hot) else b""}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]))
 
     return run
 
@@ -249,15 +273,13 @@ def _coalesce(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return doc[first], start[first], reach[last] - (doc[first] << 32)
 
 
-_ROUTED = "bucket int, blob binary, doc long, tag int, start long, end long"
+_BLOBS = pa.list_(pa.binary())
+_SPANS = "doc long, tag long, start long, end long"
+_ROUTED = "task int, blobs array<binary>, " + _SPANS
 
 
-def _span_batch(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, bucket: int | np.ndarray) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.broadcast_to(bucket, n).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(doc.astype(np.int64)), pa.array(tag.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))],
-        ["bucket", "blob", "doc", "tag", "start", "end"],
-    )
+def _span_batch(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, tag, start, end)], ["doc", "tag", "start", "end"])
 
 
 def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -283,27 +305,28 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
         if len(done):
             rows, at = np.unique(np.stack([doc[done], tag[done]], 1), axis=0, return_inverse=True)
             n, s, e = _coalesce(at.reshape(-1).astype(np.int64), start[done], start[done] + runs[done] + plan.k - 1)
-            yield _span_batch(rows[n, 0], rows[n, 1], s, e, (rows[n, 0] & 0x7FFFFFFF) % plan.buckets)
+            spans = _span_batch(rows[n, 0], rows[n, 1], s, e)
+            to = pa.array(((rows[n, 0] & 0x7FFFFFFF) % plan.tasks).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([to, pa.nulls(len(n), _BLOBS), *spans.columns], ["task", "blobs", *spans.schema.names])
         order, lead = order[asks], lead[asks]
-        bucket = _bucket_of(plan, key[order])  # ascends, as order does by key
-        zip_, cut = zstandard.ZstdCompressor(level=1), np.searchsorted(bucket, np.arange(plan.buckets + 1))
-        names, blobs = [], []
-        for b in range(plan.buckets):
-            rows, of = order[cut[b] : cut[b + 1]], lead[cut[b] : cut[b + 1]]
+        zip_ = zstandard.ZstdCompressor(level=1)
+
+        def blob(a: int, b: int) -> bytes | None:
+            rows, of = order[a:b], lead[a:b]
             if not len(rows):
-                continue
+                return None
             head = np.append(True, of[1:] != of[:-1])
             firsts = rows[head]
             sel = length[firsts]
             at = np.concatenate([[0], np.cumsum(sel)])
             body = text[np.arange(at[-1]) + np.repeat(begin[firsts] - at[:-1], sel)]
-            fields = [np.array([len(firsts), len(rows)], np.int64), key[firsts], sel.astype(np.int32), runs[firsts].astype(np.int32), (np.cumsum(head) - 1).astype(np.int32), doc[rows], tag[rows].astype(np.int32), start[rows].astype(np.int32)]
-            blobs.append(zip_.compress(b"".join([*(f.tobytes() for f in fields), body.tobytes()])))
-            names.append(b)
-        n = len(names)
-        if n:
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), none, pa.nulls(n, pa.int32()), none, none], ["bucket", "blob", "doc", "tag", "start", "end"])
+            fields = [np.array([len(firsts), len(rows)], np.int64), key[firsts], sel.astype(np.int32), runs[firsts].astype(np.int32), (np.cumsum(head) - 1).astype(np.int32), doc[rows], tag[rows], start[rows].astype(np.int32)]
+            return zip_.compress(b"".join([*(f.tobytes() for f in fields), body.tobytes()]))
+
+        if len(order):
+            tasks, blobs = zip(*((t, [blob(a, b) for a, b in ranges]) for t, ranges in _by_task(plan, key[order])), strict=True)  # order ascends by key
+            none = pa.nulls(len(tasks), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(blobs, _BLOBS), none, none, none, none], ["task", "blobs", "doc", "tag", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pack = shared.value, _Pack()
@@ -328,8 +351,8 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 bs, be = sym.spans(start, length + plan.k - 1)
                 if hot.any():
                     key = np.where(hot, V.mix(V.span_hashes(sym.text, bs, be) + U64(5)), key)
-                pack.add(sym.text, bs, be, key, ids[a + doc], tags[a + doc].astype(np.int64), start - sym.first[doc], length)
-                if pack.size > FLUSH_BYTES:
+                pack.add(sym.text, bs, be, key, ids[a + doc], tags[a + doc], start - sym.first[doc], length)
+                if pack.size > plan.flush:
                     yield from hand_over(pack)
                     pack = _Pack()
         if pack.cols:
@@ -343,21 +366,15 @@ Solver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def bucket(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        spans = [r for r in rows if r["blob"] is None]
-        if spans:
-            yield _span_batch(*(np.array([r[c] for r in spans], np.int64) for c in ("doc", "tag", "start", "end")), 0)
+    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         index: dict[bytes, int] = {}
         keys, runs, owner, docs, tags, starts = [], [], [], [], [], []
-        for r in rows:
-            if r["blob"] is None:
-                continue
-            raw = unzip.decompress(r["blob"])
+        for raw in map(unzip.decompress, blobs):
             n, m = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
             fields = []
-            for dtype, count in ((U64, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int32, m), (np.int32, m)):
+            for dtype, count in ((U64, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
                 fields.append(np.frombuffer(raw, dtype, count, at))
                 at += count * np.dtype(dtype).itemsize
             key, length, run, who, doc, tag, start = fields
@@ -395,11 +412,30 @@ def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], I
             fresh = np.append(True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1))
             first = np.flatnonzero(fresh)
             last = np.append(first[1:], len(row)) - 1
-            yield _span_batch(d[row[first]], t[row[first]], s[row[first]] + nth[first], s[row[first]] + nth[last] + plan.k, 0)
+            yield _span_batch(d[row[first]], t[row[first]], s[row[first]] + nth[first], s[row[first]] + nth[last] + plan.k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches):
-            yield from bucket(rows)
+        now, held = None, []
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            for sub in range(plan.subs):
+                blobs = [x for x in (row[sub].as_py() for row in held) if x is not None]
+                if blobs:
+                    yield from bucket(blobs)
+
+        for rb in batches:
+            known = rb.column("blobs").is_null()
+            if known.true_count:
+                yield rb.filter(known).select(["doc", "tag", "start", "end"])
+            if known.true_count == len(rb):
+                continue
+            rb = rb.filter(pc.invert(known))
+            for t, row in zip(rb.column("task").to_pylist(), rb.column("blobs"), strict=True):
+                if t != now:
+                    yield from solved()
+                    now, held = t, []
+                held.append(row)
+        yield from solved()
         V.trim()
 
     return run
@@ -409,7 +445,7 @@ def with_keys(df: DataFrame) -> DataFrame:
     """The rows with a sortable id and a tag of the text, which together name a row: rows that
     repeat a doc_id with another text keep apart.  Columns named ``__ls_*`` are reserved."""
     keep = [c for c in df.columns if not c.startswith("__ls_")]
-    return df.select(*keep, id_key().alias(KEY), F.hash(text_of()).alias(TAG))
+    return df.select(*keep, id_key().alias(KEY), F.xxhash64(text_of()).alias(TAG))
 
 
 def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
@@ -418,15 +454,21 @@ def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     slim = df.select(KEY, TAG, text_of().alias("text"))
-    parts = max(shuffle_partitions(spark), plan.buckets // 4)
-    counted = slim.select("text").mapInArrow(_census(plan), "bucket int, once binary, more binary")
-    blocks = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
+    parts = max(shuffle_partitions(spark), plan.tasks)
+    counted = slim.select("text").mapInArrow(_census(plan), "task int, once array<binary>, more array<binary>")
+    blocks = counted.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
     # One block of fixed size for each bucket, MAX_BITS in all and as much again / 8 for hot ones.
     known = spark.sparkContext.broadcast(Filter(plan, [(r["bucket"], bytes(r["shared"]), bytes(r["hot"])) for r in blocks.toLocalIterator()]))
-    routed = slim.mapInArrow(_route(plan, known), _ROUTED)
-    found = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_solve(plan, solver), _ROUTED)
+    found = routed(slim, plan, known).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_solve(plan, solver), _SPANS)
     packed: Column = F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("end"))
-    return found.groupBy(F.col("doc").alias(KEY), F.col("tag").alias(TAG)).agg(F.collect_list(packed).alias(SPANS))
+    # a set, so that rows repeated without end gather no more than one of them
+    return found.groupBy(F.col("doc").alias(KEY), F.col("tag").alias(TAG)).agg(F.collect_set(packed).alias(SPANS))
+
+
+def routed(slim: DataFrame, plan: Plan, known: Any) -> DataFrame:
+    """Rows for the reduce tasks: the packed strings of a task's buckets that were gathered by a
+    map task, or spans that are settled already."""
+    return slim.mapInArrow(_route(plan, known), _ROUTED)
 
 
 def merged(packed: list[int] | np.ndarray | None) -> list[tuple[int, int]]:

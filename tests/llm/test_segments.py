@@ -53,7 +53,7 @@ def corpus(seed, n=60):
     return rows
 
 
-PLANS = [{}, {"hot_tasks": 1}, {"buckets": 2, "bits": 128, "hot_tasks": 2}]
+PLANS = [{}, {"hot_tasks": 1}, {"buckets": 64, "tasks": 2, "hot_tasks": 3}, {"buckets": 2, "bits": 128, "hot_tasks": 2}]
 
 
 @pytest.mark.parametrize("plan", PLANS)
@@ -126,3 +126,31 @@ def test_maximal_repeats_against_all_pairs():
             if len(at) > 1:
                 assert any(s in r and len(group) == len(at) for r, group in found.items())
         assert all(where[r] == group for r, group in found.items())
+
+
+def test_rows_follow_the_text_and_not_the_buckets(spark):
+    """With a filter that lets everything through, as a saturated one does."""
+    from lodestack.llm import _segments as S
+
+    rng = random.Random(9)
+    df = S.with_keys(spark.createDataFrame([(i, "".join(rng.choice("abcdefgh ") for _ in range(20_000))) for i in range(60)], "doc_id long, text string").repartition(4))
+    n = {}
+    for buckets in (32, 16_384):
+        plan = S.plan_for(df, "bytes", 50, 16, buckets=buckets, tasks=16)
+        everything = S.Filter(plan, [(b, b"\xff" * (plan.block // 8), b"") for b in range(buckets)])
+        n[buckets] = S.routed(df.select(S.KEY, S.TAG, "text"), plan, spark.sparkContext.broadcast(everything)).count()
+    assert 0 < n[16_384] <= 2 * n[32]
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    words = long.split(" ")
+    part = " ".join(words[1000:60_000])
+    df = spark.createDataFrame([(1, long), (2, "new start " + part), (3, "x" * 1_500_000)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_repeats.removal_report(df).collect()}
+    assert len(long) > 1_000_000 and got[1].n_removed == 0
+    assert (got[2].n_removed, got[2].n_spans) in ((len(part), 1), (len(part) + 1, 1))
+    assert got[3].n_removed == 0  # a document never removes from itself
+    got = {r.doc_id: r.n_removed for r in superkmer_dedup.removal_report(df).collect()}
+    assert got == {1: 0, 2: 59_000, 3: 0}
