@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,23 +51,77 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestack-{uuid.uuid4().hex}"
 
 
+#: Scratch tables that are still there, by application.
+_MADE: dict[str, set[str]] = {}
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage, survives lost
-    executors, and lets several branches read what was computed once."""
-    path = scratch_dir(df.sparkSession)
+    executors, and lets several branches read what was computed once.  What is written goes
+    by :func:`drop` or :func:`drop_scratch`, or else when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    note(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ls_path = path  # type: ignore[attr-defined]
+    return out
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what :func:`staged` wrote under this session's scratch folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, "lodestack-*")) or []:
-            fs.delete(s.getPath(), True)
+def note(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted with the other scratch tables."""
+    if not _MADE:
+        atexit.register(_at_exit)
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+
+
+def _delete(path: str) -> None:
+    jvm, sc = SparkContext._jvm, SparkContext._active_spark_context
+    conf = sc._jsc.hadoopConfiguration() if sc else jvm.org.apache.hadoop.conf.Configuration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _at_exit() -> None:
+    for path in (p for made in _MADE.values() for p in made):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what :func:`staged` wrote for tables that nothing reads any more."""
+    for df in tables:
+        _delete(df._ls_path)
+        _MADE[df.sparkSession.sparkContext.applicationId].discard(df._ls_path)
+
+
+def scratch(spark: SparkSession) -> set[str]:
+    """The scratch tables that are there now."""
+    return set(_MADE.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_scratch(spark: SparkSession, but: set[str] | frozenset[str] = frozenset()) -> None:
+    """Delete this application's scratch tables other than ``but``."""
+    for path in scratch(spark) - but:
+        _delete(path)
+        _MADE[spark.sparkContext.applicationId].discard(path)
+
+
+#: Groups of at least so many rows, and at most that many groups, count as hot; tables of at
+#: most so many rows are broadcast whole.
+HOT_ROWS, HOT_GROUPS, SMALL_ROWS = 256, 50_000, 100_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key and in column ``size`` how
+    many of the ``total`` rows have it.  Keys of very many rows are joined by a broadcast of
+    HOT_GROUPS rows of the table at most, so they don't gather in one task; the others shuffle."""
+    if total <= SMALL_ROWS:  # the table has no more rows than that
+        return rows.join(F.broadcast(table.drop(size)), on)
+    most = max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(table.where(F.col(size) > most).drop(size))
+    rest = rows.join(F.broadcast(table.where(F.col(size) > most).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(table.where(F.col(size) <= most).drop(size), on))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -110,3 +110,54 @@ def test_components(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_join.near_duplicates(empty).count() == 0
+
+
+@pytest.fixture
+def split(monkeypatch):
+    """Every table counts as large, and groups of three rows as hot."""
+    from lodestack.llm import _common
+
+    monkeypatch.setattr(_common, "SMALL_ROWS", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_join, "NODE_CLASSES", 3)
+
+
+def test_hot_groups_give_the_same(spark, split):
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 300) for i in range(1, 20)] + [(1000, 1001)]
+    got = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 1000} and len(got) == 321
+
+
+def test_forest_recall_and_wide_nodes(spark, split):
+    """Pairs at and above the threshold, queries with ids divisible by 20 against all rows."""
+    rng = random.Random(8)
+    rows = []
+    for base in range(60):
+        words = [f"b{base}w{i}" for i in range(rng.choice([120, 400, 800]))]
+        for _ in range(8):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // rng.choice([100, 130, 200]))):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            rows.append(" ".join(copy))
+    sets = [shingles(t) for t in rows]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.key: r for r in near_join.near_duplicates(df).collect()}
+    want = found = 0
+    for q in range(0, len(rows), 20):
+        links = [i for i, s in enumerate(sets) if i != q and s != sets[q] and len(s & sets[q]) / len(s | sets[q]) >= 0.8]
+        want += len(links)
+        found += sum(got[i].class_id == got[q].class_id for i in links)
+        assert got[q].n_links <= len(links)
+    assert want >= 20 and found >= 0.9 * want
+
+
+def test_depth_follows_what_is_found():
+    import numpy as np
+
+    few, many = np.zeros(near_join.BINS), np.zeros(near_join.BINS)
+    few[-2:], many[:] = 100, 100
+    floor = near_join.depth_for()
+    assert near_join.next_depth(few, 8, floor, 0.8, 0.9999) is None  # all are nearly equal: the longest prefixes do
+    assert floor <= near_join.next_depth(many, 8, floor, 0.8, 0.9999) < 8
+    assert near_join.next_depth(np.zeros(near_join.BINS), 8, floor, 0.8, 0.9999) == floor
+    assert near_join.next_depth(many, floor, floor, 0.8, 0.9999) is None
