@@ -54,7 +54,7 @@ MARGIN = 0.16
 #: linked to them is then above threshold - MARGIN for that class, too.
 COVERS = 0.92
 #: Classes of a node that are compared in one task; all below a larger node are tied together.
-NODE_CLASSES = 4096
+NODE_CLASSES = 1024
 #: Classes and bytes of a block; a task holds two blocks.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Rows that are broadcast at most (16 bytes each, about); beyond, the join shuffles.
@@ -160,15 +160,16 @@ def _tries(floor: int) -> object:
 
 
 def _ties(depth: int, above: int, threshold: float) -> object:
-    """From rows (tree, node, cls, labels) sorted by node: ties (a, b) between classes that may
-    be alike, and rows (bin, pairs) that count the pairs compared by estimated similarity, each
+    """From rows (tree, node, cls, labels) sorted by node: a tie (a, b) from each class to the
+    first one below the node that it hangs together with, and rows (bin, pairs) that count the pairs compared by estimated similarity, each
     where it is first met: at its longest shared prefix, in the first such tree.  Prefixes of
     ``above`` values and more were looked at before."""
     noise = 1 / 256  # different values with equal bytes
 
-    def node(tree: int, cls: np.ndarray, labels: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        covered = np.zeros(len(cls), bool)
-        for i in range(len(cls)):
+    def node(tree: int, labels: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """For each class below a node the first one that it is tied to through others."""
+        root, covered = np.arange(len(labels)), np.zeros(len(labels), bool)
+        for i in range(len(labels)):
             if covered[i]:
                 continue
             same = labels == labels[i]
@@ -179,8 +180,10 @@ def _ties(depth: int, above: int, threshold: float) -> object:
             fresh = (hit > i) & (most >= depth) & (most < above) & (shared.argmax(1) == tree) & (alike[hit] >= threshold)
             count += np.bincount(np.minimum(((alike[hit][fresh] - threshold) / (1 - threshold) * BINS).astype(int), BINS - 1), minlength=BINS)
             covered[hit[alike[hit] >= COVERS]] = True
-            other = hit[hit != i]
-            yield np.full(len(other), cls[i]), cls[other]
+            tied = np.unique(root[hit])
+            if len(tied) > 1:
+                root[np.isin(root, tied)] = tied[0]
+        return root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "bin", "pairs"]
@@ -188,9 +191,9 @@ def _ties(depth: int, above: int, threshold: float) -> object:
 
         def done(now: tuple, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
             labels = np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(len(held), -1, MAX_DEPTH)
-            found = list(node(now[0], np.array([c for c, _ in held], np.int64), labels, count))
-            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())], names)
+            cls, root = np.array([c for c, _ in held], np.int64), node(now[0], labels, count)
+            of = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(cls[of]), pa.array(cls[root[of]]), pa.nulls(len(of), pa.int32()), pa.nulls(len(of), pa.int64())], names)
 
         now, held = None, []
         for rb in batches:
