@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,17 @@ def drop_scratch(spark: SparkSession, but: set[str] | frozenset[str] = frozenset
         _MADE[spark.sparkContext.applicationId].discard(path)
 
 
+def file_order(df: DataFrame) -> Column:
+    """A number that ascends along the rows of a table as they were written: a file's number in
+    its name and the row's place in it.  Rows that come from no file are numbered as they lie."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    try:
+        df.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
 #: Groups of at least so many rows, and at most that many groups, count as hot; tables of at
 #: most so many rows are broadcast whole.
 HOT_ROWS, HOT_GROUPS, SMALL_ROWS = 256, 50_000, 100_000

@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _vec as V
 from ._common import documents, ship, text_of
@@ -224,10 +225,7 @@ def coder(path: str, pattern: str) -> tuple[PieceTable, list[bytes]]:
     return _CODERS[path, pattern]
 
 
-_SCHEMA = "doc_id long, tokens array<int>"
-
-
-def _rows(path: str, pattern: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rows(path: str, pattern: str, digest: bool, keep: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, table = coder(path, pattern)
         names = [str(i).encode() for i in range(len(table))] if digest else []
@@ -237,7 +235,8 @@ def _rows(path: str, pattern: str, digest: bool) -> Callable[[Iterator[pa.Record
                 all_ids, at = pieces.codes(text[off[a] : off[b]], off[a : b + 1] - off[a])
                 doc = rb.column("doc_id").slice(a, b - a)
                 if not digest:
-                    yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(all_ids))], ["doc_id", "tokens"])
+                    tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(all_ids))
+                    yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in keep), doc, tokens], [*keep, "doc_id", "tokens"])
                     continue
                 n, ids_sha, text_sha = [], [], []
                 for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -254,11 +253,13 @@ def _rows(path: str, pattern: str, digest: bool) -> Callable[[Iterator[pa.Record
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id and tokens (array<int>) for every row of ``docs`` (doc_id, text).  The rank file
-    must be at that path on every executor."""
+def encode(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and tokens (array<int>) for every row of ``docs`` (doc_id, text), after the columns
+    ``keep``.  The rank file must be at that path on every executor."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_rows(ranks, pattern, False), _SCHEMA)
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    kept = docs.select(*keep).schema.add("doc_id", T.LongType()).add("tokens", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(_rows(ranks, pattern, False, tuple(keep)), kept)
 
 
 def _decode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

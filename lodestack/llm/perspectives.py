@@ -7,6 +7,9 @@ rendered dialogue, so a conversation of any length stays spread over tasks: plac
 running sums over blocks of turns, then within a block.  ``render`` joins the segments of
 conversations known to be short.
 
+Names and texts can't forge the format's marks: in a text ``<|`` becomes ``< |``, in a name
+``|>`` becomes ``| >``, too.
+
 Edge cases: a null role is a participant named ``unknown``, a null or empty text an empty
 message; null turns come last; turns with the same number are ordered by role and text;
 repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table
@@ -15,14 +18,18 @@ gives an empty result; columns other than conv_id, turn, role and text are not r
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import text_of
+from ._common import hot_join, text_of
 
 #: Fixed values of the chat format.
 ASSISTANT_HEAD, USER_HEAD, USER_TAIL, MESSAGE_END = "<|assistant|>\n", "<|user name=", "|>\n", "<|end|>\n"
+#: Marks of the format that stand in a name or text are spaced out, so that they are none.
+MARKS = ("<|", "|>")
 #: Turns in a block of running sums.
 BLOCK = 256
 
@@ -31,13 +38,14 @@ def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, role, text, speaks (as assistant or user), segment, start and
     end (characters of the rendered dialogue), mask_start and mask_end (the trained part, null
     for users) for every turn of ``turns`` and participant of its conversation."""
+    plain = lambda c, marks: functools.reduce(lambda x, m: F.replace(x, F.lit(m), F.lit(" ".join(m))), marks, c)
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), text_of().alias("text"))
     t = t.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")))
-    who = t.select("conv", F.col("role").alias("perspective")).distinct()
-    x = t.join(who, "conv")
+    who = t.groupBy("conv").agg(F.collect_set("role").alias("who"), F.count("*").alias("turns"))  # participants; rows come out for each of them anyway
+    x = hot_join(t, who, ["conv"], "turns", t.count()).withColumn("perspective", F.explode("who")).drop("who")
     mine = F.col("role") == F.col("perspective")
-    head = F.when(mine, F.lit(ASSISTANT_HEAD)).otherwise(F.concat(F.lit(USER_HEAD), F.col("role"), F.lit(USER_TAIL)))
-    x = x.withColumns({"head": F.char_length(head), "segment": F.concat(head, F.col("text"), F.lit(MESSAGE_END)), "mine": mine})
+    head = F.when(mine, F.lit(ASSISTANT_HEAD)).otherwise(F.concat(F.lit(USER_HEAD), plain(F.col("role"), MARKS), F.lit(USER_TAIL)))
+    x = x.withColumns({"head": F.char_length(head), "segment": F.concat(head, plain(F.col("text"), MARKS[:1]), F.lit(MESSAGE_END)), "mine": mine})
     x = x.withColumns({"length": F.char_length("segment").cast("long"), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62) // BLOCK))})
     keys = ["conv", "perspective", "block"]
     sums = x.groupBy(*keys).agg(F.sum("length").alias("sum"))
@@ -72,9 +80,9 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(tex
 w AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
 x AS (
   SELECT t.*, perspective, role = perspective AS mine,
-         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head
+         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head
   FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id
-), s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM x),
+), s AS (SELECT *, head || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS segment FROM x),
 p AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
 SELECT conv_id, perspective, turn, CASE WHEN mine THEN 'assistant' ELSE 'user' END AS speaks, start, start + length(segment) AS "end",
        CASE WHEN mine THEN start + length(head) END AS mask_start, CASE WHEN mine THEN start + length(segment) END AS mask_end, sha256(segment) AS segment_sha256

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
@@ -33,6 +35,8 @@ from ._common import documents, id_key, ship, shuffle_partitions, text_of
 WORDS = 5
 FRACTION = 0.25
 SLICE = 256 << 10
+#: Text of a slot, and slots at most; a slot passes through its task and is not held.
+SLOT_BYTES, MAX_SLOTS = 64 << 20, 10_000
 
 
 class Sketches:
@@ -103,22 +107,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (slot, guest, doc_id, text) of ``docs``, partitioned and sorted so that within a
-    slot each row is followed by the next document; guests only follow, they are not its own."""
+    slot each row is followed by the next document; guests only follow, they are not its own.
+
+    Slots are ranges of (doc_id, hash of the text), about SLOT_BYTES of text each; an id that
+    fills several slots alone is cut by the hash.  Only slot bounds come to the driver."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), id_key().cast("double").alias("key"))
-    cuts = [i / n for i in range(1, n)] or [0.5]
-    low, found = rows.agg(F.min("key"), F.percentile_approx("key", cuts, 10_000)).first()
-    bounds = sorted({x for x in found or () if x > low})
-    rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")] if bounds else [-float("inf"), 0.0, float("inf")], inputCol="key", outputCol="slot").transform(rows)
-    slot = F.col("slot").cast("int") if bounds else F.lit(0)
-    begins = F.get(F.array(*(F.lit(float(b)) for b in [low or 0.0, *bounds])), slot) == F.col("key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), id_key().alias("key"), F.xxhash64(text_of()).alias("tag"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_SLOTS, max(shuffle_partitions(spark), -(-size // SLOT_BYTES)))
+    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * MAX_SLOTS)).first()[0] or [0]
+    bounds, times = zip(*sorted(Counter(found).items()), strict=True)  # and slots that the id at a bound fills
+    first = [1, *(1 + x for x in accumulate(times))]  # slot 0 lies before all bounds
+    rows = rows.withColumn("range", _range(list(bounds)))
+    of = lambda values: F.get(F.lit(list(values)), F.col("range") - 1)
+    part = F.floor(F.shiftrightunsigned("tag", 32) * of(times) / F.lit(float(1 << 32))).cast("int")
+    slot = F.when(F.col("range") == 0, 0).otherwise(of(first) + F.when(of(bounds) == F.col("key"), part).otherwise(of(times) - 1))
+    rows = rows.withColumn("slot", slot.cast("int"))
+    order = [F.col("key"), F.col("tag").bitwiseXOR(F.lit(-(1 << 63)))]
+    begins = rows.groupBy("slot").agg(F.min(F.struct("key", order[1].alias("order"))).alias("f")).orderBy("slot").collect()  # one row for each slot
+    if not begins:
+        return rows.select("slot", F.lit(False).alias("guest"), "doc_id", "text")
     # the first document of a slot also follows the slot before; the very first follows the last
-    before = F.when(slot == 0, F.lit(len(bounds))).otherwise(slot - 1)
-    own = F.struct(slot.alias("slot"), F.lit(False).alias("guest"))
-    goes = F.when(begins, F.array(own, F.struct(before.alias("slot"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    sent = rows.select("doc_id", "text", F.explode(goes).alias("to")).select("to.slot", "to.guest", "doc_id", "text")
-    return sent.repartitionByRange(n, "slot").sortWithinPartitions("slot", "guest", id_key(), F.hash("text"))
+    goes = [(b["slot"], b["f"]["key"], b["f"]["order"], begins[i - 1]["slot"]) for i, b in enumerate(begins)]
+    heads = spark.createDataFrame(goes, "slot int, key long, order long, to int")
+    guests = rows.withColumn("order", order[1]).join(F.broadcast(heads), ["slot", "key", "order"]).select(F.col("to").alias("slot"), F.lit(True).alias("guest"), "doc_id", "text", "key", "tag")
+    sent = rows.select("slot", F.lit(False).alias("guest"), "doc_id", "text", "key", "tag").unionByName(guests.dropDuplicates(["slot"]))
+    return sent.repartitionByRange(n, "slot").sortWithinPartitions("slot", "guest", *order).select("slot", "guest", "doc_id", "text")
+
+
+def _range(bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` the key reaches: groups of them first, then those of
+    the last group reached."""
+    wide = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    reached = lambda some: F.aggregate(some, F.lit(0), lambda k, x: k + (x <= F.col("key")).cast("int"))
+    group = reached(F.lit([g[0] for g in groups]))
+    return F.when(group == 0, 0).otherwise((group - 1) * wide + reached(F.get(F.array(*(F.lit(g) for g in groups)), group - 1)))
 
 
 _OUT = pa.schema(

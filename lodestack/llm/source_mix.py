@@ -11,6 +11,8 @@ Running sums over a source are split: documents fall into about sqrt(n) buckets
 sums of buckets are accumulated first, then documents within their bucket.  So no task takes
 a whole source, however large.  All of it is DataFrame code.
 
+A null doc_id queues by its text; rows that repeat a doc_id queue together.
+
 Edge cases: a null source is a source of its own, last in order; null and empty texts have
 size 0, take nothing and have no position; rows that repeat a doc_id count each; an empty
 table gives an empty result.
@@ -88,11 +90,11 @@ def plan_mix(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP) -> DataFra
     """For every row of ``docs`` (doc_id, text, source): doc_id, tag (a hash of the text), size,
     source_size, target, taken, and slots: for each round that takes words of it, how many and
     the training position."""
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.hash(text_of()).alias("tag"), n_words_of(text_of()).alias("size")))
+    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("tag"), n_words_of(text_of()).alias("size")))
     sources = staged(source_targets(sized, cycle, cap))
     few = sources.count() <= BROADCAST_SOURCES
     x = sized.alias("a").join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).drop("source")
-    x = x.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    x = x.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("tag").cast("string")))))
     buckets = F.ceil(F.sqrt(F.col("n")))
     x = x.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))))
     sums = x.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
@@ -121,7 +123,7 @@ def mixed(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP) -> DataFrame:
     cols = [c for c in docs.columns if not c.startswith("__ls_")]
     plan = plan_mix(docs, cycle, cap).dropDuplicates(["doc_id", "tag"])  # equal rows take about the same
     slots = plan.select(F.col("doc_id").alias("__ls_id"), F.col("tag").alias("__ls_tag"), F.explode(F.filter("slots", lambda s: 2 * s["words"] >= F.col("size"))).alias("__ls_slot"))
-    rows = docs.select(*cols, F.hash(text_of()).alias("__ls_tag2"))
+    rows = docs.select(*cols, F.xxhash64(text_of()).alias("__ls_tag2"))
     joined = rows.join(slots, F.col("doc_id").cast("long").eqNullSafe(F.col("__ls_id")) & (F.col("__ls_tag") == F.col("__ls_tag2")))
     return joined.orderBy(F.col("__ls_slot.position"), "__ls_id", "__ls_tag").select(*cols)
 
