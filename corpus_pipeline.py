@@ -1,8 +1,14 @@
 """The corpus pipeline: five stages in order, each over all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``docs``.  Null and empty texts pass through: they are scored like others, are
-never near duplicates, have nothing to cut, take no part in the mix and so end there.
+columns of ``docs``.  The mix writes rows in training order, which the last stage returns as
+``position``: read by that column they come as the curriculum gives them.
+
+Edge cases: null and empty texts are scored like others, are never near duplicates, have
+nothing to cut, take no part in the mix and so end there; a null doc_id is the largest, and
+its text is a document like others; of rows that repeat doc_id and text one stays; a text cut
+to nothing ends in the mix; columns beyond those of ``documents`` pass through, whatever
+they are called (but for ``__ls_*``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import bpe_transducer, fm_quality, near_join, source_mix, suffix_repeats
-from lodestack.llm._common import documents, staged
+from lodestack.llm._common import documents, drop_scratch, file_order, scratch, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,8 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every row."""
-    return bpe_transducer.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """position in training order, doc_id and token ids of every row."""
+    placed = docs.select(file_order(docs).alias("position"), "doc_id", "text")
+    return bpe_transducer.encode(placed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("position",))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -57,7 +64,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, others = documents(spark, sf_dir), scratch(spark)
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        drop_scratch(spark, others | {docs._ls_path})  # what only earlier stages read
     return STAGES[-1][1](spark, docs, sf_dir)
