@@ -53,6 +53,9 @@ BUCKET_BYTES, TASK_BUCKETS = 2 << 20, 4
 #: A minimiser reported by so many map tasks is routed by whole windows.
 HOT_TASKS = 64
 
+#: Stands before a text's first byte; UTF-8 doesn't have it.
+NO_BYTE = 255
+
 KEY, TAG, SPANS = "__ls_key", "__ls_tag", "__ls_spans"
 
 
@@ -67,6 +70,8 @@ class Plan:
     tasks: int
     bits: int
     hot_tasks: int = HOT_TASKS
+    #: bytes of context behind a window that travel with it, and one before; all occurrences do
+    reach: int | None = None
 
     @property
     def block(self) -> int:
@@ -90,7 +95,7 @@ def plan_for(df: DataFrame, kind: str, k: int, m: int, **override: int) -> Plan:
     tasks = min(buckets, override.get("tasks") or min(1 << 18, max(4, pow2(total // (BUCKET_BYTES * TASK_BUCKETS)))))
     per_bit = 8 if kind == "bytes" else 64
     bits = override.get("bits") or min(MAX_BITS, max(MIN_BITS, pow2(total // per_bit)))
-    return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS))
+    return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS), override.get("reach"))
 
 
 class Symbols:
@@ -300,7 +305,8 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             x, y = o_[i], o_[lead[i]]
             if raw[b_[x] : e_[x]] != raw[b_[y] : e_[y]]:
                 same[i], lead[i] = False, i
-        asks = doc[order] == doc[order[lead]]  # least id of its string in this task
+        # least id of its string in this task
+        asks = doc[order] == doc[order[lead]] if plan.reach is None else np.ones(len(order), bool)
         done = order[~asks]
         if len(done):
             rows, at = np.unique(np.stack([doc[done], tag[done]], 1), axis=0, return_inverse=True)
@@ -340,7 +346,7 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 key, doc, start, length = key[ok], doc[ok], start[ok], length[ok]
                 if not len(key):
                     continue
-                hot = known.is_hot(key)
+                hot = known.is_hot(key) if plan.reach is None else np.zeros(len(key), bool)
                 step = np.where(hot, 1, MAX_RUN)
                 pieces = -(-length // step)
                 if (pieces > 1).any() or hot.any():
@@ -349,9 +355,14 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     key, doc, hot = key[at], doc[at], hot[at]
                     start, length = start[at] + nth * step[at], np.minimum(step[at], length[at] - nth * step[at])
                 bs, be = sym.spans(start, length + plan.k - 1)
+                source = sym.text
+                if plan.reach is not None:  # each text gets a byte in front that no text has
+                    be = np.minimum(be + plan.reach, sym.first[doc + 1]) + doc + 1
+                    bs = bs + doc
+                    source = np.insert(source, sym.first[:-1], NO_BYTE)
                 if hot.any():
                     key = np.where(hot, V.mix(V.span_hashes(sym.text, bs, be) + U64(5)), key)
-                pack.add(sym.text, bs, be, key, ids[a + doc], tags[a + doc], start - sym.first[doc], length)
+                pack.add(source, bs, be, key, ids[a + doc], tags[a + doc], start - sym.first[doc], length)
                 if pack.size > plan.flush:
                     yield from hand_over(pack)
                     pack = _Pack()
@@ -362,36 +373,43 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def unpacked(blobs: list[bytes]) -> tuple:
+    """The strings of a bucket in order of first sight, their keys and runs, and for each
+    occurrence its string, document, tag and start."""
+    unzip = zstandard.ZstdDecompressor()
+    index: dict[bytes, int] = {}
+    keys, runs, owner, docs, tags, starts = [], [], [], [], [], []
+    for raw in map(unzip.decompress, blobs):
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16
+        fields = []
+        for dtype, count in ((U64, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
+            fields.append(np.frombuffer(raw, dtype, count, at))
+            at += count * np.dtype(dtype).itemsize
+        key, length, run, who, doc, tag, start = fields
+        ends = (at + np.cumsum(length)).tolist()
+        place = np.empty(n, np.int64)
+        for i, (e, kk, rr) in enumerate(zip(ends, key.tolist(), run.tolist(), strict=True)):
+            s = raw[at:e]
+            at = e
+            j = index.setdefault(s, len(index))
+            if j == len(keys):
+                keys.append(kk)
+                runs.append(rr)
+            place[i] = j
+        owner.append(place[who])
+        docs.append(doc)
+        tags.append(tag)
+        starts.append(start)
+    return index, keys, runs, owner, docs, tags, starts
+
+
 Solver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        index: dict[bytes, int] = {}
-        keys, runs, owner, docs, tags, starts = [], [], [], [], [], []
-        for raw in map(unzip.decompress, blobs):
-            n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            at = 16
-            fields = []
-            for dtype, count in ((U64, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
-                fields.append(np.frombuffer(raw, dtype, count, at))
-                at += count * np.dtype(dtype).itemsize
-            key, length, run, who, doc, tag, start = fields
-            ends = (at + np.cumsum(length)).tolist()
-            place = np.empty(n, np.int64)
-            for i, (e, kk, rr) in enumerate(zip(ends, key.tolist(), run.tolist(), strict=True)):
-                s = raw[at:e]
-                at = e
-                j = index.setdefault(s, len(index))
-                if j == len(keys):
-                    keys.append(kk)
-                    runs.append(rr)
-                place[i] = j
-            owner.append(place[who])
-            docs.append(doc)
-            tags.append(tag)
-            starts.append(start)
+        index, keys, runs, owner, docs, tags, starts = unpacked(blobs)
         if not keys:
             return
         owner, docs, tags, starts = (np.concatenate(x).astype(np.int64) for x in (owner, docs, tags, starts))
@@ -414,6 +432,12 @@ def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], I
             last = np.append(first[1:], len(row)) - 1
             yield _span_batch(d[row[first]], t[row[first]], s[row[first]] + nth[first], s[row[first]] + nth[last] + plan.k)
 
+    return _each_bucket(plan, bucket)
+
+
+def _each_bucket(plan: Plan, bucket: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs ``bucket`` on each bucket of the routed rows; spans that are settled pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -448,9 +472,8 @@ def with_keys(df: DataFrame) -> DataFrame:
     return df.select(*keep, id_key().alias(KEY), F.xxhash64(text_of()).alias(TAG))
 
 
-def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
-    """(key, tag, spans): for each document with windows that also start in a smaller document,
-    the symbol ranges they cover, as ``start << 32 | end`` in no order, overlapping or not."""
+def solved_by(df: DataFrame, plan: Plan, solve: Any, schema: str) -> DataFrame:
+    """Census and routing of ``df``, and what ``solve`` makes of the reduce tasks' rows."""
     spark = df.sparkSession
     ship(spark)
     slim = df.select(KEY, TAG, text_of().alias("text"))
@@ -459,7 +482,19 @@ def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
     blocks = counted.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
     # One block of fixed size for each bucket, MAX_BITS in all and as much again / 8 for hot ones.
     known = spark.sparkContext.broadcast(Filter(plan, [(r["bucket"], bytes(r["shared"]), bytes(r["hot"])) for r in blocks.toLocalIterator()]))
-    found = routed(slim, plan, known).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_solve(plan, solver), _SPANS)
+    return routed(slim, plan, known).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(solve, schema)
+
+
+def all_occurrences(df: DataFrame, plan: Plan, solver: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``solver`` makes of each bucket's strings with ``plan.reach`` bytes of context and all
+    their occurrences: it gets what :func:`unpacked` returns."""
+    return solved_by(df, plan, _each_bucket(plan, lambda blobs: solver(*unpacked(blobs))), schema)
+
+
+def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
+    """(key, tag, spans): for each document with windows that also start in a smaller document,
+    the symbol ranges they cover, as ``start << 32 | end`` in no order, overlapping or not."""
+    found = solved_by(df, plan, _solve(plan, solver), _SPANS)
     packed: Column = F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("end"))
     # a set, so that rows repeated without end gather no more than one of them
     return found.groupBy(F.col("doc").alias(KEY), F.col("tag").alias(TAG)).agg(F.collect_set(packed).alias(SPANS))

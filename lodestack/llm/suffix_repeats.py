@@ -6,7 +6,8 @@ by descent through the doubling's ranks), and a stack scan visits the tree of co
 intervals.  An interval whose occurrences continue to the left in different ways, or start
 their string, is a maximal repeat: it is reported with its length and all its occurrences.
 Every repeated window lies in a maximal repeat with the same occurrences, so these decide
-what may go.
+what may go.  For that decision strings end with their windows, and equal ones are one;
+``repeat_groups`` follows repeats beyond them and returns the groups with all occurrences.
 
 Edge cases: null and empty texts, and texts under ``k`` bytes, have no windows and stay as
 they are; rows that share a doc_id never remove from each other; a null doc_id counts as the
@@ -16,7 +17,7 @@ largest; repeated rows get equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from . import _segments as S
 from . import _vec as V
-from ._common import documents
+from ._common import LAST_ID, documents
 
 U64 = np.uint64
 K, M = 50, 16
+#: Bytes beyond a window by which repeat groups are followed.
+REACH = 462
 #: Bytes of strings under one suffix array.
 ARRAY_BYTES = 1 << 18
 #: left_of of a suffix that starts its string, and of an interval with several left symbols.
@@ -108,6 +111,101 @@ def maximal_repeats(lcp: list[int], left: list[int], least: int) -> Iterator[tup
             stack.clear()
 
 
+def ordered(text: np.ndarray, lengths: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``at`` of strings of any length, sorted by their first ``most`` bytes, and the
+    common prefix of each with the one before it (0 at the start, ``most`` at the most)."""
+    n = len(text)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    rem = end - np.arange(n)
+    pad = np.concatenate([text, np.zeros(8, np.uint8)])
+    word = np.zeros(n, U64)
+    for j in range(7):
+        word = (word << U64(8)) | np.where(rem > j, pad[j : j + n], 0).astype(U64)
+    h = 7
+    rank = {h: _rank((word << U64(3)) | np.minimum(rem, 7).astype(U64))}
+    every = np.arange(n)
+    while 2 * h <= most:
+        after = np.where(rem > h, rank[h][np.minimum(every + h, n - 1)], 0)
+        rank[2 * h] = _rank((rank[h].astype(U64) << U64(32)) | after.astype(U64))
+        h *= 2
+    tail = np.where(rem[at] > most - h, rank[h][np.minimum(at + most - h, n - 1)], 0)  # overlaps the first h
+    at = at[np.lexsort((tail, rank[h][at]))]
+    a, b = at[:-1], at[1:]
+    common = np.zeros(len(a), np.int64)
+    for h in [h, *sorted(rank, reverse=True)]:
+        x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+        same = (common < rem[a]) & (common < rem[b]) & (rank[h][x] == rank[h][y])
+        common += np.where(same, h, 0)
+    common = np.minimum(common, np.minimum(rem[a], rem[b]))
+    for _ in range(6):
+        x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+        common += (common < rem[a]) & (common < rem[b]) & (text[x] == text[y])
+    return at, np.concatenate([[0], np.minimum(common, most)]).astype(np.int64)
+
+
+GROUPS = "group long, length int, cut boolean, doc long, tag long, start long"
+
+
+def _grouped(k: int, reach: int) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Maximal repeat groups of a bucket's strings, each with a byte in front and ``reach`` bytes
+    behind its windows: one row for each occurrence."""
+    most = k + reach
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+
+    def solve(index: dict[bytes, int], keys: list[int], runs: list[int], *refs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        owner, docs, tags, starts = (np.concatenate(x).astype(np.int64) for x in refs)
+        order = np.argsort(owner, kind="stable")
+        owner, docs, tags, starts = owner[order], docs[order], tags[order], starts[order]
+        first = np.searchsorted(owner, np.arange(len(keys) + 1))  # occurrences of each string
+        strings, key, run = list(index), np.array(keys, U64), np.array(runs, np.int64)
+        size = np.array([len(x) for x in strings])
+        by_key = np.argsort(key, kind="stable")
+        held, at = np.cumsum(size[by_key]), 0
+        while at < len(by_key):
+            to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + ARRAY_BYTES, "right")))
+            to = int(np.searchsorted(key[by_key], key[by_key[to - 1]], "right"))  # to the minimiser's end
+            ids, at = by_key[at:to], to
+            text = np.frombuffer(b"".join(strings[i] for i in ids.tolist()), np.uint8)
+            base = np.cumsum(size[ids]) - size[ids]
+            n = run[ids]
+            windows = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum()) + 1
+            suffix, lcp = ordered(text, size[ids], windows, most)
+            of = np.searchsorted(base, suffix, "right") - 1
+            offset = suffix - base[of] - 1
+            left = text[suffix - 1].astype(np.int64)
+            left[left == S.NO_BYTE] = DIVERSE
+            room = np.minimum(base[of] + size[ids][of] - suffix, most)
+            beside = np.maximum(lcp, np.append(lcp[1:], 0))
+            own = first[ids[of] + 1] - first[ids[of]]
+            # a string of several texts' starts is a repeat by itself where nothing is as long
+            found = [(int(room[i]), i, i) for i in np.flatnonzero((own > 1) & (left == DIVERSE) & (room > beside) & (room >= k)).tolist()]
+            for lo, hi in _stretches(lcp >= k):
+                found += [(length, a + lo, b + lo) for length, a, b in maximal_repeats(lcp[lo:hi].tolist(), left[lo:hi].tolist(), k)]
+            for length, lo, hi in found:
+                rows = np.concatenate([np.arange(first[x], first[x + 1]) for x in ids[of[lo : hi + 1]].tolist()])
+                if (docs[rows] == docs[rows[0]]).all():
+                    continue  # within one document
+                begin = starts[rows] + np.repeat(offset[lo : hi + 1], own[lo : hi + 1])
+                name = hashlib.blake2b(text[suffix[lo] : suffix[lo] + length].tobytes(), digest_size=8).digest()
+                same = [int.from_bytes(name, "little", signed=True)], [length], [length == most]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*(x * len(rows) for x in same), docs[rows], tags[rows], begin), kinds, strict=True)], ["group", "length", "cut", "doc", "tag", "start"])
+
+    return solve
+
+
+def repeat_groups(docs: DataFrame, k: int = K, m: int = M, reach: int = REACH, **plan: int) -> DataFrame:
+    """Maximal repeat groups of at least ``k`` bytes that several documents hold, with all their
+    occurrences: a row (group, length, cut, doc_id, tag, start) for each.  ``group`` is a hash of
+    the repeated bytes, ``tag`` one of the whole text, as rows may repeat a doc_id, ``start`` the
+    byte where the occurrence begins.  A repeat can't be extended to either side without losing
+    an occurrence; those of ``k + reach`` bytes and more are given by so many first bytes (cut)."""
+    keyed = S.with_keys(docs)
+    found = S.all_occurrences(keyed, S.plan_for(docs, "bytes", k, m, reach=reach, **plan), _grouped(k, reach), GROUPS)
+    return found.select("group", "length", "cut", F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "tag", "start")
+
+
 def _array_low(strings: list[bytes], run: np.ndarray, least_doc: np.ndarray, k: int) -> np.ndarray:
     """For each window of each string the least document among its occurrences."""
     low = np.repeat(least_doc, run)

@@ -154,3 +154,42 @@ def test_long_texts(spark):
     assert got[3].n_removed == 0  # a document never removes from itself
     got = {r.doc_id: r.n_removed for r in superkmer_dedup.removal_report(df).collect()}
     assert got == {1: 0, 2: 59_000, 3: 0}
+
+
+def brute_groups(rows, k, most):
+    """(repeat, occurrences) of every maximal repeat of k to most bytes that two documents hold."""
+    where = defaultdict(set)
+    for row, (doc, text) in enumerate(rows):
+        raw = (text or "").encode()
+        for i in range(len(raw) - k + 1):
+            for n in range(k, min(most, len(raw) - i) + 1):
+                where[raw[i : i + n]].add((row, i))
+    raw = [(t or "").encode() for _, t in rows]
+    out = {}
+    for s, at in where.items():
+        if len({rows[r][0] for r, _ in at}) < 2:
+            continue
+        left = {raw[r][i - 1] if i else (r, "start") for r, i in at}
+        right = {raw[r][i + len(s)] if i + len(s) < len(raw[r]) else (r, "end") for r, i in at}
+        if len(left) > 1 and (len(right) > 1 or len(s) == most):
+            out[s] = sorted((rows[r][0] is None, rows[r][0] or 0, i) for r, i in at)
+    return out
+
+
+@pytest.mark.parametrize("plan", [{}, {"buckets": 8, "tasks": 2}])
+def test_repeat_groups_against_brute_force(spark, plan):
+    rng = random.Random(31)
+    passages = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(12, 60))) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = [rng.choice([rng.choice(passages), rng.choice(passages)[3:30], "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 30)))]) for _ in range(rng.randrange(4))]
+        rows.append((i, "".join(parts)))
+    rows += [(50, rows[4][1]), (51, rows[4][1]), (52, None), (53, ""), (None, passages[0] + "q"), (54, passages[0] + "r"), (55, "w" + "ab" * 30), (56, "v" + "ab" * 30)]
+    want = brute_groups(rows, 12, 40)
+    assert len(want) > 30 and any(len(s) == 40 for s in want) and any(len(s) < 40 for s in want)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(3)
+    got = defaultdict(list)
+    for r in suffix_repeats.repeat_groups(df, k=12, m=8, reach=28, **plan).collect():
+        got[r["group"], r.length, r.cut].append((r.doc_id is None, r.doc_id or 0, r.start))
+    assert {(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), len(s), len(s) == 40): at for s, at in want.items()} == {g: sorted(at) for g, at in got.items()}
+    assert suffix_repeats.repeat_groups(df.where("false")).count() == 0
