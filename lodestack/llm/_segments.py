@@ -91,8 +91,9 @@ def plan_for(df: DataFrame, kind: str, k: int, m: int, **override: int) -> Plan:
     """Sizes buckets and filter by the bytes of text, one aggregate over the column."""
     total = df.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
     pow2 = lambda n: 1 << max(0, int(n) - 1).bit_length()
-    buckets = override.get("buckets") or min(1 << 20, max(16, pow2(total // BUCKET_BYTES)))
-    tasks = min(buckets, override.get("tasks") or min(1 << 18, max(4, pow2(total // (BUCKET_BYTES * TASK_BUCKETS)))))
+    tasks = override.get("tasks") or min(1 << 18, max(pow2(shuffle_partitions(df.sparkSession)), pow2(total // (BUCKET_BYTES * TASK_BUCKETS))))
+    buckets = override.get("buckets") or min(1 << 20, max(tasks, pow2(total // BUCKET_BYTES)))
+    tasks = min(tasks, buckets)
     per_bit = 8 if kind == "bytes" else 64
     bits = override.get("bits") or min(MAX_BITS, max(MIN_BITS, pow2(total // per_bit)))
     return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS), override.get("reach"))
