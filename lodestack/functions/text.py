@@ -105,7 +105,7 @@ def snippet(text: Column, terms: list[str], limit: int = 300) -> Column:
     first = F.coalesce(found[0] if len(found) == 1 else F.least(*found), F.lit(1)) - 1 if found else F.lit(0)
     rough = F.greatest(F.lit(0), first - limit // 4)
     back = F.instr(F.reverse(F.substring(flat, F.lit(1), rough)), " ")  # distance to the space before
-    start = F.when(rough == 0, 0).when(back > 0, rough - back + 1).otherwise(0)
+    start = F.when(back > 0, rough - back + 1).otherwise(rough)  # without a space before it, right there
     body = F.substring(flat, start + 1, F.lit(limit))
     cut = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(body), F.when(start + limit < F.char_length(flat), "...").otherwise(""))
     return F.when(F.char_length(flat) <= limit, flat).otherwise(cut)

@@ -28,11 +28,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(chunks: DataFrame, heading_weight: int = 2) -> DataFrame:
-    """(term, chunk_id, tf): tokens of the body, of the heading (counted twice) and of the path."""
+def postings(chunks: DataFrame, heading_weight: int = 2, also: Sequence[str] = ()) -> DataFrame:
+    """(term, chunk_id, tf, and columns ``also`` of the chunk): tokens of the body, of the heading (counted twice) and of the path."""
     field = lambda c, w: F.transform(T.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
     every = F.concat(field(F.col("body"), 1), field(F.col("heading"), heading_weight), field(T.path_text(F.concat_ws("/", "corpus", "rel")), 1))
-    return chunks.select("chunk_id", F.explode(every).alias("x")).groupBy("x.term", "chunk_id").agg(F.sum("x.w").cast("long").alias("tf"))
+    return chunks.select("chunk_id", *also, F.explode(every).alias("x")).groupBy("x.term", "chunk_id", *also).agg(F.sum("x.w").cast("long").alias("tf"))
 
 
 def field_postings(chunks: DataFrame) -> DataFrame:
@@ -52,20 +52,53 @@ def ranked(lane: DataFrame, by: Sequence[str] = (), score: str = "score", id_: s
     return lane.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(id_))))
 
 
+def _hint(rows: DataFrame, each: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasting for what has at most ``each`` rows for every row of ``rows``, if a count allows."""
+    most = BROADCAST_ROWS // each
+    return F.broadcast if rows.limit(most + 1).count() <= most else lambda d: d
+
+
+def _best(hits: DataFrame, n: Column, avg: Column, pool: int, digits: int) -> DataFrame:
+    """(query_id, id, score) from hits (query_id, chunk_id, tf, words, df).  Scores are rounded
+    before they are ordered, as sums in another order differ in the last bits."""
+    weight = T.idf(n, F.col("df")) * T.term_weight(F.col("tf"), F.col("words"), avg)
+    scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(weight), digits).alias("score"))
+    return ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+
+
 def bm25(post: DataFrame, chunks: DataFrame, queries: DataFrame, pool: int, corpora: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """(query_id, id, score) of the ``pool`` best chunks for each of ``queries`` (query_id, terms).
-    With ``corpora`` only their chunks count, for the statistics too.  Scores are rounded before
-    they are ordered, as sums in another order differ in the last bits."""
+    With ``corpora`` only their chunks count, for the statistics too."""
     c = chunks.where(F.col("corpus").isin(*corpora)) if corpora else chunks
     c = c.select("chunk_id", "words")
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = post.join(small(asked.select("term").distinct()), "term", "left_semi").join(c, "chunk_id")
+    asked = _asked(queries)
+    hint = _hint(asked)
+    wanted = post.join(hint(asked.select("term").distinct()), "term", "left_semi").join(c, "chunk_id")
     stats = c.agg(F.count("*").alias("n"), F.avg("words").alias("avg"))
-    freq = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(small(asked), "term").join(F.broadcast(freq), "term").crossJoin(F.broadcast(stats))  # freq has a row for each asked term, stats one row
-    weight = T.idf(F.col("n"), F.col("df")) * T.term_weight(F.col("tf"), F.col("words"), F.col("avg"))
-    scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(weight), digits).alias("score"))
-    return ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
+    freq = wanted.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term
+    hits = wanted.join(hint(asked), "term").join(hint(freq), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    return _best(hits, F.col("n"), F.col("avg"), pool, digits)
+
+
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """:func:`postings` with the corpus and length of the chunk, as an index keeps them."""
+    return postings(chunks, also=("corpus", "words"))
+
+
+def bm25_stored(post: DataFrame, terms: DataFrame, n: int, words: int, queries: DataFrame, pool: int, corpora: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """As :func:`bm25`, from an index: :func:`stored_postings`, ``terms`` (corpus, term, df) and
+    the ``n`` chunks and ``words`` words of the corpora searched.  Reads postings once."""
+    asked = _asked(queries)
+    hint = _hint(asked)
+    if corpora:
+        post, terms = post.where(F.col("corpus").isin(*corpora)), terms.where(F.col("corpus").isin(*corpora))
+    freq = terms.join(hint(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    hits = post.select("term", "chunk_id", "tf", "words").join(hint(asked.join(hint(freq), "term")), "term")
+    return _best(hits, F.lit(n), F.lit(words / n if n and words else 1.0), pool, digits)
 
 
 def bm25_fields(post: DataFrame, queries: DataFrame, pool: int, chunks: DataFrame, weights: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
@@ -79,8 +112,10 @@ def bm25_fields(post: DataFrame, queries: DataFrame, pool: int, chunks: DataFram
 def knn(vectors: DataFrame, queries: DataFrame, pool: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score) of the nearest of ``vectors`` (id, vec) for each of ``queries``
     (query_id, vec) by dot product: a stated set of queries against all rows.  Vectors of
-    another dimension are skipped."""
-    pairs = vectors.crossJoin(small(queries.select("query_id", F.col("vec").alias("q"))))
+    another dimension are skipped.  More queries than a block go by blocks."""
+    if queries.limit(VECTOR_BLOCK + 1).count() > VECTOR_BLOCK:
+        return knn_blocks(vectors, queries, pool, digits)
+    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("q"))))  # a block at most
     scored = pairs.where(F.size("vec") == F.size("q")).select("query_id", "id", F.round(T.dot(F.col("vec"), F.col("q")), digits).alias("score"))
     return ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
 
@@ -158,23 +193,27 @@ def coverage_weight(lexical: DataFrame, chunks: DataFrame, queries: DataFrame) -
     return queries.join(best, "query_id", "left").select("query_id", cov.alias("coverage")).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")))
 
 
-def search(chunks: DataFrame, post: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20) -> DataFrame:
+def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None) -> DataFrame:
     """Hybrid search: the lexical lane, weighed against the vector lane by coverage, fused, capped
     for each file and cut to ``k``; lexical only where vectors are absent or the mode says so.
-    Late materialisation: ids are cut to twice the pool before chunk rows are joined."""
+    ``lexical`` stands for a lane from an index.  The lanes' ids, at most twice the pool for each
+    query, are joined with chunks once; weights and order come from windows over these rows."""
     k = k or 6
     pool = max(40, 3 * k)
-    lexical = bm25(post, chunks, queries, pool, corpora)
-    weights = coverage_weight(lexical, chunks, queries)
-    lanes = [(lexical, F.lit(1.0))]
+    lexical = bm25(post, chunks, queries, pool, corpora) if lexical is None else lexical
     hybrid = mode != "lexical" and vectors is not None and query_vectors is not None
+    none = F.lit(None).cast
+    lanes = ranked(lexical, ["query_id"]).select("query_id", "id", F.col("rank").alias("lex_rank"), F.col("score").alias("bm25"), none("int").alias("vec_rank"), none("double").alias("cosine"))
     if hybrid:
         mine = vectors.join(chunks.where(F.col("corpus").isin(*corpora)).select(F.col("chunk_id").alias("id")), "id", "left_semi") if corpora else vectors
-        near = knn(mine, query_vectors, max(20, k)).join(small(weights.select("query_id", "vec_weight")), "query_id")
-        lanes.append((near, F.col("vec_weight")))
-    fused = rrf(lanes, rrf_k).where(F.col("rank") <= 2 * pool)
-    if not hybrid:
-        fused = fused.withColumn("rank_2", F.lit(None).cast("int"))
-    rows = fused.join(chunks, F.col("id") == F.col("chunk_id")).withColumn("ref", F.concat_ws(":", "corpus", "rel"))
-    hits = per_file_cap(rows, cap, k).join(weights, "query_id")
-    return hits.select("query_id", "place", "id", "ref", "heading", "line_start", "line_end", F.round("score", 5).alias("score"), F.col("rank_1").alias("lex_rank"), F.col("rank_2").alias("vec_rank"), F.round("coverage", 2).alias("lexical_coverage"), F.round(F.col("vec_weight") if hybrid else F.lit(0.0), 2).alias("vec_weight"), "body")
+        near = ranked(knn(mine, query_vectors, max(20, k)), ["query_id"])
+        lanes = lanes.union(near.select("query_id", "id", none("int"), none("double"), "rank", "score"))
+    found = lanes.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in ("lex_rank", "bm25", "vec_rank", "cosine")))
+    rows = _hint(queries, 2 * pool)(found).join(chunks, F.col("id") == F.col("chunk_id")).join(small(queries.select("query_id", "terms")), "query_id")
+    seen = F.concat(T.tokens(F.col("heading")), T.tokens(F.col("body")), T.tokens(F.translate("rel", "/_", "  ")))
+    best = F.max(F.when(F.col("lex_rank") == 1, T.coverage(F.col("terms"), seen))).over(Window.partitionBy("query_id"))
+    rows = rows.withColumn("coverage", F.coalesce(best, F.lit(0.0))).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")) if hybrid else F.lit(0.0))
+    part = lambda w, r: F.coalesce(w / (rrf_k + F.col(r)), F.lit(0.0))
+    rows = rows.withColumn("score", F.round(part(F.lit(1.0), "lex_rank") + part(F.col("vec_weight"), "vec_rank"), 9)).withColumn("ref", F.concat_ws(":", "corpus", "rel"))
+    hits = per_file_cap(rows, cap, k)
+    return hits.select("query_id", "place", "id", "ref", "heading", "line_start", "line_end", F.round("score", 5).alias("score"), "lex_rank", "vec_rank", F.round("bm25", 3).alias("bm25"), F.round("cosine", 4).alias("cosine"), F.round("coverage", 2).alias("lexical_coverage"), F.round("vec_weight", 2).alias("vec_weight"), "body")

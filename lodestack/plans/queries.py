@@ -167,6 +167,24 @@ def q_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunker.chunk_files(f).select("corpus", "rel", "ordinal", "heading", "line_start", "line_end", "words", "hash")
 
 
+#: Small notes for the chunker, one for each rule: fields above the text, fences, merging, levels
+#: that are left out, splitting at paragraphs.
+NOTES = {
+    "kiln.md": '---\nname: kiln\ndescription: "Firing notes"\n  nested: no\n---\nplain body here\n',
+    "steps.md": "# Steps\nintro words one two three\n## Build\nmix the clay well\n```\n# not a heading\n```\n### Dry\nslow air\n## Fire\nhot\n# End #\nfin\n",
+    "long.md": "## Part\na b c d e f g h\n\ni j k l m n o p\n\nq r s t u v w x\n",
+    "fence.md": "~~~\n# a\n```\n# b",
+    "skip.md": "# Top\n### Deep\nx y z",
+    "open.md": "---\nname: x\nno end",
+    "empty.md": "",
+}
+
+
+def q_chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
+    f = spark.createDataFrame([("n", r, f"/n/{r}", t) for r, t in NOTES.items()], "corpus string, rel string, path string, text string")
+    return chunker.chunk_files(f, 6, 16, 20).select("rel", "title", "ordinal", "heading", "line_start", "line_end", "words", "body", "hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tokenize": q_tokenize,
@@ -199,6 +217,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "carry_over": q_carry_over,
         "replace_files": q_replace,
         "chunk_documents": q_chunk_documents,
+        "chunk_notes": q_chunk_notes,
     }
 
 
@@ -243,10 +262,46 @@ def _snippet_sql(limit: int = 120) -> str:
     first = "coalesce(least(" + ", ".join(f"nullif(instr(lower(s), '{p}'), 0)" for p in probes) + "), 1) - 1"
     return rf"""WITH a AS (SELECT doc_id AS chunk_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents),
  b AS (SELECT *, greatest(0, {first} - {limit // 4}) AS rough FROM a), d AS (SELECT *, instr(reverse(substr(s, 1, rough)), ' ') AS back FROM b),
- e AS (SELECT *, CASE WHEN rough = 0 THEN 0 WHEN back > 0 THEN rough - back + 1 ELSE 0 END AS st FROM d)
+ e AS (SELECT *, CASE WHEN back > 0 THEN rough - back + 1 ELSE rough END AS st FROM d)
  SELECT chunk_id, CASE WHEN length(s) <= {limit} THEN s ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || trim(substr(s, st + 1, {limit})) || CASE WHEN st + {limit} < length(s) THEN '...' ELSE '' END END AS snippet FROM e"""
 
 
+#: What the rules make of ``NOTES`` at 6, 16 and 20 words, worked out by hand.
+_NOTES = (
+    ("kiln.md", "kiln", 0, "Firing notes", 6, 6, 3, "plain body here"),
+    ("steps.md", "Steps", 0, "Steps", 1, 2, 7, "# Steps\nintro words one two three"),
+    ("steps.md", "Steps", 1, "Steps > Build", 3, 9, 16, "## Build\nmix the clay well\n```\n# not a heading\n```\n### Dry\nslow air"),
+    ("steps.md", "Steps", 2, "Steps > Fire", 10, 11, 3, "## Fire\nhot"),
+    ("steps.md", "Steps", 3, "End", 12, 13, 4, "# End #\nfin"),
+    ("long.md", "long", 0, "Part", 1, 4, 18, "## Part\na b c d e f g h\ni j k l m n o p"),
+    ("long.md", "long", 1, "Part", 6, 6, 8, "q r s t u v w x"),
+    ("fence.md", "b", 0, "", 1, 3, 4, "~~~\n# a\n```"),
+    ("fence.md", "b", 1, "b", 4, 4, 2, "# b"),
+    ("skip.md", "Top", 0, "Top > Deep", 1, 3, 7, "# Top\n### Deep\nx y z"),
+    ("open.md", "open", 0, "", 1, 3, 5, "---\nname: x\nno end"),
+)
+#: Texts without a heading: whole, or by paragraphs packed up to 800 words, a longer one by lines.
+_CHUNKED = r"""WITH RECURSIVE d AS (SELECT doc_id, lang AS corpus, concat_ws('/', source, doc_id) AS rel, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+ l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS t FROM d),
+ w AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w, sum(w) OVER (PARTITION BY doc_id) AS total FROM l),
+ full_ AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS p FROM w WHERE w > 0),
+ pw AS (SELECT doc_id, p, sum(w) > 800 AS big FROM full_ WHERE total > 800 GROUP BY ALL),
+ seg AS (SELECT doc_id, p, big, sum((big OR before)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM (SELECT *, coalesce(lag(big) OVER (PARTITION BY doc_id ORDER BY p), false) AS before FROM pw)),
+ units AS (SELECT doc_id, s, CASE WHEN big THEN n ELSE -p - 1 END AS u, min(n) AS a, max(n) AS b, sum(w) AS w FROM full_ JOIN seg USING (doc_id, p) GROUP BY ALL),
+ unit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY a) AS i FROM units),
+ packed AS (SELECT doc_id, s, i, 1 AS g, w AS size, a, b FROM unit WHERE i = 1 UNION ALL
+  SELECT u.doc_id, u.s, u.i, CASE WHEN size + u.w > 800 THEN g + 1 ELSE g END, CASE WHEN size + u.w > 800 THEN u.w ELSE size + u.w END, u.a, u.b FROM packed r JOIN unit u ON u.doc_id = r.doc_id AND u.s = r.s AND u.i = r.i + 1),
+ piece AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM packed GROUP BY doc_id, s, g UNION ALL SELECT doc_id, min(n), max(n) FROM full_ WHERE total <= 800 GROUP BY doc_id),
+ body AS (SELECT doc_id, a, b, sum(w) AS words, regexp_replace(string_agg(t, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS body FROM piece JOIN w USING (doc_id) WHERE n BETWEEN a AND b AND (w > 0 OR total <= 800) GROUP BY ALL)
+ SELECT corpus, rel, (row_number() OVER (PARTITION BY doc_id ORDER BY a.a) - 1)::INTEGER AS ordinal, '' AS heading, a.a::INTEGER AS line_start, b::INTEGER AS line_end, words::INTEGER AS words, sha256(chr(10) || body) AS hash FROM body a JOIN d USING (doc_id)"""
+
+
+def _notes_sql() -> str:
+    text = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    rows = ", ".join("(" + ", ".join(text(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in _NOTES)
+    return f"SELECT *, sha256(heading || chr(10) || body) AS hash FROM (VALUES {rows}) v(rel, title, ordinal, heading, line_start, line_end, words, body)"
+
+
 def oracle_sql() -> dict[str, str]:
     body_tokens = rf"r AS (SELECT chunk_id, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS w FROM c)"
     stem = _STEM.replace("t LIKE", "x LIKE").replace("length(t)", "length(x)").replace("t[", "x[").replace("ELSE t END", "ELSE x END")
@@ -283,5 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "index_report": f"WITH {_SNAPS} SELECT status, count(*) AS files FROM diff GROUP BY status",
         "purge": f"WITH {_SNAPS} SELECT corpus, rel FROM o SEMI JOIN nw USING (corpus, rel)",
         "carry_over": f"WITH {_CHUNKS} SELECT chunk_id + 1000000 AS chunk_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm2 FROM c JOIN embeddings ON vec_id = chunk_id WHERE chunk_id % 3 <> 0",
+        "chunk_documents": _CHUNKED,
+        "chunk_notes": _notes_sql(),
         "replace_files": f"WITH {_SNAPS} SELECT corpus, rel, nw.sha256 FROM nw JOIN diff USING (corpus, rel) WHERE status <> 'unchanged' UNION ALL SELECT corpus, rel, o.sha256 FROM o JOIN diff USING (corpus, rel) WHERE status = 'unchanged'",
     }
