@@ -1,9 +1,12 @@
 """The engine over folders: incremental indexing, search, sections, recent files, status.
 
-An index is a folder of generations, each with Parquet tables ``files``, ``chunks``,
-``postings`` and ``vectors``, and ``manifest.json`` that names the current one.  A run writes
-a new generation and then swaps the manifest, so readers never wait and a run that stops
-half-way changes nothing.  The folder must be one that the driver and the executors share.
+An index is a folder of generations and ``manifest.json``.  Files belong to one of ``PARTS``
+parts by a hash of their name; each of the tables ``files``, ``chunks``, ``vectors`` and those
+of the lexical backend (``postings`` and ``terms``, sorted by term) has a folder for each part,
+and the manifest says in which generation that of each part lies.  A run lists the files, opens
+those whose time or size is new, and writes only the parts that they change, some parts at a
+time; each time the manifest is swapped, so readers never wait and a run that stops half-way
+keeps what it finished.  The folder must be one that the driver and the executors share.
 """
 
 from __future__ import annotations
@@ -19,45 +22,81 @@ from functools import reduce
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunker, upkeep
 from .operators import retrieval as R
+from .operators.lexical import BACKENDS as LEXICAL
 from .sources import config as C
 from .sources import files as S
 
 FILES = "corpus string, rel string, path string, sha256 string, mtime timestamp, size long"
 VECTORS = "chunk_id long, sig string, vec array<float>"
-POSTINGS = "term string, chunk_id long, tf long"
+POSTINGS = "term string, chunk_id long, corpus string, words int, tf long, at array<int>"
+TERMS = "corpus string, term string, df long"
 CHUNKS = chunker.CHUNK_SCHEMA + ", chunk_id long"
-SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vectors": VECTORS}
+SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "terms": TERMS, "vectors": VECTORS}
 STALE_LOCK = 900
+PARTS = 64
+#: Parts that are written together; between such groups a run may be stopped.
+GROUP = 16
+#: So many changed files are opened by name; for more the folders are read.
+BY_NAME = 2_000
 
 
 def _alive(pid: int) -> bool:
+    if pid <= 0:  # would name a group of processes
+        return False
     try:
         os.kill(pid, 0)
-    except ProcessLookupError:
+    except (ProcessLookupError, OverflowError):
         return False
     except PermissionError:
         return True
     return True
 
 
+class Lock:
+    """A held lock; ``renew`` keeps a long run's from growing old."""
+
+    def __init__(self, path: Path, now: Callable[[], float]):
+        self.path, self.now, self.token = path, now, os.urandom(8).hex()
+
+    def text(self) -> str:
+        return json.dumps({"pid": os.getpid(), "at": self.now(), "token": self.token})
+
+    def mine(self) -> bool:
+        try:
+            return json.loads(self.path.read_text()).get("token") == self.token
+        except (OSError, ValueError, AttributeError):
+            return False
+
+    def renew(self) -> bool:
+        """False if another process has taken the lock meanwhile: then nothing more may be written."""
+        if not self.mine():
+            return False
+        new = self.path.with_name(f"writer.lock.{self.token}")
+        new.write_text(self.text())
+        os.replace(new, self.path)
+        return True
+
+
 @contextmanager
-def writer_lock(folder: Path, now: Callable[[], float] = time.time) -> Iterator[bool]:
-    """Whether this process may write: one holder at a time; a holder that is dead or older
-    than ``STALE_LOCK`` seconds is put aside, if it is still the one that was looked at."""
+def writer_lock(folder: Path, now: Callable[[], float] = time.time) -> Iterator[Lock | None]:
+    """A lock if this process may write, else None: one holder at a time; a holder that is dead
+    or has not renewed for ``STALE_LOCK`` seconds is put aside, if it is still the one looked at."""
     folder.mkdir(parents=True, exist_ok=True)
     path = folder / "writer.lock"
-    mine = json.dumps({"pid": os.getpid(), "at": now(), "token": os.urandom(8).hex()})
-    held = False
+    lock, held = Lock(path, now), False
     for _ in range(2):
         try:
             fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         except FileExistsError:
+            seen = None
             try:
                 seen = path.read_text()
                 other = json.loads(seen)
@@ -65,27 +104,29 @@ def writer_lock(folder: Path, now: Callable[[], float] = time.time) -> Iterator[
             except FileNotFoundError:
                 continue
             except (ValueError, KeyError, TypeError):  # half-written: judged by its age
-                stale = path.exists() and now() - path.stat().st_mtime > STALE_LOCK
+                with suppress(FileNotFoundError):
+                    stale = now() - path.stat().st_mtime > STALE_LOCK
             if not stale:
                 break
-            aside = folder / f"writer.lock.{os.getpid()}"
+            aside = folder / f"writer.lock.{lock.token}"
             with suppress(FileNotFoundError):
                 os.rename(path, aside)
-                if aside.read_text() != seen:  # another process took over in between
-                    os.rename(aside, path)
+                if aside.read_text() != seen:  # another process took over in between: back, unless a third holds it
+                    with suppress(FileExistsError):
+                        os.link(aside, path)
+                    aside.unlink()
                     break
                 aside.unlink()
             continue
         with os.fdopen(fd, "w") as f:
-            f.write(mine)
+            f.write(lock.text())
         held = True
         break
     try:
-        yield held
+        yield lock if held else None
     finally:
-        with suppress(FileNotFoundError):
-            if held and path.read_text() == mine:
-                path.unlink()
+        if held and lock.mine():
+            path.unlink(missing_ok=True)
 
 
 class Engine:
@@ -95,6 +136,9 @@ class Engine:
         self.spark, self.config, self.folder = spark, C.merged(C.DEFAULTS, config), Path(index)
         self.provider, self.sig = provider, sig
         self.corpora = C.corpora(self.config)
+        self.parts = int(self.manifest().get("parts") or self.config.get("index_parts") or PARTS)
+        self.backend = LEXICAL[self.config.get("lexical_backend") or "bm25"]
+        self._cached: tuple[tuple, DataFrame] | None = None
 
     # tables
 
@@ -104,115 +148,228 @@ class Engine:
         except FileNotFoundError:
             return {}
 
-    def table(self, name: str) -> DataFrame:
-        gen = self.manifest().get("generation")
-        if gen is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(self.folder / gen / name))
+    def table(self, name: str, parts: set[int] | None = None) -> DataFrame:
+        """A table of the current generation, of all parts or of some."""
+        at = self.manifest().get("tables", {}).get(name, {})
+        paths = [str(self.folder / gen / name / f"part={p}") for p, gen in sorted(at.items()) if parts is None or int(p) in parts]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("corpus", "rel"), F.lit(self.parts)).cast("int").alias("part")
+
+    def _sizes(self, corpora: Sequence[str] = ()) -> tuple[int, int, int]:
+        """(chunks, words) of all corpora or of some, and embedded chunks of all."""
+        parts = self.manifest().get("sizes", {}).values()
+        of = [v for p in parts for c, v in p["corpora"].items() if not corpora or c in corpora]
+        return sum(n for n, _ in of), sum(w for _, w in of), sum(p["embedded"] for p in parts if p["sig"] == self.sig)
 
     def available(self, names: Sequence[str] = ()) -> list[C.Corpus]:
         return [c for c in self.corpora if c.enabled and Path(c.root).exists() and (not names or c.name in names)]
 
     # indexing
 
-    def index(self, full: bool = False, corpora: Sequence[str] = (), if_older_than: float | None = None, should_stop: Callable[[], bool] = lambda: False) -> dict:
+    def index(self, full: bool = False, corpora: Sequence[str] = (), if_older_than: float | None = None, should_stop: Callable[[], bool] = lambda: False, progress: Callable[[str], None] = lambda _: None, embed: bool = True) -> dict:
         """Bring the index up to date and report counts.  Files of corpora that are disabled or
         whose folder is missing stay; those of corpora no longer configured go, unless a subset
-        was asked for.  ``should_stop`` is asked between steps; a stopped run changes nothing."""
+        was asked for.  ``should_stop`` is asked between groups of parts; the next run does what
+        a stopped run left."""
         began = time.time()
         age = began - self.manifest().get("indexed_at", 0)
         if if_older_than is not None and age < if_older_than:
             return {"skipped": "fresh", "age": age}
-        with writer_lock(self.folder) as mine:
-            if not mine:
+        with writer_lock(self.folder) as lock:
+            if lock is None:
                 return {"skipped": "another process is writing"}
-            return self._index(full, corpora, should_stop, began)
+            return self._index(full, corpora, lambda: should_stop() or not lock.renew(), progress, embed, began)
+
+    def _listed(self, gen: Path, took: list[C.Corpus]) -> DataFrame:
+        """Files as they are now, written once: all later steps see these."""
+        lists = [S.listing(self.spark, c, self.config["max_file_bytes"], tuple(self.config["exclude"])) for c in took]
+        empty = self.spark.createDataFrame([], "corpus string, rel string, path string, uri string, mtime timestamp, size long")
+        reduce(DataFrame.unionByName, lists, empty).write.parquet(str(gen / "listing"))
+        return self.spark.read.parquet(str(gen / "listing"))
+
+    def _opened(self, gen: Path, took: list[C.Corpus], suspects: DataFrame) -> DataFrame:
+        """Contents of ``suspects`` with the hash of just these contents, written once."""
+        rows = suspects.select("corpus", "uri").limit(BY_NAME + 1).collect()
+        args = self.config["max_file_bytes"], tuple(self.config["exclude"])
+        parts = []
+        for c in took:
+            uris = [r.uri for r in rows if r.corpus == c.name] if len(rows) <= BY_NAME else None
+            if uris or uris is None:
+                try:
+                    parts.append(S.scan(self.spark, c, *args, uris))
+                except AnalysisException:  # a file has gone since it was listed
+                    parts.append(S.scan(self.spark, c, *args))
+        found = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], FILES + ", text string"))
+        found.join(suspects.select("corpus", "rel"), ["corpus", "rel"], "left_semi").write.parquet(str(gen / "opened"))
+        return self.spark.read.parquet(str(gen / "opened"))
 
-    def _index(self, full: bool, corpora: Sequence[str], should_stop: Callable[[], bool], began: float) -> dict:
+    def _index(self, full: bool, corpora: Sequence[str], should_stop: Callable[[], bool], progress: Callable[[str], None], embed: bool, began: float) -> dict:
         took = self.available(corpora)
-        scans = [S.scan(self.spark, c, self.config["max_file_bytes"], tuple(self.config["exclude"])) for c in took]
-        found = reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], FILES + ", text string")
-        old_files, old_chunks, old_vectors = self.table("files"), self.table("chunks"), self.table("vectors")
-        in_scope = F.col("corpus").isin([c.name for c in took]) if took else F.lit(False)
-        known = F.lit(True) if corpora else (F.col("corpus").isin([c.name for c in self.corpora]) if self.corpora else F.lit(False))
-        now_files = found.drop("text")
         gen = self.folder / f"gen-{time.time_ns()}"
-        # written once: later steps must see the files as this comparison saw them
-        upkeep.snapshot_diff(old_files.where(in_scope), now_files, full).write.parquet(str(gen / "diff"))
+        before = self.manifest()
+        in_scope = F.col("corpus").isin([c.name for c in took])
+        known = F.lit(True) if corpora else F.col("corpus").isin([c.name for c in self.corpora])
+        old = self.table("files")
+        now = self._listed(gen, took)
+        first = upkeep.snapshot_diff(old.where(in_scope), now.withColumn("sha256", F.lit("")), full)
+        opened = self._opened(gen, took, now.join(first.where("status in ('new', 'touched', 'changed')"), ["corpus", "rel"], "left_semi"))
+        same = first.where("status = 'unchanged'").select("corpus", "rel")
+        seen = old.join(same, ["corpus", "rel"], "left_semi").select(*_names(FILES)).union(opened.select(*_names(FILES)))
+        status = upkeep.snapshot_diff(old.where(in_scope), seen, full)
+        gone = old.where(~known).select("corpus", "rel", F.lit("purged").alias("status"))
+        status.union(gone).withColumn("part", self._part()).write.parquet(str(gen / "diff"))
         diff = self.spark.read.parquet(str(gen / "diff"))
-        if should_stop():
-            shutil.rmtree(gen)
-            return {"stopped": True}
-        todo = diff.where(F.col("status") != "removed") if full else diff.where(F.col("status").isin("new", "changed"))
-        stale = todo.select("corpus", "rel").union(diff.where("status = 'removed'").select("corpus", "rel"))
-        kept_chunks = old_chunks.where(known).join(stale, ["corpus", "rel"], "left_anti").select(*_names(CHUNKS))
-        size = self.config["chunk"]
-        fresh = chunker.chunk_files(found.join(todo, ["corpus", "rel"], "left_semi"), size["min_words"], size["target_words"], size["max_words"])
-        fresh = fresh.withColumn("chunk_id", F.xxhash64("corpus", "rel", "ordinal")).select(*_names(CHUNKS))
-        kept_chunks.union(fresh).write.parquet(str(gen / "chunks"))
-        files = old_files.where(known & ~in_scope).select(*_names(FILES)).union(now_files.join(diff.where("status <> 'removed'"), ["corpus", "rel"], "left_semi").select(*_names(FILES)))
-        files.write.parquet(str(gen / "files"))
-        chunks = self.spark.read.schema(CHUNKS).parquet(str(gen / "chunks"))
-        R.postings(chunks).select(*_names(POSTINGS)).write.parquet(str(gen / "postings"))
-        had = upkeep.carry_over(chunks, old_chunks, old_vectors, self.sig).select(*_names(VECTORS))
-        had.write.parquet(str(gen / "carried"))
-        carried = self.spark.read.schema(VECTORS).parquet(str(gen / "carried"))
-        every = carried
-        if self.provider and not should_stop():
-            every = every.union(S.embed(upkeep.pending(chunks, carried, self.sig), self.sig, self.provider))
-        every.write.parquet(str(gen / "vectors"))
-        if should_stop():
-            shutil.rmtree(gen)
-            return {"stopped": True}
-        counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
-        reused, embedded = carried.count(), self.table_at(gen, "vectors").count()
-        total = chunks.count()
+        if full:
+            diff = diff.withColumn("status", F.when(F.col("status").isin("unchanged", "touched"), "changed").otherwise(F.col("status")))
+        counts: dict[str, int] = {}
+        dirty = set()
+        for r in diff.groupBy("part", "status").count().collect():  # parts times states
+            counts[r["status"]] = counts.get(r["status"], 0) + r["count"]
+            if r["status"] != "unchanged":
+                dirty.add(r["part"])
+        sizes = before.get("sizes", {})
+        behind = {int(p) for p, v in sizes.items() if v["backend"] != self.backend.name} - dirty
+        embeds = bool(self.provider) and embed
+        if embeds:
+            behind |= {int(p) for p, v in sizes.items() if v["sig"] != self.sig or v["embedded"] < sum(n for n, _ in v["corpora"].values())} - dirty
+        made = {"reused": 0, "new": 0}
+        stopped = False
+        groups = [(g, True) for g in _groups(dirty)] + [(g, False) for g in _groups(behind)]
+        for i, (group, changed) in enumerate(groups):
+            if should_stop():
+                stopped = True
+                break
+            self._write(gen.with_name(f"{gen.name}-{i}"), set(group), changed, diff, opened, embeds, made)
+            progress(f"group {i + 1} of {len(groups)}")
+        m = self.manifest()
+        total, _, embedded = self._sizes()
         report = {
-            "files_seen": sum(n for s, n in counts.items() if s != "removed"), "files_indexed": todo.count(), "files_unchanged": counts.get("unchanged", 0) + counts.get("touched", 0), "files_removed": counts.get("removed", 0),
-            "chunks": total, "embeddings_reused": reused, "embeddings_new": embedded - reused, "embeddings_pending": total - embedded, "embedding_mode": "provider" if self.provider else "disabled", "seconds": round(time.time() - began, 2),
+            "files_seen": sum(n for s, n in counts.items() if s not in ("removed", "purged")), "files_indexed": counts.get("new", 0) + counts.get("changed", 0), "files_unchanged": counts.get("unchanged", 0) + counts.get("touched", 0), "files_removed": counts.get("removed", 0) + counts.get("purged", 0),
+            "chunks": total, "embeddings_reused": embedded - made["new"], "embeddings_new": made["new"], "embeddings_pending": total - embedded, "embedding_mode": "disabled" if not self.provider else "skipped" if not embed else "provider" if total == embedded else "interrupted", "seconds": round(time.time() - began, 2),
         }
-        before = self.manifest().get("generation")
+        shutil.rmtree(gen, ignore_errors=True)
+        if stopped:
+            return {"stopped": True} if not i else {"stopped": True, "groups_done": i, **report}
+        self._swap({**m, "indexed_at": time.time(), "generation": m.get("generation") or gen.name, "parts": self.parts, "report": report})
+        return report
+
+    def _write(self, gen: Path, group: set[int], changed: bool, diff: DataFrame, opened: DataFrame, embeds: bool, made: dict) -> None:
+        """A generation of the tables of some parts, then the manifest that names it."""
+        here = diff.where(F.col("part").isin(list(group)))
+        stale = here.where("status <> 'unchanged' and status <> 'touched'").select("corpus", "rel")
+        old_chunks, old_vectors = self.table("chunks", group), self.table("vectors", group)
+
+        def write(df: DataFrame, name: str, *order: str) -> DataFrame:
+            df.repartition("part").sortWithinPartitions("part", *order).write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(str(gen / name))
+            return self.spark.read.schema(SCHEMAS[name] + ", part int").parquet(str(gen / name))
+
+        if changed:
+            size = self.config["chunk"]
+            fresh = chunker.chunk_files(opened.join(here.where("status in ('new', 'changed')"), ["corpus", "rel"], "left_semi"), size["min_words"], size["target_words"], size["max_words"])
+            fresh = fresh.withColumn("chunk_id", F.xxhash64("corpus", "rel", "ordinal")).select(*_names(CHUNKS))
+            kept = old_chunks.join(stale, ["corpus", "rel"], "left_anti").select(*_names(CHUNKS))
+            chunks = write(kept.union(fresh).withColumn("part", self._part()), "chunks", "chunk_id")
+            gone = here.where("status <> 'unchanged'").select("corpus", "rel")
+            still = opened.join(here.where("status in ('new', 'changed', 'touched')"), ["corpus", "rel"], "left_semi").select(*_names(FILES))
+            write(self.table("files", group).join(gone, ["corpus", "rel"], "left_anti").select(*_names(FILES)).union(still).withColumn("part", self._part()), "files", "corpus", "rel")
+        else:
+            chunks = old_chunks.withColumn("part", self._part())
+        where = chunks.select("chunk_id", "part")
+        post = write(self.backend.postings(chunks).select("part", *_names(POSTINGS)), "postings", "term")
+        write(post.groupBy("part", "corpus", "term").agg(F.count("*").alias("df")), "terms", "term")
+        carried = upkeep.carry_over(chunks, old_chunks, old_vectors, self.sig).select(*_names(VECTORS))
+        every = carried
+        if embeds:
+            carried.write.parquet(str(gen / "carried"))
+            carried = self.spark.read.schema(VECTORS).parquet(str(gen / "carried"))
+            made["reused"] += (reused := carried.count())
+            every = carried.union(S.embed(upkeep.pending(chunks, carried, self.sig), self.sig, self.provider))
+        vectors = write(every.join(where, "chunk_id"), "vectors", "chunk_id")
+        embedded = {r["part"]: r["count"] for r in vectors.groupBy("part").count().collect()}
+        if embeds:
+            made["new"] += sum(embedded.values()) - reused
+        tokens = {r["part"]: r["n"] for r in post.groupBy("part").agg(F.sum("tf").alias("n")).collect()}
+        sizes: dict[str, dict] = {}
+        for r in chunks.groupBy("part", "corpus").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect():  # corpora of some parts
+            v = sizes.setdefault(str(r["part"]), {"corpora": {}, "embedded": embedded.get(r["part"], 0), "sig": self.sig, "backend": self.backend.name, "tokens": tokens.get(r["part"], 0)})
+            v["corpora"][r["corpus"]] = [r["n"], int(r["words"] or 0)]
+        m = self.manifest()
+        tables = m.get("tables", {})
+        for name in ("postings", "terms", "vectors", *(("chunks", "files") if changed else ())):
+            at = {p: g for p, g in tables.get(name, {}).items() if int(p) not in group}
+            tables[name] = at | {x.name.partition("=")[2]: gen.name for x in (gen / name).glob("part=*")}
+        all_sizes = {p: v for p, v in m.get("sizes", {}).items() if int(p) not in group} | sizes
+        self._swap({**m, "generation": gen.name, "parts": self.parts, "tables": tables, "sizes": all_sizes})
+
+    def _swap(self, manifest: dict) -> None:
+        """Make ``manifest`` the current one; of older generations those that it or the one before
+        it names stay, as readers may still be at work on them."""
+        before = self.manifest()
         new = self.folder / f"manifest.{os.getpid()}"
-        new.write_text(json.dumps({"generation": gen.name, "previous": before, "indexed_at": time.time(), "sig": self.sig, "report": report}), "utf-8")
+        new.write_text(json.dumps(manifest), "utf-8")
         os.replace(new, self.folder / "manifest.json")
-        for x in self.folder.glob("gen-*"):  # readers of the generation before may still be at work
-            if x.name not in (gen.name, before):
+        used = {g for m in (before, manifest) for at in m.get("tables", {}).values() for g in at.values()}
+        running = manifest.get("generation", "").rsplit("-", 1)[0]
+        for x in self.folder.glob("gen-*"):
+            if x.name not in used and not x.name.startswith(running):
                 shutil.rmtree(x, ignore_errors=True)
-        return report
-
-    def table_at(self, gen: Path, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(gen / name))
 
     # questions
 
-    def search(self, query: str, corpora: Sequence[str] = (), k: int = 6, mode: str = "auto") -> dict:
-        began = time.time()
+    def _vectors(self) -> DataFrame:
+        """(id, vec) of the current signature, kept in memory and on disk until the index changes."""
+        key = (self.manifest().get("generation"), self.sig)
+        if self._cached is None or self._cached[0] != key:
+            if self._cached:
+                self._cached[1].unpersist()
+            rows = self.table("vectors").where(F.col("sig") == self.sig).select(F.col("chunk_id").alias("id"), "vec")
+            self._cached = key, rows.persist(StorageLevel.MEMORY_AND_DISK) if self.config["search"].get("cache_vectors", True) else rows
+        return self._cached[1]
+
+    def hits(self, queries: Sequence[str], corpora: Sequence[str] = (), k: int = 6, mode: str = "auto", vectors: Sequence[Sequence[float]] | None = None) -> DataFrame:
+        """Hits of many queries in one job (query_id: place in ``queries``), from the stored
+        postings: of these and the terms only those of the queries' terms are read."""
         opts = self.config["search"]
         k = k or opts["k"]
-        chunks, vectors = self.table("chunks"), self.table("vectors").where(F.col("sig") == self.sig)
-        note, qv, vec = None, None, None
+        chunks = self.table("chunks")
+        wanted = F.col("term").isin(sorted({t for q in queries for t in self.backend.terms(q)}))
+        covered = self.spark.createDataFrame([(i, T.stemmed_terms(q)) for i, q in enumerate(queries)], "query_id int, terms array<string>")
+        n, words, _ = self._sizes(corpora)
+        every, tokens = self._sizes()[0], sum(v["tokens"] for v in self.manifest().get("sizes", {}).values())
+        lexical = self.backend.rank(self.table("postings").where(wanted), self.table("terms").where(wanted), n, words, tokens, every, list(enumerate(queries)), max(40, 3 * k), corpora)
+        qv = vec = None
+        if vectors is not None:
+            qv = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id int, vec array<float>")
+            vec = self._vectors()
+        found = R.search(chunks, None, covered, vec, qv, k, opts["per_file"], mode, corpora, opts["rrf_k"], lexical, ("corpus", "rel", "path", "title"))
+        stamps = self.table("files").select("corpus", "rel", "mtime")
+        return found.join(stamps, ["corpus", "rel"], "left").withColumn("modified", F.date_format("mtime", "yyyy-MM-dd")).drop("mtime")
+
+    def search(self, query: str, corpora: Sequence[str] = (), k: int = 6, mode: str = "auto") -> dict:
+        began = time.time()
+        note, qv = None, None
+        total, _, done = self._sizes()
         if mode != "lexical" and self.provider:
-            done, total = vectors.count(), chunks.count()
             if not done:
                 note = "the index has no embeddings yet"
             else:
                 try:
-                    (v,) = self.provider(pd.Series([query]))
-                    qv = self.spark.createDataFrame([(1, [float(x) for x in v])], "query_id int, vec array<float>")
-                    vec = vectors.select(F.col("chunk_id").alias("id"), "vec")
+                    ask = getattr(self.provider, "query", None)
+                    (v,) = [ask(query)] if ask else self.provider(pd.Series([query]))
+                    qv = [v]
                     note = f"embeddings cover {done}/{total} chunks" if done < total else None
                 except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the lexical lane answers
                     note = f"the query could not be embedded: {e}"
-        if mode == "hybrid" and vec is None:
+        if mode == "hybrid" and qv is None:
             note = "; ".join(filter(None, [note, "hybrid was asked for, the answer is lexical"]))
-        asked = self.spark.createDataFrame([(1, T.stemmed_terms(query))], "query_id int, terms array<string>")
-        hits = R.search(chunks, self.table("postings"), asked, vec, qv, k, opts["per_file"], mode, corpora, opts["rrf_k"])
-        titles = chunks.select(F.col("chunk_id").alias("id"), "path", "title")
-        shown = hits.join(titles, "id").join(self.table("files").select(F.concat_ws(":", "corpus", "rel").alias("ref"), "mtime"), "ref", "left")
-        shown = shown.withColumn("snippet", T.snippet(F.col("body"), T.query_terms(query))).withColumn("modified", F.date_format("mtime", "yyyy-MM-dd")).drop("body", "mtime", "query_id")
+        embedded = time.time()
+        shown = self.hits([query], corpora, k, mode, qv).withColumn("snippet", T.snippet(F.col("body"), T.query_terms(query))).drop("body", "query_id")
         rows = [r.asDict() for r in shown.orderBy("place").collect()]  # k rows at most
         top = {c: rows[0][c] if rows else 0.0 for c in ("lexical_coverage", "vec_weight")}
-        return {"query": query, "mode": "lexical" if vec is None else "hybrid", "note": note, "corpora": list(corpora), "k": k, **top, "hits": rows, "seconds": round(time.time() - began, 3)}
+        took = {"embed": round(embedded - began, 3), "search": round(time.time() - embedded, 3), "total": round(time.time() - began, 3)}
+        return {"query": query, "mode": "lexical" if qv is None else "hybrid", "lexical_backend": self.backend.name, "note": note, "corpora": list(corpora) or "all", "k": k, **top, "hits": rows, "timings": took}
 
     def get(self, spec: str, heading: str | None = None, max_chars: int = 20_000) -> dict:
         """A section of the file as it is now; only files below an enabled corpus are read."""
@@ -250,5 +407,10 @@ class Engine:
         return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), "last_report": m.get("report")}
 
 
+def _groups(parts: set[int]) -> list[list[int]]:
+    every = sorted(parts)
+    return [every[i : i + GROUP] for i in range(0, len(every), GROUP)]
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]

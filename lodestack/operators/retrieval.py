@@ -193,10 +193,10 @@ def coverage_weight(lexical: DataFrame, chunks: DataFrame, queries: DataFrame) -
     return queries.join(best, "query_id", "left").select("query_id", cov.alias("coverage")).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")))
 
 
-def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Hybrid search: the lexical lane, weighed against the vector lane by coverage, fused, capped
     for each file and cut to ``k``; lexical only where vectors are absent or the mode says so.
-    ``lexical`` stands for a lane from an index.  The lanes' ids, at most twice the pool for each
+    ``lexical`` stands for a lane from an index, ``also`` are more columns of chunks.  The lanes' ids, at most twice the pool for each
     query, are joined with chunks once; weights and order come from windows over these rows."""
     k = k or 6
     pool = max(40, 3 * k)
@@ -216,4 +216,4 @@ def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vector
     part = lambda w, r: F.coalesce(w / (rrf_k + F.col(r)), F.lit(0.0))
     rows = rows.withColumn("score", F.round(part(F.lit(1.0), "lex_rank") + part(F.col("vec_weight"), "vec_rank"), 9)).withColumn("ref", F.concat_ws(":", "corpus", "rel"))
     hits = per_file_cap(rows, cap, k)
-    return hits.select("query_id", "place", "id", "ref", "heading", "line_start", "line_end", F.round("score", 5).alias("score"), "lex_rank", "vec_rank", F.round("bm25", 3).alias("bm25"), F.round("cosine", 4).alias("cosine"), F.round("coverage", 2).alias("lexical_coverage"), F.round("vec_weight", 2).alias("vec_weight"), "body")
+    return hits.select("query_id", "place", "id", "ref", "heading", "line_start", "line_end", F.round("score", 5).alias("score"), "lex_rank", "vec_rank", F.round("bm25", 3).alias("bm25"), F.round("cosine", 4).alias("cosine"), F.round("coverage", 2).alias("lexical_coverage"), F.round("vec_weight", 2).alias("vec_weight"), "body", *also)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from fnmatch import translate
 
 import pandas as pd
@@ -32,11 +31,8 @@ def decode_text(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
 
 
-def scan(spark: SparkSession, corpus: Corpus, max_bytes: int = 2_000_000, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """corpus, rel, path, text, sha256, mtime, size of a corpus's files.  Size and path filters
-    reach the file listing; contents are read only for what they leave."""
-    ship(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(corpus.root)
+def _wanted(raw: DataFrame, corpus: Corpus, max_bytes: int, exclude: tuple[str, ...]) -> DataFrame:
+    """Files of a corpus with ``plain``, the path without a scheme, and ``rel``, that below the root."""
     root = "/" + corpus.root.split("://")[-1].strip("/") + "/"
     plain = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     rel = F.when(F.startswith(plain, F.lit(root)), F.substring(plain, F.lit(len(root) + 1), F.char_length(plain))).otherwise(F.element_at(F.split(plain, "/"), -1))
@@ -47,7 +43,27 @@ def scan(spark: SparkSession, corpus: Corpus, max_bytes: int = 2_000_000, exclud
     for g in (*corpus.exclude, *exclude):
         for r in exclude_regexes(g):
             wanted &= ~F.col("rel").rlike("^" + r) & ~F.col("plain").rlike("^" + r)
-    return x.where(wanted).select(F.lit(corpus.name).alias("corpus"), "rel", F.col("plain").alias("path"), decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return x.where(wanted)
+
+
+def _binary(spark: SparkSession, where: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(where)
+
+
+def listing(spark: SparkSession, corpus: Corpus, max_bytes: int = 2_000_000, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """corpus, rel, path, uri, mtime, size of a corpus's files, without opening any."""
+    x = _wanted(_binary(spark, corpus.root).drop("content"), corpus, max_bytes, exclude)
+    return x.select(F.lit(corpus.name).alias("corpus"), "rel", F.col("plain").alias("path"), F.col("path").alias("uri"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def scan(spark: SparkSession, corpus: Corpus, max_bytes: int = 2_000_000, exclude: tuple[str, ...] = (), uris: list[str] | None = None) -> DataFrame:
+    """corpus, rel, path, text, sha256, mtime, size of a corpus's files (of ``uris`` alone, where
+    they are given).  Size and path filters reach the file listing; contents are read only for
+    what they leave."""
+    ship(spark)
+    raw = _binary(spark, corpus.root if uris is None else [re.sub(r"([\\*?\[\]{}])", r"\\\1", u) for u in uris])
+    x = _wanted(raw, corpus, max_bytes, exclude)
+    return x.select(F.lit(corpus.name).alias("corpus"), "rel", F.col("plain").alias("path"), decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def write_index(rows: DataFrame, path: str) -> None:
@@ -55,11 +71,6 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("corpus").parquet(path)
 
 
-def batches(items: list, size: int = 32) -> Iterator[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]
-
-
 def hashed_embedding(text: pd.Series, dim: int = 32) -> pd.Series:
     """A stand-in for an embedding service: a normalised bag of words by CRC32."""
     import zlib
