@@ -1,7 +1,7 @@
 """The engine over folders: incremental indexing, search, sections, recent files, status.
 
-An index is a folder of generations and ``manifest.json``.  Files belong to one of ``PARTS``
-parts by a hash of their name; each of the tables ``files``, ``chunks``, ``vectors`` and those
+An index is a folder of generations and ``manifest.json``.  Files belong to a part
+by a hash of their name; each of the tables ``files``, ``chunks``, ``vectors`` and those
 of the lexical backend (``postings`` and ``terms``, sorted by term) has a folder for each part,
 and the manifest says in which generation that of each part lies.  A run lists the files, opens
 those whose time or size is new, and writes only the parts that they change, some parts at a
@@ -41,7 +41,8 @@ TERMS = "corpus string, term string, df long"
 CHUNKS = chunker.CHUNK_SCHEMA + ", chunk_id long"
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "terms": TERMS, "vectors": VECTORS}
 STALE_LOCK = 900
-PARTS = 64
+#: Parts of a new index: one for so many files, within bounds; ``index_parts`` of the config overrides.
+FILES_A_PART, FEWEST, MOST = 500, 4, 4096
 #: Parts that are written together; between such groups a run may be stopped.
 GROUP = 16
 #: So many changed files are opened by name; for more the folders are read.
@@ -136,7 +137,7 @@ class Engine:
         self.spark, self.config, self.folder = spark, C.merged(C.DEFAULTS, config), Path(index)
         self.provider, self.sig = provider, sig
         self.corpora = C.corpora(self.config)
-        self.parts = int(self.manifest().get("parts") or self.config.get("index_parts") or PARTS)
+        self.parts = int(self.manifest().get("parts") or self.config.get("index_parts") or 0)
         self.backend = LEXICAL[self.config.get("lexical_backend") or "bm25"]
         self._cached: tuple[tuple, DataFrame] | None = None
 
@@ -152,7 +153,11 @@ class Engine:
         """A table of the current generation, of all parts or of some."""
         at = self.manifest().get("tables", {}).get(name, {})
         paths = [str(self.folder / gen / name / f"part={p}") for p, gen in sorted(at.items()) if parts is None or int(p) in parts]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self._empty(SCHEMAS[name])
+
+    def _empty(self, schema: str) -> DataFrame:
+        """No rows, which the optimizer knows: what is joined with them goes from the plan."""
+        return self.spark.range(1).where(F.lit(False)).select(*(F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in schema.split(", "))))
 
     def _part(self) -> Column:
         return F.pmod(F.xxhash64("corpus", "rel"), F.lit(self.parts)).cast("int").alias("part")
@@ -185,7 +190,7 @@ class Engine:
     def _listed(self, gen: Path, took: list[C.Corpus]) -> DataFrame:
         """Files as they are now, written once: all later steps see these."""
         lists = [S.listing(self.spark, c, self.config["max_file_bytes"], tuple(self.config["exclude"])) for c in took]
-        empty = self.spark.createDataFrame([], "corpus string, rel string, path string, uri string, mtime timestamp, size long")
+        empty = self._empty("corpus string, rel string, path string, uri string, mtime timestamp, size long")
         reduce(DataFrame.unionByName, lists, empty).write.parquet(str(gen / "listing"))
         return self.spark.read.parquet(str(gen / "listing"))
 
@@ -201,7 +206,10 @@ class Engine:
                     parts.append(S.scan(self.spark, c, *args, uris))
                 except AnalysisException:  # a file has gone since it was listed
                     parts.append(S.scan(self.spark, c, *args))
-        found = reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], FILES + ", text string"))
+        empty = self._empty(FILES + ", text string")
+        if not rows:
+            return empty
+        found = reduce(DataFrame.unionByName, parts, empty)
         found.join(suspects.select("corpus", "rel"), ["corpus", "rel"], "left_semi").write.parquet(str(gen / "opened"))
         return self.spark.read.parquet(str(gen / "opened"))
 
@@ -213,6 +221,7 @@ class Engine:
         known = F.lit(True) if corpora else F.col("corpus").isin([c.name for c in self.corpora])
         old = self.table("files")
         now = self._listed(gen, took)
+        self.parts = int(before.get("parts") or self.config.get("index_parts") or min(MOST, max(FEWEST, now.count() // FILES_A_PART)))
         first = upkeep.snapshot_diff(old.where(in_scope), now.withColumn("sha256", F.lit("")), full)
         opened = self._opened(gen, took, now.join(first.where("status in ('new', 'touched', 'changed')"), ["corpus", "rel"], "left_semi"))
         same = first.where("status = 'unchanged'").select("corpus", "rel")
@@ -231,10 +240,12 @@ class Engine:
                 dirty.add(r["part"])
         sizes = before.get("sizes", {})
         behind = {int(p) for p, v in sizes.items() if v["backend"] != self.backend.name} - dirty
-        embeds = bool(self.provider) and embed
+        ready = getattr(self.provider, "available", None)
+        up, said = ready(force=True) if ready and embed else (True, "")
+        embeds = bool(self.provider) and embed and up
         if embeds:
             behind |= {int(p) for p, v in sizes.items() if v["sig"] != self.sig or v["embedded"] < sum(n for n, _ in v["corpora"].values())} - dirty
-        made = {"reused": 0, "new": 0}
+        made = {"new": 0}
         stopped = False
         groups = [(g, True) for g in _groups(dirty)] + [(g, False) for g in _groups(behind)]
         for i, (group, changed) in enumerate(groups):
@@ -247,7 +258,7 @@ class Engine:
         total, _, embedded = self._sizes()
         report = {
             "files_seen": sum(n for s, n in counts.items() if s not in ("removed", "purged")), "files_indexed": counts.get("new", 0) + counts.get("changed", 0), "files_unchanged": counts.get("unchanged", 0) + counts.get("touched", 0), "files_removed": counts.get("removed", 0) + counts.get("purged", 0),
-            "chunks": total, "embeddings_reused": embedded - made["new"], "embeddings_new": made["new"], "embeddings_pending": total - embedded, "embedding_mode": "disabled" if not self.provider else "skipped" if not embed else "provider" if total == embedded else "interrupted", "seconds": round(time.time() - began, 2),
+            "chunks": total, "embeddings_reused": embedded - made["new"], "embeddings_new": made["new"], "embeddings_pending": total - embedded, "embedding_mode": "disabled" if not self.provider else "skipped" if not embed else "unavailable" if not up else "provider" if total == embedded else "interrupted", "embedding_reason": said, "seconds": round(time.time() - began, 2),
         }
         shutil.rmtree(gen, ignore_errors=True)
         if stopped:
@@ -263,7 +274,7 @@ class Engine:
 
         def write(df: DataFrame, name: str, *order: str) -> DataFrame:
             df.repartition("part").sortWithinPartitions("part", *order).write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(str(gen / name))
-            return self.spark.read.schema(SCHEMAS[name] + ", part int").parquet(str(gen / name))
+            return self.spark.read.schema(df.schema).parquet(str(gen / name))
 
         if changed:
             size = self.config["chunk"]
@@ -276,21 +287,21 @@ class Engine:
             write(self.table("files", group).join(gone, ["corpus", "rel"], "left_anti").select(*_names(FILES)).union(still).withColumn("part", self._part()), "files", "corpus", "rel")
         else:
             chunks = old_chunks.withColumn("part", self._part())
-        where = chunks.select("chunk_id", "part")
         post = write(self.backend.postings(chunks).select("part", *_names(POSTINGS)), "postings", "term")
         write(post.groupBy("part", "corpus", "term").agg(F.count("*").alias("df")), "terms", "term")
         carried = upkeep.carry_over(chunks, old_chunks, old_vectors, self.sig).select(*_names(VECTORS))
-        every = carried
-        if embeds:
-            carried.write.parquet(str(gen / "carried"))
-            carried = self.spark.read.schema(VECTORS).parquet(str(gen / "carried"))
-            made["reused"] += (reused := carried.count())
-            every = carried.union(S.embed(upkeep.pending(chunks, carried, self.sig), self.sig, self.provider))
-        vectors = write(every.join(where, "chunk_id"), "vectors", "chunk_id")
-        embedded = {r["part"]: r["count"] for r in vectors.groupBy("part").count().collect()}
+        vectors = chunks.join(carried.drop("sig"), "chunk_id", "left").withColumn("fresh", F.col("vec").isNull())
         if embeds:
-            made["new"] += sum(embedded.values()) - reused
-        tokens = {r["part"]: r["n"] for r in post.groupBy("part").agg(F.sum("tf").alias("n")).collect()}
+            S.ship(self.spark)
+            vectors = vectors.withColumn("vec", F.coalesce("vec", S.vectors_of(F.when(F.col("fresh"), S.embedding_text()), self.provider)))
+        vectors = write(vectors.where("vec is not null").select("part", "chunk_id", F.lit(self.sig).alias("sig"), "vec", "fresh"), "vectors", "chunk_id")
+        embedded = {}
+        for r in vectors.groupBy("part").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).collect():
+            embedded[r["part"]] = r["n"]
+            made["new"] += r["fresh"]
+        tokens = {}
+        if self.backend.counts_tokens:
+            tokens = {r["part"]: r["n"] for r in post.groupBy("part").agg(F.sum("tf").alias("n")).collect()}
         sizes: dict[str, dict] = {}
         for r in chunks.groupBy("part", "corpus").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect():  # corpora of some parts
             v = sizes.setdefault(str(r["part"]), {"corpora": {}, "embedded": embedded.get(r["part"], 0), "sig": self.sig, "backend": self.backend.name, "tokens": tokens.get(r["part"], 0)})
@@ -343,7 +354,7 @@ class Engine:
         if vectors is not None:
             qv = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id int, vec array<float>")
             vec = self._vectors()
-        found = R.search(chunks, None, covered, vec, qv, k, opts["per_file"], mode, corpora, opts["rrf_k"], lexical, ("corpus", "rel", "path", "title"))
+        found = R.search(chunks, None, covered, vec, qv, k, opts["per_file"], mode, corpora, opts["rrf_k"], lexical, ("corpus", "rel", "path", "title"), len(queries))
         stamps = self.table("files").select("corpus", "rel", "mtime")
         return found.join(stamps, ["corpus", "rel"], "left").withColumn("modified", F.date_format("mtime", "yyyy-MM-dd")).drop("mtime")
 
@@ -396,15 +407,17 @@ class Engine:
         shown = rows.orderBy(F.col("mtime").desc(), "corpus", "rel").select("corpus", F.concat_ws(":", "corpus", "rel").alias("ref"), "path", F.date_format("mtime", "yyyy-MM-dd HH:mm").alias("modified"), "chunks", "size")
         return [r.asDict() for r in shown.collect()]
 
-    def status(self) -> dict:
+    def status(self, probe: bool = True) -> dict:
         m = self.manifest()
+        asks = getattr(self.provider, "available", None)
+        said = asks()[1] if asks and probe else ""
         stats = upkeep.corpus_stats(self.table("files"), self.table("chunks"), self.table("vectors"), self.sig)
         per = {r.corpus: r.asDict() for r in stats.collect()}  # a row for each corpus
         total = {c: sum(r[c] or 0 for r in per.values()) for c in ("files", "chunks", "words", "embedded")}
         share = round(total["embedded"] / total["chunks"], 3) if total["chunks"] else 0.0
-        named = [{"name": c.name, "root": c.root, "enabled": c.enabled, "available": c.enabled and Path(c.root).exists(), **per.get(c.name, {})} for c in self.corpora]
+        named = [{"name": c.name, "root": c.root, "description": c.description, "enabled": c.enabled, "available": c.enabled and Path(c.root).exists(), **per.get(c.name, {})} for c in self.corpora]
         age = round(time.time() - m["indexed_at"], 1) if m else None
-        return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), "last_report": m.get("report")}
+        return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), "embedder_note": said, "lexical_backend": self.backend.name, "config_hint": self.config.get("_paths", {}).get("user", "the configuration"), "last_report": m.get("report")}
 
 
 def _groups(parts: set[int]) -> list[list[int]]:

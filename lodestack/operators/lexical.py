@@ -28,6 +28,7 @@ Asked = Sequence[tuple[int, str]]
 
 class Light:
     name = "bm25"
+    counts_tokens = False
 
     @staticmethod
     def postings(chunks: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ class Light:
         """(query_id, id, score) of the best ``pool`` chunks for each of ``asked`` (query_id, query).
         ``n`` chunks and ``words`` words are those of the corpora searched, ``every`` chunks and
         ``tokens`` postings those of the whole index."""
-        queries = post.sparkSession.createDataFrame([(i, T.stemmed_terms(q)) for i, q in asked], "query_id int, terms array<string>")
-        return R.bm25_stored(post, terms, n, words, queries, pool, corpora)
+        rows = [(i, T.stemmed_terms(q)) for i, q in asked]
+        queries = post.sparkSession.createDataFrame(rows, "query_id int, terms array<string>")
+        return R.bm25_stored(post, terms, n, words, queries, pool, corpora, n_asked=sum(len(t) for _, t in rows))
 
 
 @lru_cache(200_000)
@@ -75,6 +77,7 @@ def _placed(base: int) -> Callable[[Column, Column], Column]:
 
 class Fields:
     name = "fields"
+    counts_tokens = True
 
     @staticmethod
     def postings(chunks: DataFrame) -> DataFrame:

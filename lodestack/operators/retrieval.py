@@ -23,11 +23,6 @@ VECTOR_BLOCK = 1024
 FIELD_WEIGHTS = {"heading": 2.0, "body": 1.0, "path": 0.5}
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, if a count shows that the table is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def postings(chunks: DataFrame, heading_weight: int = 2, also: Sequence[str] = ()) -> DataFrame:
     """(term, chunk_id, tf, and columns ``also`` of the chunk): tokens of the body, of the heading (counted twice) and of the path."""
     field = lambda c, w: F.transform(T.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
@@ -52,10 +47,11 @@ def ranked(lane: DataFrame, by: Sequence[str] = (), score: str = "score", id_: s
     return lane.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(id_))))
 
 
-def _hint(rows: DataFrame, each: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """Broadcasting for what has at most ``each`` rows for every row of ``rows``, if a count allows."""
+def _hint(rows: DataFrame | int, each: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasting for what has at most ``each`` rows for every row of ``rows`` (or so many), if that is few."""
     most = BROADCAST_ROWS // each
-    return F.broadcast if rows.limit(most + 1).count() <= most else lambda d: d
+    n = rows if isinstance(rows, int) else rows.limit(most + 1).count()
+    return F.broadcast if n <= most else lambda d: d
 
 
 def _best(hits: DataFrame, n: Column, avg: Column, pool: int, digits: int) -> DataFrame:
@@ -89,11 +85,11 @@ def stored_postings(chunks: DataFrame) -> DataFrame:
     return postings(chunks, also=("corpus", "words"))
 
 
-def bm25_stored(post: DataFrame, terms: DataFrame, n: int, words: int, queries: DataFrame, pool: int, corpora: Sequence[str] = (), digits: int = 6) -> DataFrame:
+def bm25_stored(post: DataFrame, terms: DataFrame, n: int, words: int, queries: DataFrame, pool: int, corpora: Sequence[str] = (), digits: int = 6, n_asked: int | None = None) -> DataFrame:
     """As :func:`bm25`, from an index: :func:`stored_postings`, ``terms`` (corpus, term, df) and
     the ``n`` chunks and ``words`` words of the corpora searched.  Reads postings once."""
     asked = _asked(queries)
-    hint = _hint(asked)
+    hint = _hint(asked if n_asked is None else n_asked)
     if corpora:
         post, terms = post.where(F.col("corpus").isin(*corpora)), terms.where(F.col("corpus").isin(*corpora))
     freq = terms.join(hint(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
@@ -193,7 +189,7 @@ def coverage_weight(lexical: DataFrame, chunks: DataFrame, queries: DataFrame) -
     return queries.join(best, "query_id", "left").select("query_id", cov.alias("coverage")).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")))
 
 
-def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
+def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None, also: Sequence[str] = (), n_queries: int | None = None) -> DataFrame:
     """Hybrid search: the lexical lane, weighed against the vector lane by coverage, fused, capped
     for each file and cut to ``k``; lexical only where vectors are absent or the mode says so.
     ``lexical`` stands for a lane from an index, ``also`` are more columns of chunks.  The lanes' ids, at most twice the pool for each
@@ -209,7 +205,8 @@ def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vector
         near = ranked(knn(mine, query_vectors, max(20, k)), ["query_id"])
         lanes = lanes.union(near.select("query_id", "id", none("int"), none("double"), "rank", "score"))
     found = lanes.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in ("lex_rank", "bm25", "vec_rank", "cosine")))
-    rows = _hint(queries, 2 * pool)(found).join(chunks, F.col("id") == F.col("chunk_id")).join(small(queries.select("query_id", "terms")), "query_id")
+    many = queries if n_queries is None else n_queries
+    rows = _hint(many, 2 * pool)(found).join(chunks, F.col("id") == F.col("chunk_id")).join(_hint(many)(queries.select("query_id", "terms")), "query_id")
     seen = F.concat(T.tokens(F.col("heading")), T.tokens(F.col("body")), T.tokens(F.translate("rel", "/_", "  ")))
     best = F.max(F.when(F.col("lex_rank") == 1, T.coverage(F.col("terms"), seen))).over(Window.partitionBy("query_id"))
     rows = rows.withColumn("coverage", F.coalesce(best, F.lit(0.0))).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")) if hybrid else F.lit(0.0))

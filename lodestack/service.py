@@ -8,6 +8,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
+import time
 from collections.abc import Iterable
 from typing import IO, Any
 
@@ -15,7 +17,9 @@ from pyspark.sql import SparkSession
 
 from .engine import Engine
 from .sources import config as C
+from .sources.embedding import HttpEmbedder
 
+# Protocol dates and error codes.
 PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
 PARSE, REQUEST, METHOD, PARAMS = -32700, -32600, -32601, -32602
 
@@ -25,7 +29,8 @@ class ToolError(ValueError):
 
 
 def format_hits(found: dict) -> str:
-    head = f"{len(found['hits'])} hits, {found['mode']}" + (f" ({found['note']})" if found["note"] else "")
+    weights = f", coverage {found['lexical_coverage']}, vector weight {found['vec_weight']}" if found["mode"] == "hybrid" else ""
+    head = f"{len(found['hits'])} hits, {found['mode']} ({found['lexical_backend']}{weights})" + (f" ({found['note']})" if found["note"] else "")
     rows = [f"{h['place']}. {h['ref']}:{h['line_start']}-{h['line_end']}" + (f"  {h['heading']}" if h["heading"] else "") + f"  [{h['score']}]\n   {h['snippet']}" for h in found["hits"]]
     return "\n".join([head, *rows])
 
@@ -43,7 +48,8 @@ def format_recent(rows: list[dict]) -> str:
 def format_status(s: dict) -> str:
     rows = [f"{c['name']}: {c['root']}, {'available' if c['available'] else 'not available'}, {c.get('files', 0)} files, {c.get('chunks', 0)} chunks" for c in s["corpora"]]
     age = "never indexed" if s["age_seconds"] is None else f"indexed {s['age_seconds']:.0f} s ago"
-    return "\n".join([f"{s['index']}: {age}", *rows, f"embedded: {s['embedded']} of {s['chunks']}"])
+    hint = [] if s["corpora"] else [f"no corpora are configured: name some in {s['config_hint']}"]
+    return "\n".join([f"{s['index']}: {age}", *rows, *hint, f"embedded: {s['embedded']} of {s['chunks']}" + (f" ({s['embedder_note']})" if s["embedder_note"] else "")])
 
 
 def _schema(required: Iterable[str] = (), **properties: dict) -> dict:
@@ -53,6 +59,7 @@ def _schema(required: Iterable[str] = (), **properties: dict) -> dict:
 class Service:
     def __init__(self, engine: Engine):
         self.engine, self.prefix = engine, engine.config.get("tool_prefix", "")
+        self.stopping, self.worker, self.last_run = threading.Event(), None, None
         self.calls = {"search": self._search, "get": self._get, "recent": self._recent, "reindex": self._reindex, "status": self._status}
 
     def tools(self) -> list[dict]:
@@ -68,13 +75,34 @@ class Service:
         }
         return [{"name": self.prefix + n, "description": d, "inputSchema": s, "annotations": {"readOnlyHint": n != "reindex"}} for n, (d, s) in told.items()]
 
+    def refresh(self, reason: str) -> bool:
+        """Start an index run in the background if the index is older than ``auto_index_minutes``
+        and none is running; whether one was started."""
+        minutes = self.engine.config.get("auto_index_minutes")
+        age = time.time() - self.engine.manifest().get("indexed_at", 0)
+        if not minutes or self.stopping.is_set() or age <= 60 * minutes or (self.worker and self.worker.is_alive()):
+            return False
+        self.worker = threading.Thread(target=self._run, args=(reason,), name="index", daemon=True)
+        self.worker.start()
+        return True
+
+    def _run(self, reason: str) -> None:
+        try:
+            self.last_run = {"trigger": reason, **self.engine.index(should_stop=self.stopping.is_set)}
+        except Exception as e:  # noqa: BLE001 - the session goes on with the index it has
+            self.last_run = {"trigger": reason, "error": f"{type(e).__name__}: {e}"}
+
     def _search(self, query: str = "", corpora: list[str] | None = None, k: int = 6, mode: str = "auto") -> str:
         if not query.strip():
             raise ToolError("query is empty")
         unknown = sorted(set(corpora or ()) - {c.name for c in self.engine.corpora})
         if unknown:
             raise ToolError("unknown corpora: " + ", ".join(unknown))
-        return format_hits(self.engine.search(query, corpora or (), k, mode))
+        started = self.refresh("search")
+        found = self.engine.search(query, corpora or (), k, mode)
+        if started:
+            found["note"] = "; ".join(filter(None, [found["note"], "the index is being brought up to date"]))
+        return format_hits(found)
 
     def _get(self, path: str = "", heading: str | None = None, max_chars: int = 20_000) -> str:
         if not path:
@@ -133,7 +161,8 @@ class Service:
         return {"jsonrpc": "2.0", "id": id_, "result": result}
 
     def serve(self, source: Iterable[str], sink: IO[str]) -> None:
-        """One message a line, until the source ends."""
+        """One message a line, until the source ends; a run in the background is then stopped."""
+        self.refresh("start")
         for line in source:
             if not line.strip():
                 continue
@@ -144,6 +173,9 @@ class Service:
             if answer is not None:
                 sink.write(json.dumps(answer, ensure_ascii=False) + "\n")
                 sink.flush()
+        self.stopping.set()
+        if self.worker:
+            self.worker.join()
 
 
 def _failed(id_: Any, code: int, text: str) -> dict:
@@ -152,14 +184,15 @@ def _failed(id_: Any, code: int, text: str) -> dict:
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestack")
-    p.add_argument("--config", default="lodestack.json")
-    p.add_argument("--index", default="lodestack-index")
+    p.add_argument("--config", help="a configuration that is merged last")
+    p.add_argument("--index", help="folder of the index")
     p.add_argument("--json", action="store_true", help="print JSON")
     sub = p.add_subparsers(dest="command", required=True)
     x = sub.add_parser("index")
     x.add_argument("--full", action="store_true")
     x.add_argument("--corpus", action="append", default=[])
     x.add_argument("--if-older-than", type=float, help="seconds")
+    x.add_argument("--no-embed", action="store_true", help="leave embeddings for a later run")
     x = sub.add_parser("search")
     x.add_argument("query")
     x.add_argument("--corpus", action="append", default=[])
@@ -173,24 +206,31 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--corpus")
     x.add_argument("--days", type=float, default=7)
     x.add_argument("--limit", type=int, default=20)
-    for name in ("status", "config", "serve"):
-        sub.add_parser(name)
+    sub.add_parser("status").add_argument("--no-probe", action="store_true", help="don't ask the embedding service")
+    sub.add_parser("config").add_argument("--init", action="store_true", help="make the user's file")
+    sub.add_parser("serve")
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, source: Iterable[str] = sys.stdin, sink: IO[str] | None = None) -> int:
     a, sink = _parser().parse_args(argv), sink or sys.stdout
-    config = C.load(a.config)
+    if a.command == "config" and a.init:
+        path, made = C.init_user()
+        print(f"{path} {'is new' if made else 'was there already'}", file=sink)
+        return 0
+    config = C.resolve(a.config)
     if a.command == "config":
         print(json.dumps(config, indent=2), file=sink)
         return 0
-    engine = Engine(spark or SparkSession.builder.appName("lodestack").getOrCreate(), config, a.index)
+    embedder = HttpEmbedder(config["embedder"]) if config.get("embedder") else None
+    index = a.index or config.get("index_path") or "lodestack-index"
+    engine = Engine(spark or SparkSession.builder.appName("lodestack").getOrCreate(), config, index, embedder, embedder.signature if embedder else "default")
     if a.command == "serve":
         Service(engine).serve(source, sink)
         return 0
     show: Any = json.dumps
     if a.command == "index":
-        got: Any = engine.index(a.full, a.corpus, a.if_older_than)
+        got: Any = engine.index(a.full, a.corpus, a.if_older_than, embed=not a.no_embed)
     elif a.command == "search":
         got, show = engine.search(a.query, a.corpus, a.k, a.mode), format_hits
     elif a.command == "get":
@@ -198,6 +238,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, sourc
     elif a.command == "recent":
         got, show = engine.recent(a.corpus, a.days, a.limit), format_recent
     else:
-        got, show = engine.status(), format_status
+        got, show = engine.status(not a.no_probe), format_status
     print(json.dumps(got, default=str, ensure_ascii=False) if a.json else show(got), file=sink)
     return 1 if isinstance(got, dict) and "error" in got else 0

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from copy import deepcopy
 from dataclasses import dataclass
 from pathlib import Path
 
+# What holds where a configuration says nothing.
 DEFAULTS = {
     "corpora": [],
     "chunk": {"min_words": 60, "target_words": 500, "max_words": 800},
@@ -14,11 +17,14 @@ DEFAULTS = {
     "exclude": [],
     "max_file_bytes": 2_000_000,
 }
+USER_FILE = Path("~/.config/lodestack/config.json").expanduser()
+EXAMPLE_FILE = Path(__file__).resolve().parents[2] / "config.example.json"
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*\Z")
 
 
 def merged(base: dict, over: dict) -> dict:
     """Dictionaries merge key by key, anything else is replaced."""
+    base = deepcopy(base)
     return {**base, **{k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}}
 
 
@@ -29,15 +35,40 @@ def without_comments(value: object) -> object:
     return [without_comments(v) for v in value] if isinstance(value, list) else value
 
 
+def read(path: str | Path) -> dict:
+    data = without_comments(json.loads(Path(path).read_text("utf-8")))
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: the top level must be an object")
+    return data
+
+
 def load(*paths: str) -> dict:
     """Defaults with the first of ``paths`` that exists merged over them."""
     found = next((p for p in paths if p and Path(p).is_file()), None)
-    if not found:
-        return merged(DEFAULTS, {})
-    data = without_comments(json.loads(Path(found).read_text("utf-8")))
-    if not isinstance(data, dict):
-        raise ValueError(f"{found}: the top level must be an object")
-    return merged(DEFAULTS, data)
+    return merged(DEFAULTS, read(found) if found else {})
+
+
+def resolve(extra: str | None = None, user: Path | None = None, example: Path | None = None) -> dict:
+    """Defaults, then the first that exists of $LODESTACK_CONFIG, the user's file and the example
+    file, then ``extra`` last.  $LODESTACK_INDEX overrides ``index_path``.  ``_paths`` tells what
+    was read."""
+    tried = {"env": os.environ.get("LODESTACK_CONFIG"), "user": user or USER_FILE, "example": example or EXAMPLE_FILE}
+    source, path = next(((k, Path(p).expanduser()) for k, p in tried.items() if p and Path(p).expanduser().is_file()), ("builtin", None))
+    out = merged(DEFAULTS, read(path) if path else {})
+    if extra:
+        out = merged(out, read(extra))
+    out["index_path"] = os.environ.get("LODESTACK_INDEX") or out.get("index_path")
+    return {**out, "_paths": {"loaded": path and str(path), "source": source, "extra": extra, "user": str(user or USER_FILE)}}
+
+
+def init_user(user: Path | None = None, example: Path | None = None) -> tuple[Path, bool]:
+    """(the user's file, whether it was made now): a copy of the example file, or the defaults."""
+    target, source = user or USER_FILE, example or EXAMPLE_FILE
+    if target.exists():
+        return target, False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(source.read_text("utf-8") if source.is_file() else json.dumps(DEFAULTS, indent=2), "utf-8")
+    return target, True
 
 
 @dataclass(frozen=True)
@@ -47,11 +78,12 @@ class Corpus:
     include: tuple[str, ...] = ("**/*.md", "**/*.txt")
     exclude: tuple[str, ...] = ()
     enabled: bool = True
+    description: str = ""
 
 
 def corpora(config: dict) -> list[Corpus]:
     """Corpora of a config: a list, or an object by name; ``root`` may be called ``path``.  Odd
-    names are skipped, the first of equal names counts."""
+    names are skipped, the first of equal names counts; ~ and variables in roots are expanded."""
     raw = config.get("corpora") or []
     items = [{"name": k, **v} for k, v in raw.items()] if isinstance(raw, dict) else raw
     out: dict[str, Corpus] = {}
@@ -60,5 +92,5 @@ def corpora(config: dict) -> list[Corpus]:
         name = x.get("name") or (Path(root).name if root else "")
         if root and NAME.match(name):
             include = tuple(x.get("include") or Corpus.include)
-            out.setdefault(name, Corpus(name, str(root), include, tuple(x.get("exclude") or ()), bool(x.get("enabled", True))))
+            out.setdefault(name, Corpus(name, os.path.expandvars(os.path.expanduser(str(root))), include, tuple(x.get("exclude") or ()), bool(x.get("enabled", True)), str(x.get("description") or "")))
     return list(out.values())

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from fnmatch import translate
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -85,13 +86,25 @@ def hashed_embedding(text: pd.Series, dim: int = 32) -> pd.Series:
     return text.map(one)
 
 
-def embed(chunks: DataFrame, sig: str, provider: object = hashed_embedding, prefix: str = "") -> DataFrame:
-    """(chunk_id, sig, vec) for chunks (chunk_id, corpus, rel, heading, body); ``provider`` maps a
-    Series of texts to vectors, null where it fails, and runs on Arrow batches."""
-    ship(chunks.sparkSession)
-    text = F.concat(F.lit(prefix), F.concat_ws("/", "corpus", "rel"), F.lit("\n"), "heading", F.lit("\n\n"), "body")
+def embedding_text(prefix: str = "") -> Column:
+    return F.concat(F.lit(prefix), F.concat_ws("/", "corpus", "rel"), F.lit("\n"), "heading", F.lit("\n\n"), "body")
+
+
+def vectors_of(text: Column, provider: Callable[[pd.Series], pd.Series]) -> Column:
+    """What ``provider`` gives for texts that are not null, on Arrow batches."""
 
     def run(t: pd.Series) -> pd.Series:
-        return provider(t)
+        out = pd.Series([None] * len(t), index=t.index, dtype=object)
+        asked = t[t.notna()]
+        if len(asked):
+            out.loc[asked.index] = list(provider(asked))
+        return out
 
-    return chunks.select("chunk_id", F.lit(sig).alias("sig"), F.pandas_udf(run, "array<float>")(text).alias("vec")).where("vec is not null")
+    return F.pandas_udf(run, "array<float>")(text)
+
+
+def embed(chunks: DataFrame, sig: str, provider: Callable[[pd.Series], pd.Series] = hashed_embedding, prefix: str = "") -> DataFrame:
+    """(chunk_id, sig, vec) for chunks (chunk_id, corpus, rel, heading, body); ``provider`` maps a
+    Series of texts to vectors, null where it fails."""
+    ship(chunks.sparkSession)
+    return chunks.select("chunk_id", F.lit(sig).alias("sig"), vectors_of(embedding_text(prefix), provider).alias("vec")).where("vec is not null")

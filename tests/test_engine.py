@@ -133,7 +133,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fuse", "snapshot_diff", "corpus_stats", "snippet"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fuse", "snapshot_diff", "corpus_stats", "snippet", "chunk_documents", "chunk_notes", "hybrid_search"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
@@ -172,3 +172,14 @@ def test_blocks_equal_all_pairs(spark, monkeypatch):
     rows = lambda d: sorted(tuple(r) for r in d.collect())
     assert rows(R.knn_blocks(df, q, 5)) == rows(R.knn(df, q, 5))
     assert rows(R.knn_blocks(df.limit(0), q, 5)) == [] == rows(R.knn_blocks(df, q.limit(0), 5))
+
+
+def test_excerpts(spark):
+    """By hand: a quarter of the limit before the first term, from the next word on if there is one."""
+    long = "x" * 500 + "kiln" + "y" * 100
+    rows = [(1, long), (2, "  kiln\n\tfired  "), (3, "w " * 100 + "the kiln " + "z " * 100), (4, "q" * 300)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", T.snippet(F.col("t"), ["kiln"], 100).alias("s")).collect()}
+    assert got[1] == "..." + "x" * 25 + "kiln" + "y" * 71 + "..."
+    assert got[2] == "kiln fired"
+    assert got[3] == "..." + ("w " * 10 + "the kiln " + "z " * 36).strip()[:100].strip() + "..."
+    assert got[4] == "q" * 100 + "..."

@@ -99,3 +99,100 @@ def test_command_line(spark, engine, tmp_path):
     assert json.loads(run("index")[1])["files_indexed"] == 2
     assert "kb:beta.txt" in run("search", "clay")[1] and run("get", "none")[0] == 1
     assert "kb" in json.loads(run("config")[1])["corpora"]
+
+
+def test_unchanged_files_are_not_opened_and_only_changed_parts_are_written(engine, tmp_path, monkeypatch):
+    from lodestack import engine as module
+
+    engine.index()
+    before = engine.manifest()["tables"]["chunks"]
+    opened = []
+    scan = module.S.scan
+    monkeypatch.setattr(module.S, "scan", lambda *a: opened.append(a) or scan(*a))
+    assert engine.index()["files_unchanged"] == 2 and not opened
+    (tmp_path / "kb/beta.txt").write_text("third text on [glaze] and clay")
+    report = engine.index()
+    assert len(opened) == 1 and [u.rsplit("/", 1)[1] for u in opened[0][4]] == ["beta.txt"]
+    assert (report["files_indexed"], report["embeddings_new"], report["embeddings_reused"]) == (1, 1, 1)
+    after = engine.manifest()["tables"]["chunks"]
+    assert sum(after[p] != g for p, g in before.items()) == 1 and len(before) == 2
+    os.utime(tmp_path / "kb/beta.txt", (1e9, 1e9))
+    assert engine.index()["files_indexed"] == 0 and engine.recent(days=1)[0]["ref"] == "kb:alpha.md"
+
+
+def test_a_stopped_run_keeps_finished_groups(engine, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestack.engine.GROUP", 1)
+    asked = []
+    got = engine.index(should_stop=lambda: len(asked) == 1 or asked.append(1))
+    assert got["stopped"] and got["groups_done"] == 1 and got["chunks"] == 1
+    assert "indexed_at" not in engine.manifest()
+    assert engine.index()["files_indexed"] == 1 and engine.status()["chunks"] == 2
+
+
+def test_backend_switch_rebuilds_the_lexical_tables(engine, spark, tmp_path):
+    engine.index(embed=False)
+    assert engine.status()["embedded"] == 0 and engine.search("clay")["note"] == "the index has no embeddings yet"
+    other = Engine(spark, {**engine.config, "lexical_backend": "fields"}, str(tmp_path / "index"))
+    assert other.index()["files_indexed"] == 0
+    found = other.search("cooling the glazes")
+    assert found["lexical_backend"] == "fields" and found["hits"][0]["ref"] == "kb:alpha.md" and found["hits"][0]["bm25"] is not None
+    assert other.search("glazing")["hits"] and not other.search("glazing", corpora=["none"])["hits"]
+    many = other.hits(["clay", "glaze", "zzz"]).collect()
+    assert {(r.query_id, r.rel) for r in many} == {(0, "beta.txt"), (1, "alpha.md")}
+
+
+def test_an_answer_takes_four_scans(engine):
+    engine.index()
+    engine.config["search"]["cache_vectors"] = False
+    plan = engine.hits(["glaze slowly"], vectors=[hashed_embedding(__import__("pandas").Series(["glaze"]))[0]])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 5  # postings, terms, chunks, vectors, and files for the dates
+    assert "In(term, [glaze,slowly])" in plan
+
+
+def test_background_refresh(engine, tmp_path):
+    engine.index()
+    s = service.Service(engine)
+    assert not s.refresh("off")
+    engine.config["auto_index_minutes"] = 1
+    assert not s.refresh("fresh")
+    engine._swap({**engine.manifest(), "indexed_at": 0})
+    (tmp_path / "kb/new.md").write_text("# New\nslip")
+    assert s.refresh("old")
+    s.worker.join()
+    assert s.last_run["trigger"] == "old" and s.last_run["files_indexed"] == 1
+
+
+def test_lock_holds_while_renewed_and_is_left_when_lost(tmp_path):
+    clock = [0.0]
+    with writer_lock(tmp_path, lambda: clock[0]) as one:
+        clock[0] = STALE_LOCK - 1
+        assert one.renew()
+        clock[0] = 2 * STALE_LOCK - 10
+        with writer_lock(tmp_path, lambda: clock[0]) as two:
+            assert two is None
+        clock[0] = 4 * STALE_LOCK
+        with writer_lock(tmp_path, lambda: clock[0]) as three:
+            assert three and not one.renew()
+            assert three.renew()
+    for pid in (0, -1, 10**30):
+        (tmp_path / "writer.lock").write_text(json.dumps({"pid": pid, "at": clock[0]}))
+        with writer_lock(tmp_path, lambda: clock[0]) as four:
+            assert four
+    assert not list(tmp_path.glob("writer.lock*"))
+
+
+def test_configuration_order(tmp_path, monkeypatch):
+    from lodestack.sources import config as C
+
+    for name, k in (("env", 1), ("user", 2), ("example", 3), ("extra", 4)):
+        (tmp_path / name).write_text(json.dumps({"search": {"k": k}, "corpora": {"a": {"path": "~/x", "description": "d"}}}))
+    at = lambda n: tmp_path / n
+    monkeypatch.delenv("LODESTACK_CONFIG", raising=False)
+    assert C.resolve(None, at("user"), at("example"))["search"] == {"k": 2, "per_file": 3, "rrf_k": 20}
+    assert C.resolve(None, at("none"), at("example"))["_paths"]["source"] == "example" and C.resolve(None, at("none"), at("no"))["_paths"]["source"] == "builtin"
+    monkeypatch.setenv("LODESTACK_CONFIG", str(at("env")))
+    monkeypatch.setenv("LODESTACK_INDEX", "/i")
+    assert C.resolve(None, at("user"), at("example"))["search"]["k"] == 1
+    got = C.resolve(str(at("extra")), at("user"), at("example"))
+    assert got["search"]["k"] == 4 and got["index_path"] == "/i" and C.corpora(got)[0].root == os.path.expanduser("~/x") and C.corpora(got)[0].description == "d"
+    assert C.init_user(at("new/c.json"), at("example")) == (at("new/c.json"), True) and C.init_user(at("new/c.json"))[1] is False
