@@ -478,12 +478,13 @@ def solved_by(df: DataFrame, plan: Plan, solve: Any, schema: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     slim = df.select(KEY, TAG, text_of().alias("text"))
+    # A partition for each reduce task: hashed, up to seven of 4096 would share one and a third be idle.
     parts = max(shuffle_partitions(spark), plan.tasks)
     counted = slim.select("text").mapInArrow(_census(plan), "task int, once array<binary>, more array<binary>")
-    blocks = counted.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
+    blocks = counted.repartitionById(parts, F.col("task")).sortWithinPartitions("task").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
     # One block of fixed size for each bucket, MAX_BITS in all and as much again / 8 for hot ones.
     known = spark.sparkContext.broadcast(Filter(plan, [(r["bucket"], bytes(r["shared"]), bytes(r["hot"])) for r in blocks.toLocalIterator()]))
-    return routed(slim, plan, known).repartition(parts, "task").sortWithinPartitions("task").mapInArrow(solve, schema)
+    return routed(slim, plan, known).repartitionById(parts, F.col("task")).sortWithinPartitions("task").mapInArrow(solve, schema)
 
 
 def all_occurrences(df: DataFrame, plan: Plan, solver: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -193,3 +193,20 @@ def test_repeat_groups_against_brute_force(spark, plan):
         got[r["group"], r.length, r.cut].append((r.doc_id is None, r.doc_id or 0, r.start))
     assert {(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), len(s), len(s) == 40): at for s, at in want.items()} == {g: sorted(at) for g, at in got.items()}
     assert suffix_repeats.repeat_groups(df.where("false")).count() == 0
+
+
+def test_reduce_tasks_have_partitions_of_their_own(spark):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from lodestack.llm import _segments as S
+
+    def tasks(batches):
+        seen = sorted({t for rb in batches for t in rb.column("task").to_pylist()})
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(seen), pa.int32())], ["task", "part"])
+
+    df = S.with_keys(spark.createDataFrame(corpus(3), "doc_id long, text string"))
+    plan = S.plan_for(df, "bytes", 50, 16, buckets=64, tasks=32)
+    got = S.solved_by(df, plan, tasks, "task int, part int").collect()
+    assert len(got) > 16
+    assert len({r.part for r in got}) == len({r.task for r in got}) == len(got)
