@@ -313,7 +313,9 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             rows, at = np.unique(np.stack([doc[done], tag[done]], 1), axis=0, return_inverse=True)
             n, s, e = _coalesce(at.reshape(-1).astype(np.int64), start[done], start[done] + runs[done] + plan.k - 1)
             spans = _span_batch(rows[n, 0], rows[n, 1], s, e)
-            to = pa.array(((rows[n, 0] & 0x7FFFFFFF) % plan.tasks).astype(np.int32))
+            # settled: any task can pass them on; by a hash, as ids may ascend in steps or repeat
+            name = V.mix(rows[n, 0].astype(U64) + rows[n, 1].astype(U64))
+            to = pa.array((name % U64(plan.tasks)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([to, pa.nulls(len(n), _BLOBS), *spans.columns], ["task", "blobs", *spans.schema.names])
         order, lead = order[asks], lead[asks]
         zip_ = zstandard.ZstdCompressor(level=1)
