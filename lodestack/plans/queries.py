@@ -230,6 +230,9 @@ _TOKENS = rf"""raw AS (SELECT chunk_id, unnest(regexp_extract_all(lower(body ||
  tok AS (SELECT chunk_id, {_STEM} AS term FROM raw WHERE length(t) >= 2 AND t NOT IN ({_STOP})),
  post AS (SELECT term, chunk_id, count(*)::BIGINT AS tf FROM tok GROUP BY ALL)"""
 
+#: For SQL elsewhere: stop words, the stem of ``t``, and the postings of a table ``c`` of chunks.
+STOP_SQL, STEM_SQL, TOKENS_SQL = _STOP, _STEM, _TOKENS
+
 
 def _asked(which: tuple) -> str:
     rows = ", ".join(f"({i}, '{t}')" for i, q in which for t in T.stemmed_terms(q))
