@@ -119,6 +119,18 @@ def file_order(df: DataFrame) -> Column:
     return F.shiftleft(part, 40) + F.col("_metadata.row_index")
 
 
+def row_name(df: DataFrame) -> Column | None:
+    """What tells a row of a stored table from all others, repeated ones too, whenever it is read:
+    its file and its place there.  None if ``df`` isn't just a read of files."""
+    if df._jdf.queryExecution().analyzed().children().nonEmpty():
+        return None
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.struct("_metadata.file_path", "_metadata.row_index")
+
+
 #: Groups of at least so many rows, and at most that many groups, count as hot; tables of at
 #: most so many rows are broadcast whole.
 HOT_ROWS, HOT_GROUPS, SMALL_ROWS = 256, 50_000, 100_000

@@ -5,7 +5,9 @@ labelled holdout (documents marked good that pass the fixed base rules) an exact
 test asks, for each stratum, rule and candidate cutoff, whether more than ``RISK`` of good
 documents would be rejected; a cutoff is certified if that is refuted at level ``LEVEL``
 divided by the number of tests made (Bonferroni).  The least certified cutoff holds; a
-stratum with too few labels certifies none and rejects by the base rules only.
+stratum with too few labels certifies none and rejects by the base rules only.  Copies are no
+independent trials: the holdout has one text for each doc_id, that of the least hash, and each
+text of a stratum once.
 
 Metrics are whole per-mille numbers, so cutoffs compare exactly.  Strata are languages.
 
@@ -58,6 +60,7 @@ def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count("text", F.lit(r"[A-Z]")).cast("long").alias("n_capitals"),
+        F.md5("text").alias("digest"),
     )
     per_mille = lambda a, b: F.coalesce(F.floor(1000 * F.col(a) / F.nullif(F.col(b), F.lit(0))), F.lit(0)).cast("long")
     metrics = {"symbols": per_mille("n_symbols", "word_chars"), "repeated_lines": per_mille("n_dup_lines", "n_lines"), "repeated_words": per_mille("n_repeat_words", "n_words"), "capitals": per_mille("n_capitals", "word_chars")}
@@ -84,7 +87,10 @@ def log_tail(k: Column, n: Column, p: float) -> Column:
 def certified(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum and one column for each rule: the least cutoff certified on the holdout, or null."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
+    metrics = [f"m_{r}" for r in RULES]
     held = measured.where("not base_failed").join(good, "doc_id")
+    one = held.groupBy("doc_id").agg(F.min(F.struct("digest", "stratum", *metrics)).alias("x")).select("x.*")
+    held = one.groupBy("stratum", "digest").agg(*(F.max(m).alias(m) for m in metrics))  # equal texts have equal metrics
     over = [F.struct(F.lit(r).alias("rule"), sum(((F.col(f"m_{r}") > c).cast("int") for c in CUTOFFS), F.lit(0)).alias("passed")) for r in RULES]
     tally = held.select("stratum", F.explode(F.array(*over)).alias("x")).groupBy("stratum", "x.rule", "x.passed").agg(F.count("*").alias("n"))
     # documents that exceed the i-th cutoff are those that passed at least i of them
@@ -114,7 +120,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, 'none') AS stratum, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, 'none') AS stratum, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), g AS (
@@ -123,7 +129,7 @@ WITH d AS (
   SELECT rid, count(DISTINCT j) AS n FROM (
     SELECT rid, unnest(range(i, i + {WINDOW})) AS j FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1) GROUP BY rid
 ), m AS (
-  SELECT w.rid, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT w.rid, doc_id, stratum, digest, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals
   FROM w LEFT JOIN rep USING (rid)
@@ -133,7 +139,8 @@ WITH d AS (
          coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS m_repeated_words, coalesce(1000 * n_capitals // nullif(word_chars, 0), 0) AS m_capitals,
          coalesce(10 * word_chars // nullif(n_words, 0), 0) AS m_word_length FROM m
 ), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT x.* FROM x JOIN good USING (doc_id) WHERE NOT base_failed),
+one AS (SELECT x.* FROM x JOIN good USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY digest, stratum) = 1),
+h AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY stratum, digest) = 1),
 v AS (
   SELECT stratum, unnest(['symbols', 'repeated_lines', 'repeated_words', 'capitals', 'word_length']) AS rule,
          unnest([m_symbols, m_repeated_lines, m_repeated_words, m_capitals, m_word_length]) AS val FROM h

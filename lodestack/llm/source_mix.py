@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import documents, n_words_of, staged, text_of
+from ._common import documents, n_words_of, row_name, staged, text_of
 
 #: A table of so many sources is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -86,11 +86,11 @@ def _position(segs: Column, area: Column) -> Column:
     return F.least(seg["t1"], seg["t0"] + F.when(rest <= 0, F.lit(0.0)).otherwise(2 * rest / F.nullif(seg["w0"] + root, F.lit(0.0))))
 
 
-def plan_mix(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP) -> DataFrame:
+def plan_mix(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP, also: Sequence[Column] = ()) -> DataFrame:
     """For every row of ``docs`` (doc_id, text, source): doc_id, tag (a hash of the text), size,
     source_size, target, taken, and slots: for each round that takes words of it, how many and
-    the training position."""
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("tag"), n_words_of(text_of()).alias("size")))
+    the training position; and more columns ``also``."""
+    sized = staged(docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("tag"), n_words_of(text_of()).alias("size")))
     sources = staged(source_targets(sized, cycle, cap))
     few = sources.count() <= BROADCAST_SOURCES
     x = sized.alias("a").join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).drop("source")
@@ -114,17 +114,18 @@ def plan_mix(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP) -> DataFra
     x = x.withColumn("quota", quota).withColumn("start", start)
     x = x.withColumn("slots", F.when(F.col("size") > 0, F.filter(F.array(*(slot(j) for j in rounds)), lambda s: s["words"] > 0)).otherwise(F.expr("cast(array() as array<struct<round:int,words:bigint,position:double>>)")))
     taken = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + s["words"])
-    return x.select("doc_id", "tag", "size", "source_size", "target", taken.alias("taken"), "slots")
+    return x.select(*sized.columns[: len(also)], "doc_id", "tag", "size", "source_size", "target", taken.alias("taken"), "slots")
 
 
 def mixed(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` in training order, once for each round that takes the better part of
     their words (rounds take whole documents but for the last one of each source)."""
     cols = [c for c in docs.columns if not c.startswith("__ls_")]
-    plan = plan_mix(docs, cycle, cap).dropDuplicates(["doc_id", "tag"])  # equal rows take about the same
-    slots = plan.select(F.col("doc_id").alias("__ls_id"), F.col("tag").alias("__ls_tag"), F.explode(F.filter("slots", lambda s: 2 * s["words"] >= F.col("size"))).alias("__ls_slot"))
-    rows = docs.select(*cols, F.xxhash64(text_of()).alias("__ls_tag2"))
-    joined = rows.join(slots, F.col("doc_id").cast("long").eqNullSafe(F.col("__ls_id")) & (F.col("__ls_tag") == F.col("__ls_tag2")))
+    docs = docs.select(*cols) if len(cols) < len(docs.columns) else docs
+    docs = docs if row_name(docs) is not None else staged(docs)  # repeated rows have plans of their own
+    plan = plan_mix(docs, cycle, cap, [row_name(docs).alias("__ls_row")])
+    slots = plan.select("__ls_row", F.col("doc_id").alias("__ls_id"), F.col("tag").alias("__ls_tag"), F.explode(F.filter("slots", lambda s: 2 * s["words"] >= F.col("size"))).alias("__ls_slot"))
+    joined = docs.select(*cols, row_name(docs).alias("__ls_row")).join(slots, "__ls_row")
     return joined.orderBy(F.col("__ls_slot.position"), "__ls_id", "__ls_tag").select(*cols)
 
 

@@ -125,7 +125,11 @@ def test_rules_against_plain_python(spark, monkeypatch):
     for d, q, _ in labels:
         if d is not None and q is not None:
             by_label[d] = min(q, by_label.get(d, 1))
-    held = [r for r in got if not r.base_failed and by_label.get(r.doc_id) == 1]
+    one = {}
+    for r in sorted((r for r in got if not r.base_failed and by_label.get(r.doc_id) == 1), key=lambda r: (r.digest, r.stratum)):
+        one.setdefault(r.doc_id, r)  # a text for each doc_id
+    held = list({(r.stratum, r.digest): r for r in one.values()}.values())  # and each text once
+    assert len(held) < sum(not r.base_failed and by_label.get(r.doc_id) == 1 for r in got)
     strata = {r.stratum for r in held}
     tests = len(strata) * len(quality_rules.RULES) * len(quality_rules.CUTOFFS)
     want = {}
@@ -145,6 +149,19 @@ def test_rules_against_plain_python(spark, monkeypatch):
     assert sum(not r.kept and not r.base_failed for r in verdict) >= 40  # certified cutoffs reject
 
 
+def test_copies_are_no_trials(spark):
+    """One document standing 4,000 times, or 4,000 documents of one text, certify nothing."""
+    rng = random.Random(2)
+    text = doc(rng)
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    for rows in ([(1, text, "en")] * 4000, [(i, text, "en") for i in range(4000)]):
+        cuts = quality_rules.certified(quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string")), marks).collect()
+        assert all(c[f"c_{r}"] is None for c in cuts for r in quality_rules.RULES)
+    rows = [(i, doc(rng), "en") for i in range(4000)]
+    cuts = quality_rules.certified(quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string")), marks).collect()
+    assert any(c[f"c_{r}"] is not None for c in cuts for r in quality_rules.RULES)
+
+
 def test_log_tail_is_exact(spark):
     rows = [(k, n, p) for n in (1, 7, 300, 2000) for k in {0, 1, n // 7, n // 2, n} for p in (0.005, 0.05, 0.4)]
     for p in (0.005, 0.05, 0.4):
