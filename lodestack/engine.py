@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunker, upkeep
+from .operators import chunker, sections, upkeep
 from .operators import retrieval as R
 from .operators.lexical import BACKENDS as LEXICAL
 from .sources import config as C
@@ -397,8 +397,8 @@ class Engine:
             text = real.read_bytes().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
         except OSError as e:
             return {"error": f"{spec!r} can't be read: {e.strerror}"}
-        meta, parts = chunker.sections(text)
-        return {"ref": f"{r.corpus}:{r.rel}", "path": r.path, "title": chunker.title(meta, parts, r.rel), "heading": heading, **chunker.section_text(text, heading, max_chars)}
+        meta, parts = sections.sections(text)
+        return {"ref": f"{r.corpus}:{r.rel}", "path": r.path, "title": sections.title(meta, parts, r.rel), **sections.section_text(text, heading, max_chars)}
 
     def recent(self, corpus: str | None = None, days: float = 7, limit: int = 20, now: float | None = None) -> list[dict]:
         files = self.table("files")

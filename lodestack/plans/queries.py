@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunker, upkeep
+from ..operators import blockmax, chunker, upkeep
 from ..operators import retrieval as R
 
 QUERY = "The tion onnt of ereaer, haor"
@@ -95,6 +95,18 @@ def q_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25(R.postings(c), c, asked(spark), 20)
 
 
+def q_bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As bm25_batch, from blocks that are read where they can matter.  Blocks and statistics are
+    what an index keeps; here they are made of the asked terms' postings, which are held."""
+    c = chunks(spark, sf)
+    queries = asked(spark)
+    terms = sorted({t for _, q in MORE for t in T.stemmed_terms(q)})
+    size = c.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    post = R.postings(c, also=("words",)).where(F.col("term").isin(terms))
+    held = blockmax.blocks(post, blockmax.average(*size)).persist()
+    return blockmax.bm25(held, *size, queries, 20)
+
+
 def q_bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
     return R.bm25_fields(R.field_postings(c), asked(spark, MORE[:1]), 40, c).select("id", "score")
@@ -167,22 +179,27 @@ def q_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunker.chunk_files(f).select("corpus", "rel", "ordinal", "heading", "line_start", "line_end", "words", "hash")
 
 
-#: Small notes for the chunker, one for each rule: fields above the text, fences, merging, levels
-#: that are left out, splitting at paragraphs.
-NOTES = {
-    "kiln.md": '---\nname: kiln\ndescription: "Firing notes"\n  nested: no\n---\nplain body here\n',
-    "steps.md": "# Steps\nintro words one two three\n## Build\nmix the clay well\n```\n# not a heading\n```\n### Dry\nslow air\n## Fire\nhot\n# End #\nfin\n",
-    "long.md": "## Part\na b c d e f g h\n\ni j k l m n o p\n\nq r s t u v w x\n",
-    "fence.md": "~~~\n# a\n```\n# b",
-    "skip.md": "# Top\n### Deep\nx y z",
-    "open.md": "---\nname: x\nno end",
-    "empty.md": "",
-}
+def headed(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as Markdown files (corpus, rel, path, text): headings of three levels, fences
+    and blank lines go between the lines by their number, fields above every fourth text."""
+    d = _table(spark, sf, "documents")
+
+    def line(t: Column, i: Column) -> Column:
+        k = (i * 7 + F.col("doc_id")) % 13
+        start = lambda n: F.substring(t, 1, n)
+        marks = ((0, F.concat(F.lit("# "), start(20))), (3, F.concat(F.lit("## "), start(12), F.lit("\n"), t)), (5, F.concat(F.lit("### "), start(9), F.lit(" ##\n"), t)), (7, F.concat(F.lit("\n"), t)), (9, F.concat(F.lit("```\n# not a heading\n"), t)), (10, F.lit("~~~")))
+        out = F.when(k == marks[0][0], marks[0][1])
+        for at, text in marks[1:]:
+            out = out.when(k == at, text)
+        return out.otherwise(t)
+
+    above = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("---\nname: note "), F.col("doc_id").cast("string"), F.lit('\ndescription: "About '), F.col("doc_id").cast("string"), F.lit('"\n---\n'))).otherwise("")
+    body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return d.select(F.col("lang").alias("corpus"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("rel"), F.lit("").alias("path"), F.concat(above, body).alias("text"))
 
 
-def q_chunk_notes(spark: SparkSession, sf: str) -> DataFrame:
-    f = spark.createDataFrame([("n", r, f"/n/{r}", t) for r, t in NOTES.items()], "corpus string, rel string, path string, text string")
-    return chunker.chunk_files(f, 6, 16, 20).select("rel", "title", "ordinal", "heading", "line_start", "line_end", "words", "body", "hash")
+def q_chunk_headed(spark: SparkSession, sf: str) -> DataFrame:
+    return chunker.chunk_files(headed(spark, sf)).select("corpus", "rel", "title", "ordinal", "heading", "line_start", "line_end", "words", "hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -196,9 +213,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_topk": q_bm25_topk,
         "bm25_topk_corpus": q_bm25_corpus,
         "bm25_batch": q_bm25_batch,
+        "bm25_blocks": q_bm25_blocks,
         "bm25_fields": q_bm25_fields,
         "vector_topk": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d), 20).select("id", "score"),
-        "vector_batch": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d, 50), 5),
         "vector_batch_all": q_vector_batch_all,
         "normalize": lambda s, d: vectors(s, d).select("id", F.transform(T.normalize(F.col("vec")), lambda x: F.round(x, 5)).alias("v")).select("id", F.posexplode("v").alias("i", "x")),
         "rrf_fuse": q_rrf_fuse,
@@ -217,7 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "carry_over": q_carry_over,
         "replace_files": q_replace,
         "chunk_documents": q_chunk_documents,
-        "chunk_notes": q_chunk_notes,
+        "chunk_headed": q_chunk_headed,
     }
 
 
@@ -269,20 +286,6 @@ def _snippet_sql(limit: int = 120) -> str:
  SELECT chunk_id, CASE WHEN length(s) <= {limit} THEN s ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || trim(substr(s, st + 1, {limit})) || CASE WHEN st + {limit} < length(s) THEN '...' ELSE '' END END AS snippet FROM e"""
 
 
-#: What the rules make of ``NOTES`` at 6, 16 and 20 words, worked out by hand.
-_NOTES = (
-    ("kiln.md", "kiln", 0, "Firing notes", 6, 6, 3, "plain body here"),
-    ("steps.md", "Steps", 0, "Steps", 1, 2, 7, "# Steps\nintro words one two three"),
-    ("steps.md", "Steps", 1, "Steps > Build", 3, 9, 16, "## Build\nmix the clay well\n```\n# not a heading\n```\n### Dry\nslow air"),
-    ("steps.md", "Steps", 2, "Steps > Fire", 10, 11, 3, "## Fire\nhot"),
-    ("steps.md", "Steps", 3, "End", 12, 13, 4, "# End #\nfin"),
-    ("long.md", "long", 0, "Part", 1, 4, 18, "## Part\na b c d e f g h\ni j k l m n o p"),
-    ("long.md", "long", 1, "Part", 6, 6, 8, "q r s t u v w x"),
-    ("fence.md", "b", 0, "", 1, 3, 4, "~~~\n# a\n```"),
-    ("fence.md", "b", 1, "b", 4, 4, 2, "# b"),
-    ("skip.md", "Top", 0, "Top > Deep", 1, 3, 7, "# Top\n### Deep\nx y z"),
-    ("open.md", "open", 0, "", 1, 3, 5, "---\nname: x\nno end"),
-)
 #: Texts without a heading: whole, or by paragraphs packed up to 800 words, a longer one by lines.
 _CHUNKED = r"""WITH RECURSIVE d AS (SELECT doc_id, lang AS corpus, concat_ws('/', source, doc_id) AS rel, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
  l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS t FROM d),
@@ -299,10 +302,57 @@ _CHUNKED = r"""WITH RECURSIVE d AS (SELECT doc_id, lang AS corpus, concat_ws('/'
  SELECT corpus, rel, (row_number() OVER (PARTITION BY doc_id ORDER BY a.a) - 1)::INTEGER AS ordinal, '' AS heading, a.a::INTEGER AS line_start, b::INTEGER AS line_end, words::INTEGER AS words, sha256(chr(10) || body) AS hash FROM body a JOIN d USING (doc_id)"""
 
 
-def _notes_sql() -> str:
-    text = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    rows = ", ".join("(" + ", ".join(text(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in _NOTES)
-    return f"SELECT *, sha256(heading || chr(10) || body) AS hash FROM (VALUES {rows}) v(rel, title, ordinal, heading, line_start, line_end, words, body)"
+def _blocks_sql(pool: int) -> str:
+    weight = lambda tf, words: f"idf * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * {words} / a))"
+    return f"""WITH {_bm25(MORE)},
+ p AS (SELECT query_id, term, chunk_id, chunk_id // {blockmax.WIDTH} AS r, tf, words, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, df, a FROM hit JOIN df USING (term) JOIN asked USING (term), st),
+ b AS (SELECT query_id, term, r, df, idf, count(*) AS n, max({weight("tf", "words")}) AS bound FROM p GROUP BY query_id, term, r, df, idf),
+ fr AS (SELECT query_id, r FROM (SELECT query_id, r, round(sum(bound), 9) AS u FROM b GROUP BY query_id, r) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u DESC, r) <= {blockmax.LEAD * pool}),
+ fs AS (SELECT * FROM (SELECT query_id, chunk_id, sum({weight("tf", "words")}) AS score FROM p SEMI JOIN fr USING (query_id, r) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {pool}),
+ th AS (SELECT query_id, CASE WHEN count(*) >= {pool} THEN min(score) - {blockmax.ROOM} ELSE 0 END AS least FROM fs GROUP BY query_id),
+ li AS (SELECT query_id, term, max(bound) AS bound FROM b GROUP BY ALL),
+ k AS (SELECT query_id, term, sum(bound) OVER (PARTITION BY query_id ORDER BY bound DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < least AS optional, least FROM li JOIN th USING (query_id)),
+ lv AS (SELECT query_id, r, least, sum(CASE WHEN optional THEN bound ELSE 0 END) AS rest FROM b JOIN k USING (query_id, term) GROUP BY query_id, r, least HAVING sum(bound) >= least),
+ ca AS (SELECT query_id, chunk_id, r FROM p JOIN k USING (query_id, term) JOIN lv USING (query_id, r) WHERE NOT optional GROUP BY query_id, chunk_id, r, rest, lv.least HAVING sum({weight("tf", "words")}) + rest >= lv.least),
+ rd AS (SELECT query_id, sum(n) FILTER ((query_id, r) IN (SELECT (query_id, r) FROM fr) OR (NOT optional AND (query_id, r) IN (SELECT (query_id, r) FROM lv)) OR (optional AND (query_id, r) IN (SELECT (query_id, r) FROM ca)))::BIGINT AS postings_read, sum(n)::BIGINT AS postings_all FROM b JOIN k USING (query_id, term) GROUP BY query_id)
+ SELECT query_id, id, score, postings_read, postings_all FROM lex JOIN rd USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {pool}"""
+
+
+def _headed_sql(least: int = 60, target: int = 500, most: int = 800) -> str:
+    levels = range(1, 7)
+    rows = "PARTITION BY doc_id ORDER BY s"
+    last = ", ".join(f"coalesce(max(CASE WHEN level = {k} THEN s END) OVER ({rows}), 0) AS l{k}, last_value(CASE WHEN level = {k} THEN head END IGNORE NULLS) OVER ({rows}) AS h{k}" for k in levels)
+    path = ", ".join(f"CASE WHEN level >= {k} AND l{k} > greatest({', '.join(['0', *(f'l{j}' for j in range(1, k))])}) THEN h{k} END" for k in levels)
+    head = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$"
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, lang AS corpus, concat_ws('/', source, doc_id || '.md') AS rel,
+  CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'name: note ' || doc_id || chr(10) || 'description: "About ' || doc_id || '"' || chr(10) || '---' || chr(10) ELSE '' END
+  || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda t, i: CASE ((i - 1) * 7 + doc_id) % 13 WHEN 0 THEN '# ' || t[:20] WHEN 3 THEN '## ' || t[:12] || chr(10) || t WHEN 5 THEN '### ' || t[:9] || ' ##' || chr(10) || t
+   WHEN 7 THEN chr(10) || t WHEN 9 THEN '```' || chr(10) || '# not a heading' || chr(10) || t WHEN 10 THEN '~~~' ELSE t END), chr(10)) AS text FROM documents),
+ l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS t, len(a) AS total FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM d)),
+ k AS (SELECT doc_id, coalesce(min(n) FILTER (n > 1 AND trim(t) = '---'), 0) * max((n = 1 AND trim(t) = '---')::INT) AS skip FROM l GROUP BY doc_id),
+ w AS (SELECT doc_id, n, t, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w, regexp_matches(t, '^\s{{0,3}}(```|~~~)') AS fence, length(regexp_extract(t, '{head}', 1)) AS mark, trim(regexp_extract(t, '{head}', 2)) AS head FROM l JOIN k USING (doc_id) WHERE n > skip AND NOT (n = total AND t = '')),
+ f AS (SELECT *, mark > 0 AND sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 0 AS starts FROM w),
+ h AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM f),
+ sec AS (SELECT doc_id, s, min(n) AS a, max(n) AS b, sum(w) AS words, max(CASE WHEN starts THEN mark ELSE 0 END) AS level, max(CASE WHEN starts THEN head END) AS head, coalesce(sum(w) FILTER (NOT starts), 0) > 0 AS fully FROM h GROUP BY ALL HAVING s > 0 OR sum(w) > 0),
+ up AS (SELECT *, {last} FROM sec),
+ o AS (SELECT *, list_filter([{path}], lambda x: x IS NOT NULL) AS path, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i FROM up),
+ r AS (SELECT doc_id, i, path AS lp, level AS ll, words AS size, 1 AS g FROM o WHERE i = 1 UNION ALL
+  SELECT doc_id, i, CASE WHEN same THEN lp ELSE path END, CASE WHEN same THEN ll ELSE level END, CASE WHEN same THEN size + words ELSE words END, CASE WHEN same THEN g ELSE g + 1 END
+  FROM (SELECT o.doc_id, o.i, o.path, o.level, o.words, lp, ll, size, g, len(lp) > 0 AND (o.path[:len(lp)] = lp OR (o.level = ll AND o.path[1:len(o.path) - 1] = lp[1:len(lp) - 1])) AND (size < {least} OR (o.words < {least} AND size + o.words <= {target})) AS same FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)),
+ grp AS (SELECT doc_id, g, min(a) AS a, max(b) AS b, sum(words) AS total, coalesce(arg_min(path, i) FILTER (fully), arg_min(path, i)) AS path FROM r JOIN o USING (doc_id, i) GROUP BY doc_id, g),
+ gl AS (SELECT h.doc_id, g, n, t, w, total FROM grp JOIN h ON h.doc_id = grp.doc_id AND n BETWEEN a AND b),
+ full_ AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, g ORDER BY n) AS p FROM gl WHERE w > 0),
+ pw AS (SELECT doc_id, g, p, sum(w) > {most} AS big FROM full_ WHERE total > {most} GROUP BY ALL),
+ seg AS (SELECT doc_id, g, p, big, sum((big OR before)::INT) OVER (PARTITION BY doc_id, g ORDER BY p) AS sg FROM (SELECT *, coalesce(lag(big) OVER (PARTITION BY doc_id, g ORDER BY p), false) AS before FROM pw)),
+ units AS (SELECT doc_id, g, sg, CASE WHEN big THEN n ELSE -p - 1 END AS u, min(n) AS a, max(n) AS b, sum(w) AS w FROM full_ JOIN seg USING (doc_id, g, p) GROUP BY ALL),
+ unit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g, sg ORDER BY a) AS i FROM units),
+ packed AS (SELECT doc_id, g, sg, i, 1 AS q, w AS size, a, b FROM unit WHERE i = 1 UNION ALL
+  SELECT u.doc_id, u.g, u.sg, u.i, CASE WHEN size + u.w > {most} THEN q + 1 ELSE q END, CASE WHEN size + u.w > {most} THEN u.w ELSE size + u.w END, u.a, u.b FROM packed r JOIN unit u ON u.doc_id = r.doc_id AND u.g = r.g AND u.sg = r.sg AND u.i = r.i + 1),
+ piece AS (SELECT doc_id, g, min(a) AS a, max(b) AS b FROM packed GROUP BY doc_id, g, sg, q UNION ALL SELECT doc_id, g, min(n), max(n) FROM full_ WHERE total <= {most} GROUP BY doc_id, g),
+ body AS (SELECT doc_id, g, a, b, sum(w) AS words, regexp_replace(string_agg(t, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS body FROM piece JOIN gl USING (doc_id, g) WHERE n BETWEEN a AND b AND (w > 0 OR total <= {most}) GROUP BY ALL),
+ top AS (SELECT doc_id, arg_min(head, s) AS head FROM sec WHERE level = 1 GROUP BY doc_id),
+ named AS (SELECT body.*, coalesce(nullif(array_to_string(path, ' > '), ''), CASE WHEN doc_id % 4 = 0 THEN 'About ' || doc_id ELSE '' END) AS heading FROM body JOIN grp USING (doc_id, g))
+ SELECT corpus, rel, coalesce(nullif(head, ''), CASE WHEN doc_id % 4 = 0 THEN 'note ' || doc_id ELSE doc_id::VARCHAR END) AS title, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INTEGER AS ordinal, heading, a::INTEGER AS line_start, b::INTEGER AS line_end, words::INTEGER AS words, sha256(heading || chr(10) || body) AS hash FROM named JOIN d USING (doc_id) LEFT JOIN top USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -321,9 +371,9 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH {_bm25(MORE[:1])} {_TOP}",
         "bm25_topk_corpus": f"WITH {_bm25(MORE[:1], where="corpus = 'en'")} {_TOP}",
         "bm25_batch": f"WITH {_bm25(MORE)} SELECT query_id, id, score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20",
+        "bm25_blocks": _blocks_sql(20),
         "bm25_fields": f"WITH {weighed} {_TOP}",
         "vector_topk": f"WITH {_VEC} SELECT id, score FROM vec",
-        "vector_batch": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id < 50) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
         "vector_batch_all": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
         "normalize": "WITH n AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings) SELECT id, (unnest(range(1, len(e) + 1)) - 1)::INTEGER AS i, round(unnest(e)::DOUBLE / CASE WHEN l = 0 THEN 1 ELSE l END, 5) AS x FROM n",
         "rrf_fuse": f"WITH {_LANES} SELECT id, round(coalesce(1.0 / (20 + l.r), 0) + coalesce(0.5 / (20 + v.r), 0), 9)::DOUBLE AS score, l.r AS rank_1, v.r AS rank_2 FROM l FULL JOIN v USING (id)",
@@ -342,6 +392,6 @@ def oracle_sql() -> dict[str, str]:
         "purge": f"WITH {_SNAPS} SELECT corpus, rel FROM o SEMI JOIN nw USING (corpus, rel)",
         "carry_over": f"WITH {_CHUNKS} SELECT chunk_id + 1000000 AS chunk_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm2 FROM c JOIN embeddings ON vec_id = chunk_id WHERE chunk_id % 3 <> 0",
         "chunk_documents": _CHUNKED,
-        "chunk_notes": _notes_sql(),
+        "chunk_headed": _headed_sql(),
         "replace_files": f"WITH {_SNAPS} SELECT corpus, rel, nw.sha256 FROM nw JOIN diff USING (corpus, rel) WHERE status <> 'unchanged' UNION ALL SELECT corpus, rel, o.sha256 FROM o JOIN diff USING (corpus, rel) WHERE status = 'unchanged'",
     }

@@ -11,10 +11,13 @@ from ..sources.files import decode_text
 
 
 def watch(spark: SparkSession, folder: str, corpus: str) -> DataFrame:
-    """A stream of corpus, rel, path, text, one row for each new file; edits in place and
-    deletions need :func:`lodestack.operators.upkeep.snapshot_diff`."""
+    """A stream of corpus, rel (the path below ``folder``), path, text, one row for each new file;
+    edits in place and deletions need :func:`lodestack.operators.upkeep.snapshot_diff`."""
+    # the scheme may be added or written another way: the folder's own name and what follows it
+    tail = "/" + folder.split("://", 1)[-1].strip("/") + "/"
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-    return raw.select(F.lit(corpus).alias("corpus"), F.element_at(F.split("path", "/"), -1).alias("rel"), "path", decode_text("content").alias("text"))
+    raw = raw.withColumn("tail", F.lit(tail))
+    return raw.select(F.lit(corpus).alias("corpus"), F.expr("substring(path, instr(path, tail) + length(tail))").alias("rel"), "path", decode_text("content").alias("text"))
 
 
 def chunk_inbox(spark: SparkSession, folder: str, corpus: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -2,11 +2,12 @@
 
 import os
 
+import plain_chunker
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import chunker, upkeep
+from lodestack.operators import chunker, sections, upkeep
 from lodestack.operators import retrieval as R
 from lodestack.plans import queries as Q
 from lodestack.sources import config, files
@@ -16,43 +17,43 @@ NOTE = "# Kiln log\nHow the kiln is fired.\n\n## Setup\nStack bricks.\n```\n# no
 
 
 def test_small_sections_merge_into_one_chunk():
-    _, parts, found = chunker.chunks(NOTE)
+    _, parts, found = plain_chunker.chunks(NOTE)
     assert [s.path for s in parts] == [("Kiln log",), ("Kiln log", "Setup"), ("Kiln log", "Faults"), ("Kiln log", "Faults", "Cracks")]
     assert [(c["heading"], c["line_start"], c["line_end"]) for c in found] == [("Kiln log", 1, 11)]
 
 
 def test_frontmatter_and_titles():
     text = '---\nname: kiln\ndescription: "Firing notes"\n  nested: no\n---\nplain body\n'
-    meta, parts, (c,) = chunker.chunks(text)
+    meta, parts, (c,) = plain_chunker.chunks(text)
     assert meta == {"name": "kiln", "description": "Firing notes"} and c["heading"] == "Firing notes" and c["line_start"] == 6
-    assert chunker.title(meta, parts, "a/b.md") == "kiln" and chunker.title({}, [], "a/b.md") == "b"
-    assert chunker.frontmatter(["---", "a: b"]) == ({}, 0)
+    assert plain_chunker.title(meta, parts, "a/b.md") == "kiln" and plain_chunker.title({}, [], "a/b.md") == "b"
+    assert sections.frontmatter(["---", "a: b"]) == ({}, 0)
 
 
 @pytest.mark.parametrize(("line", "heading"), [("# C#", "C"), ("# #", "#"), ("### a ##", "a"), (" # no", None), ("#no", None)])
 def test_heading_lines(line, heading):
-    _, parts = chunker.sections(line)
+    _, parts = sections.sections(line)
     assert parts[0].heading == (heading or "")
 
 
 def test_fences_toggle_whatever_their_mark():
-    _, parts = chunker.sections("```\n# a\n~~~\n# b\n```\n# c")
+    _, parts = sections.sections("```\n# a\n~~~\n# b\n```\n# c")
     assert [s.heading for s in parts] == ["", "b"]
 
 
 def test_long_text_splits_at_paragraphs_and_lines():
     para = "\n".join(" ".join(f"w{i}x{j}" for i in range(10)) for j in range(12))
-    _, _, found = chunker.chunks(f"# T\n\n## S\n\n{para}\n\n{para}\n\nshort end\n", max_words=100, target_words=90)
+    _, _, found = plain_chunker.chunks(f"# T\n\n## S\n\n{para}\n\n{para}\n\nshort end\n", max_words=100, target_words=90)
     assert all(c["words"] <= 100 for c in found) and len(found) >= 3
     assert sum(c["words"] for c in found) == len(f"# T ## S {para} {para} short end".split())
-    _, _, one = chunker.chunks(" ".join(["w"] * 900))
+    _, _, one = plain_chunker.chunks(" ".join(["w"] * 900))
     assert [c["words"] for c in one] == [900]
 
 
 def test_section_text():
-    got = chunker.section_text(NOTE, "faults", 1000)
+    got = sections.section_text(NOTE, "faults", 1000)
     assert got["text"].startswith("## Faults") and "Cool slowly." in got["text"] and not got["truncated"]
-    assert "error" in chunker.section_text(NOTE, "nothing", 10)
+    assert "error" in sections.section_text(NOTE, "nothing", 10)
 
 
 def test_terms():
@@ -125,15 +126,21 @@ def test_find_file(spark):
 
 def test_inbox(spark, folder, tmp_path):
     out = str(tmp_path / "out")
-    inbox.chunk_inbox(spark, str(folder), "kb", out, str(tmp_path / "state")).awaitTermination(120)
+    run = lambda: inbox.chunk_inbox(spark, str(folder), "kb", out, str(tmp_path / "state")).awaitTermination(120)
+    run()
     assert spark.read.parquet(out).where("rel = 'alpha.md'").count() == 1
+    deep = folder / "more" / str(folder).strip("/")  # the folder's own path below itself
+    deep.mkdir(parents=True)
+    (deep / "alpha.md").write_text("# Another\nof that name")
+    run()
+    assert {r.rel for r in spark.read.parquet(out).where("rel like '%alpha.md'").collect()} == {"alpha.md", f"more/{str(folder).strip('/')}/alpha.md"}
 
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fuse", "snapshot_diff", "corpus_stats", "snippet", "chunk_documents", "chunk_notes", "hybrid_search"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fuse", "snapshot_diff", "corpus_stats", "snippet", "chunk_documents", "chunk_headed", "hybrid_search"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
