@@ -46,22 +46,23 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return F.transform(kept, light_stem) if stem else kept
 
 
-def query_terms(query: str) -> list[str]:
-    """Unstemmed tokens of a query; if stop words are all it has, these."""
-    found = [t.lower() for t in re.findall(r"[^\W_]+", query)]
+def query_terms(query: str, words: list[str] | None = None) -> list[str]:
+    """Unstemmed tokens of a query (or its ``words``); if stop words are all it has, these."""
+    found = [t.lower() for t in re.findall(r"[^\W_]+", query)] if words is None else words
     return [t for t in found if len(t) > 1 and t not in STOPWORDS] or found
 
 
+def stem(token: str) -> str:
+    """:func:`light_stem` of one token."""
+    rules = ((5, "ies", "y"), (5, "ing", ""), (4, "ed", ""), (3, "s", ""))
+    hit = next(((s, r) for n, s, r in rules if len(token) > n and token.endswith(s) and not (s == "s" and token.endswith("ss"))), None)
+    return token[: len(token) - len(hit[0])] + hit[1] if hit else token
+
+
 def stemmed_terms(query: str) -> list[str]:
     """Distinct stemmed tokens of a query, in order, as the index has them."""
-    rules = ((5, "ies", "y"), (5, "ing", ""), (4, "ed", ""), (3, "s", ""))
-    out = []
-    for t in (t.lower() for t in re.findall(r"[^\W_]+", query)):
-        if len(t) < 2 or t in STOPWORDS:
-            continue
-        hit = next(((s, r) for n, s, r in rules if len(t) > n and t.endswith(s) and not (s == "s" and t.endswith("ss"))), None)
-        out.append(t[: len(t) - len(hit[0])] + hit[1] if hit else t)
-    return list(dict.fromkeys(out))
+    found = (t.lower() for t in re.findall(r"[^\W_]+", query))
+    return list(dict.fromkeys(stem(t) for t in found if len(t) > 1 and t not in STOPWORDS))
 
 
 def path_text(path: Column) -> Column:

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..functions.porter import porter
 from ..session import ship
+from . import phrases as P
 from . import retrieval as R
 
 Asked = Sequence[tuple[int, str]]
@@ -62,17 +63,15 @@ def _folded(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [folded(t) for t in ts])
 
 
-def raw_words(query: str) -> list[str]:
-    return re.findall(r"[^\W_]+", query.lower())
+#: Words with the marks that follow their letters, as a letter and its accent may be two characters.
+MARKED = r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36F}]*"
 
 
-#: Fields are laid end to end with a gap, so that no sequence spans two of them.
-GAP = 1 << 28
-WEIGHTS = {"heading": 2.0, "body": 1.0, "path": 0.5}
+def raw_words(query: str) -> list[str]:
+    return re.findall(r"[^\W_](?:[^\W_]|[̀-ͯ])*", query.lower())
 
 
-def _placed(base: int) -> Callable[[Column, Column], Column]:
-    return lambda t, i: F.struct(t.alias("term"), (i + base).alias("at"))
+WEIGHTS = {"heading": 2.0, "body": 1.0, "path": 0.5}
 
 
 class Fields:
@@ -84,43 +83,26 @@ class Fields:
         """part, term, chunk_id, corpus, words (tokens of all fields), tf and ``at``, the places:
         those of the i-th field start at i * GAP."""
         ship(chunks.sparkSession)
+        words = lambda c: F.regexp_extract_all(c, F.lit(f"({MARKED})"), F.lit(1))
         parts = (F.col("heading"), F.col("body"), F.concat_ws("/", "corpus", "rel"))
-        x = chunks.select("part", "chunk_id", "corpus", *(_folded(T.raw_tokens(c)).alias(f) for f, c in zip(WEIGHTS, parts, strict=True)))
-        placed = [F.transform(F.col(f), _placed(g * GAP)) for g, f in enumerate(WEIGHTS)]
-        words = sum((F.size(f) for f in WEIGHTS), F.lit(0))
-        rows = x.select("part", "chunk_id", "corpus", words.alias("words"), F.explode(F.concat(*placed)).alias("x"))
-        return rows.groupBy("part", "x.term", "chunk_id", "corpus", "words").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("x.at")).alias("at"))
+        return P.postings(chunks, [_folded(words(c)) for c in parts], ("part", "corpus"))
 
     @staticmethod
     def phrases(query: str) -> list[list[str]]:
         """Each word of a query, and all of them in sequence (stop words too) if they are several."""
         words = raw_words(query)
-        return [[folded(t)] for t in T.query_terms(query)] + ([[folded(t) for t in words]] if len(words) > 1 else [])
+        return [[folded(t)] for t in T.query_terms(query, words)] + ([[folded(t) for t in words]] if len(words) > 1 else [])
 
     @staticmethod
     def terms(query: str) -> list[str]:
         return sorted({t for p in Fields.phrases(query) for t in p})
 
     @staticmethod
-    def rank(post: DataFrame, terms: DataFrame, n: int, words: int, tokens: int, every: int, asked: Asked, pool: int, corpora: Sequence[str] = ()) -> DataFrame:
-        """As :meth:`Light.rank`.  A phrase's frequency is the weighted number of its places."""
-        spark = post.sparkSession
-        rows = [(i, f"{i}.{j}", len(p), t, o) for i, q in asked for j, p in enumerate(Fields.phrases(q)) for o, t in enumerate(p)]
-        x = spark.createDataFrame(rows, "query_id int, phrase string, length int, term string, offset int")
-        hint = F.broadcast if len(rows) <= R.BROADCAST_ROWS else lambda d: d
-        places = post.join(hint(x), "term").select("query_id", "phrase", "length", "chunk_id", "corpus", "words", "offset", F.explode("at").alias("at"))
-        start = (F.col("at") - F.col("offset")).alias("start")
-        found = places.groupBy("query_id", "phrase", "length", "chunk_id", "corpus", "words", start).agg(F.count("*").alias("has")).where(F.col("has") == F.col("length"))
-        field = F.floor(F.col("start") / GAP)
-        weight = F.coalesce(*(F.when(field == g, F.lit(w)) for g, w in enumerate(WEIGHTS.values())))
-        hits = found.groupBy("query_id", "phrase", "chunk_id", "corpus", "words").agg(F.sum(weight).alias("tf"))
-        df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase asked
-        if corpora:
-            hits = hits.where(F.col("corpus").isin(*corpora))
-        idf = F.log((F.lit(every) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        score = F.when(idf > 0, idf).otherwise(1e-6) * T.term_weight(F.col("tf"), F.col("words"), F.lit(tokens / every if every and tokens else 1.0))
-        scored = hits.join(hint(df), "phrase").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(score), 6).alias("score"))
-        return R.ranked(scored, ["query_id"]).where(F.col("rank") <= pool).drop("rank")
+    def rank(post: DataFrame, terms: DataFrame | None, n: int, words: int, tokens: int, every: int, asked: Asked, pool: int, corpora: Sequence[str] = ()) -> DataFrame:
+        """As :meth:`Light.rank`."""
+        return P.rank(post, [(i, Fields.phrases(q)) for i, q in asked], list(WEIGHTS.values()), every, tokens, pool, terms, corpora)
 
 
 BACKENDS = {b.name: b for b in (Light, Fields)}
+# The names that configurations use for them.
+BACKENDS |= {"python": Light, "fts5": Fields, "auto": Fields}

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blockmax, chunker, upkeep
+from ..operators import blockmax, chunker, phrases, upkeep
 from ..operators import retrieval as R
 
 QUERY = "The tion onnt of ereaer, haor"
 MORE = ((1, QUERY), (2, "reble anhashed things"), (3, "édetre queeau leau"))
+#: Searches for words in sequence, with stop words in them.
+SEQUENCES = ((1, "in the"), (2, "Attion to thanedble"), (3, "de la"), (4, "the anea eriner"), (5, "nothing of it"))
 NOW = "2024-01-31 00:00:00"
 SIG = "table"
 
@@ -112,6 +114,24 @@ def q_bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25_fields(R.field_postings(c), asked(spark, MORE[:1]), 40, c).select("id", "score")
 
 
+def _words(text: Column) -> Column:
+    return F.transform(T.raw_tokens(text), T.light_stem)
+
+
+def q_bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word of a search and all of them in sequence, in body and path, weighed 1 and 0.5."""
+    c = chunks(spark, sf)
+    post = phrases.postings(c, [_words(F.col("body")), _words(F.concat_ws("/", "corpus", "rel"))], ("corpus",))
+    wanted = sorted({t for _, ps in _sequences() for p in ps for t in p})
+    size = post.agg(F.countDistinct("chunk_id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
+    return phrases.rank(post.where(F.col("term").isin(wanted)), _sequences(), (1.0, 0.5), size["n"], size["tokens"], 20)
+
+
+def _sequences() -> list[tuple[int, list[list[str]]]]:
+    stem = lambda ws: [T.stem(w) for w in ws]
+    return [(i, [[t] for t in stem(T.query_terms(q))] + [stem(q.lower().split())]) for i, q in SEQUENCES]
+
+
 def _lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = chunks(spark, sf)
     return c, R.bm25(R.postings(c), c, asked(spark, MORE[:1]), 40), R.knn(vectors(spark, sf), query_vectors(spark, sf), 20)
@@ -215,6 +235,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_batch": q_bm25_batch,
         "bm25_blocks": q_bm25_blocks,
         "bm25_fields": q_bm25_fields,
+        "bm25_phrase": q_bm25_phrase,
         "vector_topk": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d), 20).select("id", "score"),
         "vector_batch_all": q_vector_batch_all,
         "normalize": lambda s, d: vectors(s, d).select("id", F.transform(T.normalize(F.col("vec")), lambda x: F.round(x, 5)).alias("v")).select("id", F.posexplode("v").alias("i", "x")),
@@ -318,6 +339,17 @@ def _blocks_sql(pool: int) -> str:
  SELECT query_id, id, score, postings_read, postings_all FROM lex JOIN rd USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {pool}"""
 
 
+def _phrase_sql(pool: int) -> str:
+    rows = ", ".join(f"({i}, {j}, {len(p)}, '{t}', {o})" for i, ps in _sequences() for j, p in enumerate(ps) for o, t in enumerate(p))
+    words = lambda text, f: f"SELECT chunk_id, {f} AS f, unnest(range(len(w))) AS pos, unnest(w) AS t FROM (SELECT chunk_id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM c)"
+    return f"""WITH {_CHUNKS}, raw AS ({words("body", 0)} UNION ALL {words("corpus || '/' || rel", 1)}), tok AS (SELECT chunk_id, f, pos, {_STEM} AS term FROM raw),
+ q AS (SELECT * FROM (VALUES {rows}) v(query_id, phrase, length, term, o)), sz AS (SELECT chunk_id, count(*) AS words FROM tok GROUP BY chunk_id), st AS (SELECT count(*) AS n, sum(words) / count(*) AS a FROM sz),
+ pl AS (SELECT query_id, phrase, chunk_id, f FROM tok JOIN q USING (term) GROUP BY query_id, phrase, length, chunk_id, f, pos - o HAVING count(*) = length),
+ tf AS (SELECT query_id, phrase, chunk_id, sum(CASE f WHEN 0 THEN 1.0 ELSE 0.5 END)::DOUBLE AS tf FROM pl GROUP BY ALL), df AS (SELECT query_id, phrase, count(*) AS df FROM tf GROUP BY ALL),
+ lex AS (SELECT query_id, chunk_id AS id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / a))), 6) AS score FROM tf JOIN df USING (query_id, phrase) JOIN sz USING (chunk_id), st GROUP BY ALL)
+ SELECT query_id, id, score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {pool}"""
+
+
 def _headed_sql(least: int = 60, target: int = 500, most: int = 800) -> str:
     levels = range(1, 7)
     rows = "PARTITION BY doc_id ORDER BY s"
@@ -372,6 +404,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk_corpus": f"WITH {_bm25(MORE[:1], where="corpus = 'en'")} {_TOP}",
         "bm25_batch": f"WITH {_bm25(MORE)} SELECT query_id, id, score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20",
         "bm25_blocks": _blocks_sql(20),
+        "bm25_phrase": _phrase_sql(20),
         "bm25_fields": f"WITH {weighed} {_TOP}",
         "vector_topk": f"WITH {_VEC} SELECT id, score FROM vec",
         "vector_batch_all": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
