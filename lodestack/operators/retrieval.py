@@ -127,7 +127,7 @@ def _nearest(pool: int, digits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def part(rows: pa.ListScalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
         ids = rows.values.field("id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
-        return ids[order], rows.values.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
+        return ids[order], rows.values.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blockmax, chunker, phrases, upkeep
+from ..operators import blockmax, cells, chunker, phrases, upkeep
 from ..operators import retrieval as R
 
 QUERY = "The tion onnt of ereaer, haor"
@@ -56,6 +56,12 @@ def q_vector_batch_all(spark: SparkSession, sf: str) -> DataFrame:
     return R.knn_blocks(v, v.where("id % 20 = 0").select((F.col("id") + 1).cast("int").alias("query_id"), "vec"), 5)
 
 
+def q_vector_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`q_vector_batch_all`, by cells of which a query reads those that can matter."""
+    v = vectors(spark, sf)
+    return cells.knn(v, v.where("id % 20 = 0").select((F.col("id") + 1).cast("int").alias("query_id"), "vec"), 5)
+
+
 def old_files(spark: SparkSession, sf: str) -> DataFrame:
     """An earlier state of :func:`files`: every seventh missing, some with another content or time."""
     f, i = files(spark, sf), F.col("event_id")
@@ -238,6 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bm25_phrase": q_bm25_phrase,
         "vector_topk": lambda s, d: R.knn(vectors(s, d), query_vectors(s, d), 20).select("id", "score"),
         "vector_batch_all": q_vector_batch_all,
+        "vector_cells": q_vector_cells,
         "normalize": lambda s, d: vectors(s, d).select("id", F.transform(T.normalize(F.col("vec")), lambda x: F.round(x, 5)).alias("v")).select("id", F.posexplode("v").alias("i", "x")),
         "rrf_fuse": q_rrf_fuse,
         "per_file_cap": q_per_file_cap,
@@ -339,6 +346,20 @@ def _blocks_sql(pool: int) -> str:
  SELECT query_id, id, score, postings_read, postings_all FROM lex JOIN rd USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {pool}"""
 
 
+def _cells_sql(pool: int) -> str:
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+    return f"""WITH e AS (SELECT vec_id AS id, embedding AS v, sqrt({dot("embedding", "embedding")}) AS norm FROM embeddings),
+ pv AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS nth FROM e QUALIFY nth <= (SELECT ceil(sqrt(count(*))) FROM e)),
+ an AS (SELECT e.id, e.norm, nth, acos(greatest(-1, least(1, CASE WHEN e.norm * pv.norm > 0 THEN {dot("e.v", "pv.v")} / (e.norm * pv.norm) ELSE 1 END))) AS angle FROM e, pv),
+ own AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(angle, 9), nth) = 1),
+ ce AS (SELECT nth, max(angle) + 1e-9 AS wide, min(norm) AS low, max(norm) AS high FROM own GROUP BY nth),
+ x AS (SELECT (q.id + 1)::INTEGER AS query_id, q.id AS qid, e.id, round({dot("e.v", "q.v")}, 6) AS score FROM e, e q WHERE q.id % 20 = 0),
+ inn AS (SELECT x.* FROM x JOIN own a ON a.id = x.qid JOIN own b ON b.id = x.id AND b.nth = a.nth QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, x.id) <= {pool}),
+ th AS (SELECT query_id, qid, CASE WHEN count(*) >= {pool} THEN min(score) ELSE -1e308 END AS least FROM inn GROUP BY ALL),
+ rd AS (SELECT query_id, 1 + count(*) FILTER (an.nth <> own.nth AND an.norm * CASE WHEN cos(greatest(0, an.angle - wide)) >= 0 THEN high ELSE low END * cos(greatest(0, an.angle - wide)) >= least - {cells.ROOM}) AS cells_read FROM th JOIN own ON own.id = th.qid JOIN an ON an.id = th.qid JOIN ce ON ce.nth = an.nth GROUP BY query_id)
+ SELECT x.query_id, id, score, cells_read, (SELECT count(*) FROM ce) AS cells FROM x JOIN rd USING (query_id) QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY score DESC, id) <= {pool}"""
+
+
 def _phrase_sql(pool: int) -> str:
     rows = ", ".join(f"({i}, {j}, {len(p)}, '{t}', {o})" for i, ps in _sequences() for j, p in enumerate(ps) for o, t in enumerate(p))
     words = lambda text, f: f"SELECT chunk_id, {f} AS f, unnest(range(len(w))) AS pos, unnest(w) AS t FROM (SELECT chunk_id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM c)"
@@ -408,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_fields": f"WITH {weighed} {_TOP}",
         "vector_topk": f"WITH {_VEC} SELECT id, score FROM vec",
         "vector_batch_all": f"WITH x AS (SELECT (q.vec_id + 1)::INTEGER AS query_id, v.vec_id AS id, {_DOT} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5",
+        "vector_cells": _cells_sql(5),
         "normalize": "WITH n AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings) SELECT id, (unnest(range(1, len(e) + 1)) - 1)::INTEGER AS i, round(unnest(e)::DOUBLE / CASE WHEN l = 0 THEN 1 ELSE l END, 5) AS x FROM n",
         "rrf_fuse": f"WITH {_LANES} SELECT id, round(coalesce(1.0 / (20 + l.r), 0) + coalesce(0.5 / (20 + v.r), 0), 9)::DOUBLE AS score, l.r AS rank_1, v.r AS rank_2 FROM l FULL JOIN v USING (id)",
         "per_file_cap": f"WITH {_LANES}, h AS (SELECT l.id, split_part(rel, '/', 1) AS ref, score FROM l JOIN c ON id = chunk_id), k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ref ORDER BY score DESC, id) <= 3) SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM k QUALIFY place <= 25",
