@@ -24,7 +24,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -33,6 +33,7 @@ from .operators import retrieval as R
 from .operators.lexical import BACKENDS as LEXICAL
 from .sources import config as C
 from .sources import files as S
+from .sources.embedding import REFUSED, UNREACHED, Probe, Service
 
 FILES = "corpus string, rel string, path string, sha256 string, mtime timestamp, size long"
 VECTORS = "chunk_id long, sig string, vec array<float>"
@@ -136,6 +137,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: dict, index: str, provider: Callable[[pd.Series], pd.Series] | None = None, sig: str = "default"):
         self.spark, self.config, self.folder = spark, C.merged(C.DEFAULTS, config), Path(index)
         self.provider, self.sig = provider, sig
+        self.probe = Probe(provider) if isinstance(provider, Service) else None
         self.corpora = C.corpora(self.config)
         self.parts = int(self.manifest().get("parts") or self.config.get("index_parts") or 0)
         self.backend = LEXICAL[self.config.get("lexical_backend") or "bm25"]
@@ -240,12 +242,11 @@ class Engine:
                 dirty.add(r["part"])
         sizes = before.get("sizes", {})
         behind = {int(p) for p, v in sizes.items() if v["backend"] != self.backend.name} - dirty
-        ready = getattr(self.provider, "available", None)
-        up, said = ready(force=True) if ready and embed else (True, "")
+        up, said = self.probe(anew=True) if self.probe and embed else (True, "")
         embeds = bool(self.provider) and embed and up
         if embeds:
             behind |= {int(p) for p, v in sizes.items() if v["sig"] != self.sig or v["embedded"] < sum(n for n, _ in v["corpora"].values())} - dirty
-        made = {"new": 0}
+        made = {"new": 0, "refused": 0, "unreached": 0}
         stopped = False
         groups = [(g, True) for g in _groups(dirty)] + [(g, False) for g in _groups(behind)]
         for i, (group, changed) in enumerate(groups):
@@ -258,7 +259,7 @@ class Engine:
         total, _, embedded = self._sizes()
         report = {
             "files_seen": sum(n for s, n in counts.items() if s not in ("removed", "purged")), "files_indexed": counts.get("new", 0) + counts.get("changed", 0), "files_unchanged": counts.get("unchanged", 0) + counts.get("touched", 0), "files_removed": counts.get("removed", 0) + counts.get("purged", 0),
-            "chunks": total, "embeddings_reused": embedded - made["new"], "embeddings_new": made["new"], "embeddings_pending": total - embedded, "embedding_mode": "disabled" if not self.provider else "skipped" if not embed else "unavailable" if not up else "provider" if total == embedded else "interrupted", "embedding_reason": said, "seconds": round(time.time() - began, 2),
+            "chunks": total, "embeddings_reused": embedded - made["new"], "embeddings_new": made["new"], "embeddings_pending": total - embedded, "embeddings_rejected": made["refused"], "embedding_mode": "disabled" if not self.provider else "skipped" if not embed else "unavailable" if not up else "interrupted" if made["unreached"] else "provider", "embedding_reason": said, "seconds": round(time.time() - began, 2),
         }
         shutil.rmtree(gen, ignore_errors=True)
         if stopped:
@@ -287,20 +288,27 @@ class Engine:
             write(self.table("files", group).join(gone, ["corpus", "rel"], "left_anti").select(*_names(FILES)).union(still).withColumn("part", self._part()), "files", "corpus", "rel")
         else:
             chunks = old_chunks.withColumn("part", self._part())
-        post = write(self.backend.postings(chunks).select("part", *_names(POSTINGS)), "postings", "term")
-        write(post.groupBy("part", "corpus", "term").agg(F.count("*").alias("df")), "terms", "term")
+        known = self.manifest().get("sizes", {})
+        lexical = changed or any(known[str(p)]["backend"] != self.backend.name for p in group if str(p) in known)
+        if lexical:  # a run for vectors alone leaves them as they are
+            post = write(self.backend.postings(chunks).select("part", *_names(POSTINGS)), "postings", "term")
+            write(post.groupBy("part", "corpus", "term").agg(F.count("*").alias("df")), "terms", "term")
         carried = upkeep.carry_over(chunks, old_chunks, old_vectors, self.sig).select(*_names(VECTORS))
         vectors = chunks.join(carried.drop("sig"), "chunk_id", "left").withColumn("fresh", F.col("vec").isNull())
+        seen = Observation()
         if embeds:
             S.ship(self.spark)
-            vectors = vectors.withColumn("vec", F.coalesce("vec", S.vectors_of(F.when(F.col("fresh"), S.embedding_text()), self.provider)))
+            vectors = vectors.withColumn("made", S.vectors_of(F.when(F.col("fresh"), S.embedding_text()), self.provider)).withColumn("vec", F.coalesce("vec", "made.vec"))
+            vectors = vectors.observe(seen, *(F.count_if(F.col("made.state") == x).alias(x) for x in (REFUSED, UNREACHED)))
         vectors = write(vectors.where("vec is not null").select("part", "chunk_id", F.lit(self.sig).alias("sig"), "vec", "fresh"), "vectors", "chunk_id")
+        for x in (REFUSED, UNREACHED) if embeds else ():
+            made[x] += seen.get[x]
         embedded = {}
         for r in vectors.groupBy("part").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).collect():
             embedded[r["part"]] = r["n"]
             made["new"] += r["fresh"]
-        tokens = {}
-        if self.backend.counts_tokens:
+        tokens = {int(p): v["tokens"] for p, v in known.items()}
+        if lexical and self.backend.counts_tokens:
             tokens = {r["part"]: r["n"] for r in post.groupBy("part").agg(F.sum("tf").alias("n")).collect()}
         sizes: dict[str, dict] = {}
         for r in chunks.groupBy("part", "corpus").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect():  # corpora of some parts
@@ -308,7 +316,7 @@ class Engine:
             v["corpora"][r["corpus"]] = [r["n"], int(r["words"] or 0)]
         m = self.manifest()
         tables = m.get("tables", {})
-        for name in ("postings", "terms", "vectors", *(("chunks", "files") if changed else ())):
+        for name in ("vectors", *(("postings", "terms") if lexical else ()), *(("chunks", "files") if changed else ())):
             at = {p: g for p, g in tables.get(name, {}).items() if int(p) not in group}
             tables[name] = at | {x.name.partition("=")[2]: gen.name for x in (gen / name).glob("part=*")}
         all_sizes = {p: v for p, v in m.get("sizes", {}).items() if int(p) not in group} | sizes
@@ -367,8 +375,9 @@ class Engine:
                 note = "the index has no embeddings yet"
             else:
                 try:
-                    ask = getattr(self.provider, "query", None)
-                    (v,) = [ask(query)] if ask else self.provider(pd.Series([query]))
+                    v, why = self.provider.question(query) if self.probe else (self.provider(pd.Series([query]))[0], "")
+                    if v is None:
+                        raise ValueError(why or "no vector came")
                     qv = [v]
                     note = f"embeddings cover {done}/{total} chunks" if done < total else None
                 except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the lexical lane answers
@@ -409,15 +418,15 @@ class Engine:
 
     def status(self, probe: bool = True) -> dict:
         m = self.manifest()
-        asks = getattr(self.provider, "available", None)
-        said = asks()[1] if asks and probe else ""
+        up, said = self.probe() if self.probe and probe else (None, "")
+        of = {"embedder_available": up, "embedder_url": self.provider.url, "embedder_model": self.provider.model} if self.probe else {}
         stats = upkeep.corpus_stats(self.table("files"), self.table("chunks"), self.table("vectors"), self.sig)
         per = {r.corpus: r.asDict() for r in stats.collect()}  # a row for each corpus
         total = {c: sum(r[c] or 0 for r in per.values()) for c in ("files", "chunks", "words", "embedded")}
         share = round(total["embedded"] / total["chunks"], 3) if total["chunks"] else 0.0
         named = [{"name": c.name, "root": c.root, "description": c.description, "enabled": c.enabled, "available": c.enabled and Path(c.root).exists(), **per.get(c.name, {})} for c in self.corpora]
         age = round(time.time() - m["indexed_at"], 1) if m else None
-        return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), "embedder_note": said, "lexical_backend": self.backend.name, "config_hint": self.config.get("_paths", {}).get("user", "the configuration"), "last_report": m.get("report")}
+        return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), **of, "embedder_note": said, "lexical_backend": self.backend.name, "config_hint": self.config.get("_paths", {}).get("user", "the configuration"), "last_report": m.get("report")}
 
 
 def _groups(parts: set[int]) -> list[list[int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 from .engine import Engine
 from .sources import config as C
-from .sources.embedding import HttpEmbedder
+from .sources.embedding import Service
 
 # Protocol dates and error codes.
 PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
@@ -222,7 +222,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, sourc
     if a.command == "config":
         print(json.dumps(config, indent=2), file=sink)
         return 0
-    embedder = HttpEmbedder(config["embedder"]) if config.get("embedder") else None
+    embedder = Service.of(config["embedder"]) if config.get("embedder") else None
     index = a.index or config.get("index_path") or "lodestack-index"
     engine = Engine(spark or SparkSession.builder.appName("lodestack").getOrCreate(), config, index, embedder, embedder.signature if embedder else "default")
     if a.command == "serve":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from fnmatch import translate
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..session import ship
 from .config import Corpus
+from .embedding import EMBEDDED, REFUSED
 
 
 def include_regex(glob: str) -> str:
@@ -90,21 +92,26 @@ def embedding_text(prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.concat_ws("/", "corpus", "rel"), F.lit("\n"), "heading", F.lit("\n\n"), "body")
 
 
-def vectors_of(text: Column, provider: Callable[[pd.Series], pd.Series]) -> Column:
-    """What ``provider`` gives for texts that are not null, on Arrow batches."""
+def vectors_of(text: Column, provider: Callable[[pd.Series], Any]) -> Column:
+    """(vec, state) that ``provider`` gives for texts that are not null, on Arrow batches: it maps
+    a Series to vectors, or to a frame of vec and state."""
 
-    def run(t: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(t), index=t.index, dtype=object)
+    def run(t: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"vec": pd.Series([None] * len(t), index=t.index, dtype=object), "state": pd.Series([None] * len(t), index=t.index, dtype=object)})
         asked = t[t.notna()]
         if len(asked):
-            out.loc[asked.index] = list(provider(asked))
+            got = provider(asked)
+            if not isinstance(got, pd.DataFrame):
+                got = pd.DataFrame({"vec": list(got)}, index=asked.index)
+                got["state"] = [EMBEDDED if v is not None else REFUSED for v in got["vec"]]
+            out.loc[asked.index, ["vec", "state"]] = got[["vec", "state"]]
         return out
 
-    return F.pandas_udf(run, "array<float>")(text)
+    return F.pandas_udf(run, "vec array<float>, state string")(text)
 
 
 def embed(chunks: DataFrame, sig: str, provider: Callable[[pd.Series], pd.Series] = hashed_embedding, prefix: str = "") -> DataFrame:
     """(chunk_id, sig, vec) for chunks (chunk_id, corpus, rel, heading, body); ``provider`` maps a
     Series of texts to vectors, null where it fails."""
     ship(chunks.sparkSession)
-    return chunks.select("chunk_id", F.lit(sig).alias("sig"), vectors_of(embedding_text(prefix), provider).alias("vec")).where("vec is not null")
+    return chunks.select("chunk_id", F.lit(sig).alias("sig"), vectors_of(embedding_text(prefix), provider)["vec"].alias("vec")).where("vec is not null")
