@@ -336,8 +336,11 @@ def _tag() -> Column:
     return F.xxhash64(text_of())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Broadcasting for few rows, counting the entries of a column of lists as rows too."""
+    entries = F.greatest(F.size(lists), F.lit(0)) if lists else F.lit(0)  # a null list has size -1 or null
+    n = df.agg(F.sum(1 + F.coalesce(entries, F.lit(0))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _cells(families: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -378,7 +381,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     ties = forest_ties(classes.select("cls", "labels"), threshold, recall, trees)
     families = components(ties)
     members = staged(_cells(families, classes.select("cls", "n", "rep.key", "rep.tag"), threshold, block))
-    text = rows.join(_small(members), ["key", "tag"]).dropDuplicates(["cls"])
+    text = rows.join(_small(members, "cells"), ["key", "tag"]).dropDuplicates(["cls"])
     items = text.select("cls", "family", "cells", "own", "text").mapInArrow(_shingles, "cls long, family long, cells array<long>, own long, items binary")
     pair = F.transform(F.coalesce("cells", F.array(F.lit(0).cast("long"))), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
     pairs = items.withColumn("p", F.explode(pair)).select("family", "p.i", "p.j", "own", F.col("cells").isNotNull().alias("split"), "cls", "items")

@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from . import _segments as S
 from . import _vec as V
-from ._common import LAST_ID, documents
+from ._common import LAST_ID, documents, staged, text_of
+from ._extend import extended
 
 U64 = np.uint64
 K, M = 50, 16
-#: Bytes beyond a window by which repeat groups are followed.
+#: Bytes beyond a window that travel with it for repeat groups; longer ones are followed later.
 REACH = 462
 #: Bytes of strings under one suffix array.
 ARRAY_BYTES = 1 << 18
@@ -197,13 +198,17 @@ def _grouped(k: int, reach: int) -> Callable[..., Iterator[pa.RecordBatch]]:
 
 def repeat_groups(docs: DataFrame, k: int = K, m: int = M, reach: int = REACH, **plan: int) -> DataFrame:
     """Maximal repeat groups of at least ``k`` bytes that several documents hold, with all their
-    occurrences: a row (group, length, cut, doc_id, tag, start) for each.  ``group`` is a hash of
-    the repeated bytes, ``tag`` one of the whole text, as rows may repeat a doc_id, ``start`` the
-    byte where the occurrence begins.  A repeat can't be extended to either side without losing
-    an occurrence; those of ``k + reach`` bytes and more are given by so many first bytes (cut)."""
+    occurrences: a row (group, length, doc_id, tag, start) for each.  ``group`` is a hash of the
+    repeated bytes, ``tag`` one of the whole text, as rows may repeat a doc_id, ``start`` the byte
+    where the occurrence begins.  A repeat can't be extended to either side without losing an
+    occurrence, however long it is: the buckets' arrays see ``k + reach`` bytes, and what is
+    longer is followed from there (see ``_extend``)."""
     keyed = S.with_keys(docs)
-    found = S.all_occurrences(keyed, S.plan_for(docs, "bytes", k, m, reach=reach, **plan), _grouped(k, reach), GROUPS)
-    return found.select("group", "length", "cut", F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "tag", "start")
+    found = staged(S.all_occurrences(keyed, S.plan_for(docs, "bytes", k, m, reach=reach, **plan), _grouped(k, reach), GROUPS))
+    texts = keyed.select(F.col(S.KEY).alias("doc"), F.col(S.TAG).alias("tag"), F.encode(text_of(), "UTF-8").alias("text"))
+    longer = extended(found.where("cut").drop("cut"), texts, maximal_repeats)
+    every = found.where("not cut").select("group", F.col("length").cast("long").alias("length"), "doc", "tag", "start").union(longer)
+    return every.select("group", "length", F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "tag", "start")
 
 
 def _array_low(strings: list[bytes], run: np.ndarray, least_doc: np.ndarray, k: int) -> np.ndarray:

@@ -185,16 +185,38 @@ def test_repeat_groups_against_brute_force(spark, plan):
         parts = [rng.choice([rng.choice(passages), rng.choice(passages)[3:30], "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 30)))]) for _ in range(rng.randrange(4))]
         rows.append((i, "".join(parts)))
     rows += [(50, rows[4][1]), (51, rows[4][1]), (52, None), (53, ""), (None, passages[0] + "q"), (54, passages[0] + "r"), (55, "w" + "ab" * 30), (56, "v" + "ab" * 30)]
-    want = brute_groups(rows, 12, 40)
-    assert len(want) > 30 and any(len(s) == 40 for s in want) and any(len(s) < 40 for s in want)
+    want = brute_groups(rows, 12, 10_000)
+    assert len(want) > 30 and sum(len(s) > 40 for s in want) > 5 and any(len(s) < 40 for s in want)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(3)
     got = defaultdict(list)
     for r in suffix_repeats.repeat_groups(df, k=12, m=8, reach=28, **plan).collect():
-        got[r["group"], r.length, r.cut].append((r.doc_id is None, r.doc_id or 0, r.start))
-    assert {(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), len(s), len(s) == 40): at for s, at in want.items()} == {g: sorted(at) for g, at in got.items()}
+        got[r["group"], r.length].append((r.doc_id is None, r.doc_id or 0, r.start))
+    assert {(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), len(s)): at for s, at in want.items()} == {g: sorted(at) for g, at in got.items()}
     assert suffix_repeats.repeat_groups(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("first", "node_bytes"), [(512, 4 << 20), (64, 600)])
+def test_long_repeats_are_whole(spark, monkeypatch, first, node_bytes):
+    """Passages of thousands of bytes that branch after hundreds, copies of whole texts, a common
+    head of many texts; with blocks that have to be shortened."""
+    from lodestack.llm import _extend
+
+    monkeypatch.setattr(_extend, "FIRST", first)
+    monkeypatch.setattr(_extend, "NODE_BYTES", node_bytes)
+    rng = random.Random(77)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    long, head, whole = text(2000), text(900), text(1500)
+    rows = [(1, "p" + long), (2, "q" + long + "tail"), (3, "r" + long[:700] + text(50)), (4, "p" + long[:1200] + "zz"), (5, whole), (6, whole), (7, "x" + whole), (8, whole[:1000])]
+    rows += [(20 + i, head + text(30)) for i in range(12)] + [(40, "s" + head[:600]), (41, None), (41, ""), (None, long[100:1900])]
+    want = brute_groups(rows, 50, 10_000)
+    assert max(map(len, want)) > 2000 and sum(len(s) > 512 for s in want) > 6
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in suffix_repeats.repeat_groups(df).collect():
+        got[r["group"], r.length].append((r.doc_id is None, r.doc_id or 0, r.start))
+    assert {(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), len(s)): at for s, at in want.items()} == {g: sorted(at) for g, at in got.items()}
+
+
 def test_reduce_tasks_have_partitions_of_their_own(spark):
     import pyarrow as pa
     from pyspark import TaskContext
