@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import socket
 import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
@@ -26,6 +27,7 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import chunker, sections, upkeep
@@ -44,6 +46,10 @@ SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "terms": TERM
 STALE_LOCK = 900
 #: Parts of a new index: one for so many files, within bounds; ``index_parts`` of the config overrides.
 FILES_A_PART, FEWEST, MOST = 500, 4, 4096
+#: A chunk's id is its part and, in so many bits, its place there.
+PLACE_BITS = 40
+#: Up to so many candidates of the lanes are named in the scans of chunks and files.
+NAMED = 5_000
 #: Parts that are written together; between such groups a run may be stopped.
 GROUP = 16
 #: So many changed files are opened by name; for more the folders are read.
@@ -69,7 +75,7 @@ class Lock:
         self.path, self.now, self.token = path, now, os.urandom(8).hex()
 
     def text(self) -> str:
-        return json.dumps({"pid": os.getpid(), "at": self.now(), "token": self.token})
+        return json.dumps({"pid": os.getpid(), "host": socket.gethostname(), "at": self.now(), "token": self.token})
 
     def mine(self) -> bool:
         try:
@@ -102,7 +108,8 @@ def writer_lock(folder: Path, now: Callable[[], float] = time.time) -> Iterator[
             try:
                 seen = path.read_text()
                 other = json.loads(seen)
-                stale = not _alive(int(other["pid"])) or now() - float(other["at"]) > STALE_LOCK
+                here = other.get("host", socket.gethostname()) == socket.gethostname()  # elsewhere a pid says nothing
+                stale = (here and not _alive(int(other["pid"]))) or now() - float(other["at"]) > STALE_LOCK
             except FileNotFoundError:
                 continue
             except (ValueError, KeyError, TypeError):  # half-written: judged by its age
@@ -142,6 +149,7 @@ class Engine:
         self.parts = int(self.manifest().get("parts") or self.config.get("index_parts") or 0)
         self.backend = LEXICAL[self.config.get("lexical_backend") or "bm25"]
         self._cached: tuple[tuple, DataFrame] | None = None
+        self._lock: Lock | None = None
 
     # tables
 
@@ -187,7 +195,11 @@ class Engine:
         with writer_lock(self.folder) as lock:
             if lock is None:
                 return {"skipped": "another process is writing"}
-            return self._index(full, corpora, lambda: should_stop() or not lock.renew(), progress, embed, began)
+            self._lock = lock
+            try:
+                return self._index(full, corpora, lambda: should_stop() or not lock.renew(), progress, embed, began)
+            finally:
+                self._lock = None
 
     def _listed(self, gen: Path, took: list[C.Corpus]) -> DataFrame:
         """Files as they are now, written once: all later steps see these."""
@@ -280,9 +292,11 @@ class Engine:
         if changed:
             size = self.config["chunk"]
             fresh = chunker.chunk_files(opened.join(here.where("status in ('new', 'changed')"), ["corpus", "rel"], "left_semi"), size["min_words"], size["target_words"], size["max_words"])
-            fresh = fresh.withColumn("chunk_id", F.xxhash64("corpus", "rel", "ordinal")).select(*_names(CHUNKS))
-            kept = old_chunks.join(stale, ["corpus", "rel"], "left_anti").select(*_names(CHUNKS))
-            chunks = write(kept.union(fresh).withColumn("part", self._part()), "chunks", "chunk_id")
+            kept = old_chunks.join(stale, ["corpus", "rel"], "left_anti").select(*_names(chunker.CHUNK_SCHEMA))
+            every = kept.union(fresh.select(*_names(chunker.CHUNK_SCHEMA))).withColumn("part", self._part())
+            # numbered in their part by file and place, so that an id says where its chunk lies
+            nth = F.row_number().over(Window.partitionBy("part").orderBy("corpus", "rel", "ordinal"))
+            chunks = write(every.withColumn("chunk_id", F.shiftleft(F.col("part").cast("long"), PLACE_BITS) + nth), "chunks", "chunk_id")
             gone = here.where("status <> 'unchanged'").select("corpus", "rel")
             still = opened.join(here.where("status in ('new', 'changed', 'touched')"), ["corpus", "rel"], "left_semi").select(*_names(FILES))
             write(self.table("files", group).join(gone, ["corpus", "rel"], "left_anti").select(*_names(FILES)).union(still).withColumn("part", self._part()), "files", "corpus", "rel")
@@ -328,6 +342,9 @@ class Engine:
         before = self.manifest()
         new = self.folder / f"manifest.{os.getpid()}"
         new.write_text(json.dumps(manifest), "utf-8")
+        if self._lock and not self._lock.mine():  # a group took so long that another process writes now
+            new.unlink()
+            raise RuntimeError("the writer's lock was lost; what this run wrote last is left out")
         os.replace(new, self.folder / "manifest.json")
         used = {g for m in (before, manifest) for at in m.get("tables", {}).values() for g in at.values()}
         running = manifest.get("generation", "").rsplit("-", 1)[0]
@@ -352,19 +369,32 @@ class Engine:
         postings: of these and the terms only those of the queries' terms are read."""
         opts = self.config["search"]
         k = k or opts["k"]
-        chunks = self.table("chunks")
         wanted = F.col("term").isin(sorted({t for q in queries for t in self.backend.terms(q)}))
         covered = self.spark.createDataFrame([(i, T.stemmed_terms(q)) for i, q in enumerate(queries)], "query_id int, terms array<string>")
         n, words, _ = self._sizes(corpora)
         every, tokens = self._sizes()[0], sum(v["tokens"] for v in self.manifest().get("sizes", {}).values())
-        lexical = self.backend.rank(self.table("postings").where(wanted), self.table("terms").where(wanted), n, words, tokens, every, list(enumerate(queries)), max(40, 3 * k), corpora)
-        qv = vec = None
-        if vectors is not None:
+        pool = R.pool_of(k)
+        lexical = self.backend.rank(self.table("postings").where(wanted), self.table("terms").where(wanted), n, words, tokens, every, list(enumerate(queries)), pool, corpora)
+        near = None
+        if vectors is not None and mode != "lexical":
             qv = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id int, vec array<float>")
             vec = self._vectors()
-        found = R.search(chunks, None, covered, vec, qv, k, opts["per_file"], mode, corpora, opts["rrf_k"], lexical, ("corpus", "rel", "path", "title"), len(queries))
-        stamps = self.table("files").select("corpus", "rel", "mtime")
-        return found.join(stamps, ["corpus", "rel"], "left").withColumn("modified", F.date_format("mtime", "yyyy-MM-dd")).drop("mtime")
+            if corpora:
+                mine = self.table("chunks").where(F.col("corpus").isin(*corpora)).select(F.col("chunk_id").alias("id"))
+                vec = vec.join(mine, "id", "left_semi")
+            near = R.knn(vec, qv, max(20, k))
+        found = R.candidates(lexical, near)
+        chunks, stamps = self.table("chunks"), self.table("files")
+        if len(queries) * 2 * pool <= NAMED:
+            # the candidates' ids say in which parts they lie: nothing else is read of chunks and files
+            rows = found.collect()  # at most two pools for each query
+            found = self.spark.createDataFrame(rows, found.schema)
+            ids = sorted({r["id"] for r in rows})
+            parts = {i >> PLACE_BITS for i in ids}
+            chunks, stamps = self.table("chunks", parts).where(F.col("chunk_id").isin(ids)), self.table("files", parts)
+        hits = R.fused(found, chunks, covered, k, opts["per_file"], near is not None, opts["rrf_k"], ("corpus", "rel", "path", "title"), len(queries))
+        stamps = stamps.select("corpus", "rel", "mtime")
+        return hits.join(stamps, ["corpus", "rel"], "left").withColumn("modified", F.date_format("mtime", "yyyy-MM-dd")).drop("mtime")
 
     def search(self, query: str, corpora: Sequence[str] = (), k: int = 6, mode: str = "auto") -> dict:
         began = time.time()

@@ -189,24 +189,25 @@ def coverage_weight(lexical: DataFrame, chunks: DataFrame, queries: DataFrame) -
     return queries.join(best, "query_id", "left").select("query_id", cov.alias("coverage")).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")))
 
 
-def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20, lexical: DataFrame | None = None, also: Sequence[str] = (), n_queries: int | None = None) -> DataFrame:
-    """Hybrid search: the lexical lane, weighed against the vector lane by coverage, fused, capped
-    for each file and cut to ``k``; lexical only where vectors are absent or the mode says so.
-    ``lexical`` stands for a lane from an index, ``also`` are more columns of chunks.  The lanes' ids, at most twice the pool for each
-    query, are joined with chunks once; weights and order come from windows over these rows."""
-    k = k or 6
-    pool = max(40, 3 * k)
-    lexical = bm25(post, chunks, queries, pool, corpora) if lexical is None else lexical
-    hybrid = mode != "lexical" and vectors is not None and query_vectors is not None
+def pool_of(k: int) -> int:
+    """Hits of a lane from which the best ``k`` are fused."""
+    return max(40, 3 * k)
+
+
+def candidates(lexical: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """query_id, id, lex_rank, bm25, vec_rank, cosine of the chunks that either lane has."""
     none = F.lit(None).cast
     lanes = ranked(lexical, ["query_id"]).select("query_id", "id", F.col("rank").alias("lex_rank"), F.col("score").alias("bm25"), none("int").alias("vec_rank"), none("double").alias("cosine"))
-    if hybrid:
-        mine = vectors.join(chunks.where(F.col("corpus").isin(*corpora)).select(F.col("chunk_id").alias("id")), "id", "left_semi") if corpora else vectors
-        near = ranked(knn(mine, query_vectors, max(20, k)), ["query_id"])
-        lanes = lanes.union(near.select("query_id", "id", none("int"), none("double"), "rank", "score"))
-    found = lanes.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in ("lex_rank", "bm25", "vec_rank", "cosine")))
+    if near is not None:
+        lanes = lanes.union(ranked(near, ["query_id"]).select("query_id", "id", none("int"), none("double"), "rank", "score"))
+    return lanes.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in ("lex_rank", "bm25", "vec_rank", "cosine")))
+
+
+def fused(found: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, cap: int, hybrid: bool, rrf_k: int = 20, also: Sequence[str] = (), n_queries: int | None = None) -> DataFrame:
+    """Hits from :func:`candidates` and their chunks, which are joined once: weights and order come
+    from windows over these rows."""
     many = queries if n_queries is None else n_queries
-    rows = _hint(many, 2 * pool)(found).join(chunks, F.col("id") == F.col("chunk_id")).join(_hint(many)(queries.select("query_id", "terms")), "query_id")
+    rows = _hint(many, 2 * pool_of(k))(found).join(chunks, F.col("id") == F.col("chunk_id")).join(_hint(many)(queries.select("query_id", "terms")), "query_id")
     seen = F.concat(T.tokens(F.col("heading")), T.tokens(F.col("body")), T.tokens(F.translate("rel", "/_", "  ")))
     best = F.max(F.when(F.col("lex_rank") == 1, T.coverage(F.col("terms"), seen))).over(Window.partitionBy("query_id"))
     rows = rows.withColumn("coverage", F.coalesce(best, F.lit(0.0))).withColumn("vec_weight", T.adaptive_weight(F.col("coverage")) if hybrid else F.lit(0.0))
@@ -214,3 +215,15 @@ def search(chunks: DataFrame, post: DataFrame | None, queries: DataFrame, vector
     rows = rows.withColumn("score", F.round(part(F.lit(1.0), "lex_rank") + part(F.col("vec_weight"), "vec_rank"), 9)).withColumn("ref", F.concat_ws(":", "corpus", "rel"))
     hits = per_file_cap(rows, cap, k)
     return hits.select("query_id", "place", "id", "ref", "heading", "line_start", "line_end", F.round("score", 5).alias("score"), "lex_rank", "vec_rank", F.round("bm25", 3).alias("bm25"), F.round("cosine", 4).alias("cosine"), F.round("coverage", 2).alias("lexical_coverage"), F.round("vec_weight", 2).alias("vec_weight"), "body", *also)
+
+
+def search(chunks: DataFrame, post: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 6, cap: int = 3, mode: str = "auto", corpora: Sequence[str] = (), rrf_k: int = 20) -> DataFrame:
+    """Hybrid search: the lexical lane, weighed against the vector lane by coverage, fused, capped
+    for each file and cut to ``k``; lexical only where vectors are absent or the mode says so."""
+    k = k or 6
+    lexical = bm25(post, chunks, queries, pool_of(k), corpora)
+    near = None
+    if mode != "lexical" and vectors is not None and query_vectors is not None:
+        mine = vectors.join(chunks.where(F.col("corpus").isin(*corpora)).select(F.col("chunk_id").alias("id")), "id", "left_semi") if corpora else vectors
+        near = knn(mine, query_vectors, max(20, k))
+    return fused(candidates(lexical, near), chunks, queries, k, cap, near is not None, rrf_k)

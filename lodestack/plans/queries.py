@@ -180,6 +180,45 @@ def q_find_file(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.find_file(files(spark, sf), "7.MD").select("corpus", "rel")
 
 
+def _tailed(spark: SparkSession, sf: str) -> DataFrame:
+    return upkeep.with_tail(files(spark, sf))
+
+
+def old_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """An earlier state of :func:`chunks`: every seventh missing, every fifth without its end."""
+    c = chunks(spark, sf).where("chunk_id % 7 <> 0")
+    body = F.when(F.col("chunk_id") % 5 == 0, F.substring("body", F.lit(1), F.floor(F.char_length("body") / 2).cast("int"))).otherwise(F.col("body"))
+    c = c.withColumn("body", body)
+    return c.withColumns({"words": T.word_count(F.col("body")), "hash": F.sha2("body", 256)})
+
+
+def q_postings_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the earlier state and the signed rows that lead to the state without every
+    eleventh chunk: what a rebuild would give."""
+    old, new = old_chunks(spark, sf), chunks(spark, sf).where("chunk_id % 11 <> 0")
+    return upkeep.with_deltas(R.postings(old), [upkeep.posting_deltas(old, new, R.postings)])
+
+
+def q_doc_freq_delta(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = old_chunks(spark, sf), chunks(spark, sf).where("chunk_id % 11 <> 0")
+    return upkeep.freq_with_deltas(R.doc_freq(R.postings(old)), [upkeep.posting_deltas(old, new, R.postings)])
+
+
+def _in_folders(f: DataFrame) -> DataFrame:
+    """Files by folders of two levels, of which changes touch some."""
+    i = F.col("event_id").cast("string")
+    return f.withColumn("rel", F.concat_ws("/", F.concat(F.lit("y"), F.floor(F.col("event_id") / 1000).cast("string")), F.concat(F.lit("w"), F.floor(F.col("event_id") / 20).cast("string")), F.concat(i, F.lit(".md"))))
+
+
+def q_snapshot_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot against an earlier one that differs in one week of files in ten."""
+    new = _in_folders(files(spark, sf))
+    week = F.floor(F.col("event_id") / 20)
+    old = new.where(~((week % 10 == 3) & (F.col("event_id") % 3 == 0)))
+    old = old.withColumn("sha256", F.when((week % 10 == 7) & (F.col("event_id") % 4 == 0), F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))).withColumn("size", F.when((week % 10 == 7) & (F.col("event_id") % 4 == 0), F.col("size") + 1).otherwise(F.col("size")))
+    return upkeep.tree_diff(old, new, upkeep.folder_digests(old), upkeep.folder_digests(new))
+
+
 def q_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
     return upkeep.corpus_stats(c.select("corpus", "rel"), c, old_vectors(spark, sf), SIG)
@@ -253,6 +292,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "snippet": q_snippet,
         "recent": q_recent,
         "find_file": q_find_file,
+        "find_file_tail": lambda s, d: upkeep.find_by_tail(_tailed(s, d), "7.MD").select("corpus", "rel"),
+        "postings_delta": q_postings_delta,
+        "doc_freq_delta": q_doc_freq_delta,
+        "snapshot_tree": q_snapshot_tree,
         "corpus_stats": q_corpus_stats,
         "index_status": lambda s, d: upkeep.status(q_corpus_stats(s, d)),
         "pending_embeddings": lambda s, d: upkeep.pending(chunks(s, d), old_vectors(s, d), SIG).select("chunk_id"),
@@ -439,6 +482,12 @@ def oracle_sql() -> dict[str, str]:
         "snippet": _snippet_sql(),
         "recent": f"WITH {_FILES} SELECT corpus, rel, strftime(mtime, '%Y-%m-%d %H:%M') AS modified, (length(rel) % 2 = 0)::BIGINT AS chunks, size FROM f WHERE mtime >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY ORDER BY mtime DESC, corpus, rel LIMIT 20",
         "find_file": f"WITH {_FILES} SELECT corpus, rel FROM f WHERE rel ILIKE '%7.MD'",
+        "find_file_tail": f"WITH {_FILES} SELECT corpus, rel FROM f WHERE rel ILIKE '%7.MD'",
+        "postings_delta": f"WITH {_CHUNKS}, {_TOKENS} SELECT * FROM post WHERE chunk_id % 11 <> 0",
+        "doc_freq_delta": f"WITH {_CHUNKS}, {_TOKENS} SELECT term, count(*) AS df FROM post WHERE chunk_id % 11 <> 0 GROUP BY term",
+        "snapshot_tree": """WITH f AS (SELECT event_type AS corpus, 'y' || event_id // 1000 || '/w' || event_id // 20 || '/' || event_id || '.md' AS rel, event_id AS i, event_id // 20 AS w FROM events),
+ s AS (SELECT *, CASE WHEN w % 10 = 3 AND i % 3 = 0 THEN 'new' WHEN w % 10 = 7 AND i % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM f)
+ SELECT corpus, rel, status, bool_or(status <> 'unchanged') OVER (PARTITION BY corpus, w) AS compared FROM s""",
         "corpus_stats": f"WITH {_STATS} SELECT * FROM stats",
         "index_status": f"WITH {_STATS} SELECT sum(files)::BIGINT AS files, sum(chunks)::BIGINT AS chunks, sum(words)::BIGINT AS words, sum(embedded)::BIGINT AS embedded, round(sum(embedded) / sum(chunks), 3) AS embedded_ratio FROM stats",
         "pending_embeddings": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",

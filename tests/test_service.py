@@ -141,7 +141,41 @@ def test_backend_switch_rebuilds_the_lexical_tables(engine, spark, tmp_path):
     assert {(r.query_id, r.rel) for r in many} == {(0, "beta.txt"), (1, "alpha.md")}
 
 
-def test_an_answer_takes_four_scans(engine):
+def test_an_answer_reads_the_candidates_alone(engine, monkeypatch):
+    """Chunks and files of the candidates' parts, and of these the chunks that are named."""
+    engine.index()
+    engine.config["search"]["cache_vectors"] = False
+    ask = lambda: engine.hits(["slowly"])
+    plan = ask()._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan parquet")[1:]]
+    assert len(scans) == 2 and all("InMemoryFileIndex(1 paths)" in x for x in scans)  # of two parts
+    assert "EqualTo(chunk_id," in scans[0] or "In(chunk_id," in scans[0]
+    named = ask().collect()
+    monkeypatch.setattr("lodestack.engine.NAMED", 0)
+    assert ask().collect() == named and named
+
+
+def test_ids_say_where_chunks_lie(engine):
+    from lodestack.engine import PLACE_BITS
+
+    engine.index()
+    rows = engine.table("chunks").withColumn("part", engine._part()).collect()
+    assert len({r.chunk_id for r in rows}) == len(rows) and all(r.chunk_id >> PLACE_BITS == r.part for r in rows)
+    assert {r.chunk_id for r in engine.table("vectors").collect()} == {r.chunk_id for r in rows}
+
+
+def test_a_lost_lock_keeps_the_manifest(engine):
+    """Another process takes the lock while a group is written: its manifest isn't overwritten."""
+    engine.index()
+    before = engine.manifest()
+    engine._lock = type("Lost", (), {"mine": lambda self: False})()
+    with pytest.raises(RuntimeError, match="lock was lost"):
+        engine._swap({**before, "generation": "mine"})
+    assert engine.manifest() == before
+
+
+def test_an_answer_takes_five_scans(engine, monkeypatch):
+    monkeypatch.setattr("lodestack.engine.NAMED", 0)
     engine.index()
     engine.config["search"]["cache_vectors"] = False
     plan = engine.hits(["glaze slowly"], vectors=[hashed_embedding(__import__("pandas").Series(["glaze"]))[0]])._jdf.queryExecution().executedPlan().toString()
@@ -174,6 +208,10 @@ def test_lock_holds_while_renewed_and_is_left_when_lost(tmp_path):
         with writer_lock(tmp_path, lambda: clock[0]) as three:
             assert three and not one.renew()
             assert three.renew()
+    (tmp_path / "writer.lock").write_text(json.dumps({"pid": 10**30, "host": "elsewhere", "at": clock[0]}))
+    with writer_lock(tmp_path, lambda: clock[0]) as far:
+        assert far is None  # its pid can't be judged from here
+    clock[0] += 2 * STALE_LOCK
     for pid in (0, -1, 10**30):
         (tmp_path / "writer.lock").write_text(json.dumps({"pid": pid, "at": clock[0]}))
         with writer_lock(tmp_path, lambda: clock[0]) as four:
