@@ -150,11 +150,10 @@ def find_by_tail(files: DataFrame, spec: str) -> DataFrame:
         return files.where((F.col("corpus") == corpus) & (F.col("rel") == rel)).drop("tail")
     fixed = re.split(r"[%_\\]", spec)[-1]
     start = _lower(fixed)[::-1]
-    exact = (F.col("path") == spec) | (F.col("rel") == spec)
-    if start:  # by itself, as a scan takes conditions whole
-        files = files.where(exact | F.col("tail").startswith(start))
-    hits = files.where(exact | _ends(spec))
-    hits = hits.withColumn("level", F.when(F.col("path") == spec, 1).when(F.col("rel") == spec, 2).otherwise(3))
+    # a scan for each step, as one condition over all three would not reach it
+    ends = F.col("tail").startswith(start) & _ends(spec) if start else _ends(spec)
+    steps = (F.col("path") == spec, F.col("rel") == spec, ends)
+    hits = reduce(DataFrame.union, (files.where(c).withColumn("level", F.lit(i)) for i, c in enumerate(steps)))
     best = hits.agg(F.min("level").alias("best"))
     return hits.join(F.broadcast(best), F.col("level") == F.col("best")).drop("level", "best", "tail")  # best is one row
 
