@@ -6,7 +6,8 @@ of the lexical backend (``postings`` and ``terms``, sorted by term) has a folder
 and the manifest says in which generation that of each part lies.  A run lists the files, opens
 those whose time or size is new, and writes only the parts that they change, some parts at a
 time; each time the manifest is swapped, so readers never wait and a run that stops half-way
-keeps what it finished.  The folder must be one that the driver and the executors share.
+keeps what it finished.  The folder and the corpora must be ones that the driver and the
+executors mount; Spark is given them with their scheme, whatever its default file system is.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import json
 import os
 import shutil
 import socket
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
+from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import Path
@@ -52,7 +55,7 @@ PLACE_BITS = 40
 NAMED = 5_000
 #: Parts that are written together; between such groups a run may be stopped.
 GROUP = 16
-#: So many changed files are opened by name; for more the folders are read.
+#: So many changed files are opened by name; more are opened by the tasks that hold their rows.
 BY_NAME = 2_000
 
 
@@ -138,6 +141,41 @@ def writer_lock(folder: Path, now: Callable[[], float] = time.time) -> Iterator[
             path.unlink(missing_ok=True)
 
 
+class Stopped(Exception):
+    """A group of parts was given up while it was written."""
+
+
+@contextmanager
+def watched(spark: SparkSession, should_stop: Callable[[], bool], every: float) -> Iterator[None]:
+    """Jobs that this thread starts in here carry a tag; ``should_stop`` is asked every ``every``
+    seconds, and once it says so the tag's jobs are cancelled and :class:`Stopped` is raised."""
+    sc, tag = spark.sparkContext, f"lodestack-{os.urandom(8).hex()}"
+    done, hit = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not done.wait(every):
+            if should_stop():
+                hit.set()
+                break
+        while hit.is_set() and not done.is_set():  # and jobs that are started meanwhile
+            sc.cancelJobsWithTag(tag)
+            done.wait(0.2)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    thread.start()
+    try:
+        yield
+    except Exception:
+        if hit.is_set():
+            raise Stopped from None
+        raise
+    finally:
+        done.set()
+        thread.join()
+        sc.removeJobTag(tag)
+
+
 class Engine:
     """``provider`` maps a Series of texts to vectors; without one there is no vector lane."""
 
@@ -162,7 +200,7 @@ class Engine:
     def table(self, name: str, parts: set[int] | None = None) -> DataFrame:
         """A table of the current generation, of all parts or of some."""
         at = self.manifest().get("tables", {}).get(name, {})
-        paths = [str(self.folder / gen / name / f"part={p}") for p, gen in sorted(at.items()) if parts is None or int(p) in parts]
+        paths = [_uri(self.folder / gen / name / f"part={p}") for p, gen in sorted(at.items()) if parts is None or int(p) in parts]
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self._empty(SCHEMAS[name])
 
     def _empty(self, schema: str) -> DataFrame:
@@ -183,11 +221,12 @@ class Engine:
 
     # indexing
 
-    def index(self, full: bool = False, corpora: Sequence[str] = (), if_older_than: float | None = None, should_stop: Callable[[], bool] = lambda: False, progress: Callable[[str], None] = lambda _: None, embed: bool = True) -> dict:
+    def index(self, full: bool = False, corpora: Sequence[str] = (), if_older_than: float | None = None, should_stop: Callable[[], bool] = lambda: False, progress: Callable[[str], None] = lambda _: None, embed: bool = True, stop_within: float | None = None) -> dict:
         """Bring the index up to date and report counts.  Files of corpora that are disabled or
         whose folder is missing stay; those of corpora no longer configured go, unless a subset
-        was asked for.  ``should_stop`` is asked between groups of parts; the next run does what
-        a stopped run left."""
+        was asked for.  ``should_stop`` is asked between groups of parts and, if ``stop_within``
+        is given, every so many seconds while a group is written, whose jobs are then cancelled;
+        the next run does what a stopped run left."""
         began = time.time()
         age = began - self.manifest().get("indexed_at", 0)
         if if_older_than is not None and age < if_older_than:
@@ -196,38 +235,37 @@ class Engine:
             if lock is None:
                 return {"skipped": "another process is writing"}
             self._lock = lock
+            stop = lambda: should_stop() or not lock.renew()
+            within = (stop, stop_within) if stop_within else (lambda: not lock.renew(), STALE_LOCK / 4)
             try:
-                return self._index(full, corpora, lambda: should_stop() or not lock.renew(), progress, embed, began)
+                return self._index(full, corpora, stop, within, progress, embed, began)
             finally:
                 self._lock = None
 
     def _listed(self, gen: Path, took: list[C.Corpus]) -> DataFrame:
         """Files as they are now, written once: all later steps see these."""
-        lists = [S.listing(self.spark, c, self.config["max_file_bytes"], tuple(self.config["exclude"])) for c in took]
+        lists = [S.listing(self.spark, _rooted(c), self.config["max_file_bytes"], tuple(self.config["exclude"])) for c in took]
         empty = self._empty("corpus string, rel string, path string, uri string, mtime timestamp, size long")
-        reduce(DataFrame.unionByName, lists, empty).write.parquet(str(gen / "listing"))
-        return self.spark.read.parquet(str(gen / "listing"))
+        reduce(DataFrame.unionByName, lists, empty).write.parquet(_uri(gen / "listing"))
+        return self.spark.read.parquet(_uri(gen / "listing"))
 
     def _opened(self, gen: Path, took: list[C.Corpus], suspects: DataFrame) -> DataFrame:
         """Contents of ``suspects`` with the hash of just these contents, written once."""
         rows = suspects.select("corpus", "uri").limit(BY_NAME + 1).collect()
-        args = self.config["max_file_bytes"], tuple(self.config["exclude"])
-        parts = []
-        for c in took:
-            uris = [r.uri for r in rows if r.corpus == c.name] if len(rows) <= BY_NAME else None
-            if uris or uris is None:
-                try:
-                    parts.append(S.scan(self.spark, c, *args, uris))
-                except AnalysisException:  # a file has gone since it was listed
-                    parts.append(S.scan(self.spark, c, *args))
         empty = self._empty(FILES + ", text string")
         if not rows:
             return empty
-        found = reduce(DataFrame.unionByName, parts, empty)
-        found.join(suspects.select("corpus", "rel"), ["corpus", "rel"], "left_semi").write.parquet(str(gen / "opened"))
-        return self.spark.read.parquet(str(gen / "opened"))
-
-    def _index(self, full: bool, corpora: Sequence[str], should_stop: Callable[[], bool], progress: Callable[[str], None], embed: bool, began: float) -> dict:
+        args = self.config["max_file_bytes"], tuple(self.config["exclude"])
+        by_name = {c.name: [r.uri for r in rows if r.corpus == c.name] for c in took}
+        try:
+            few = len(rows) <= BY_NAME
+            found = reduce(DataFrame.unionByName, [S.scan(self.spark, _rooted(c), *args, by_name[c.name]) for c in took if by_name[c.name]], empty) if few else S.opened(suspects)
+        except AnalysisException:  # a file has gone since it was listed
+            found = S.opened(suspects)
+        found.join(suspects.select("corpus", "rel"), ["corpus", "rel"], "left_semi").write.parquet(_uri(gen / "opened"))
+        return self.spark.read.parquet(_uri(gen / "opened"))
+
+    def _index(self, full: bool, corpora: Sequence[str], should_stop: Callable[[], bool], within: tuple[Callable[[], bool], float], progress: Callable[[str], None], embed: bool, began: float) -> dict:
         took = self.available(corpora)
         gen = self.folder / f"gen-{time.time_ns()}"
         before = self.manifest()
@@ -242,8 +280,8 @@ class Engine:
         seen = old.join(same, ["corpus", "rel"], "left_semi").select(*_names(FILES)).union(opened.select(*_names(FILES)))
         status = upkeep.snapshot_diff(old.where(in_scope), seen, full)
         gone = old.where(~known).select("corpus", "rel", F.lit("purged").alias("status"))
-        status.union(gone).withColumn("part", self._part()).write.parquet(str(gen / "diff"))
-        diff = self.spark.read.parquet(str(gen / "diff"))
+        status.union(gone).withColumn("part", self._part()).write.parquet(_uri(gen / "diff"))
+        diff = self.spark.read.parquet(_uri(gen / "diff"))
         if full:
             diff = diff.withColumn("status", F.when(F.col("status").isin("unchanged", "touched"), "changed").otherwise(F.col("status")))
         counts: dict[str, int] = {}
@@ -265,7 +303,14 @@ class Engine:
             if should_stop():
                 stopped = True
                 break
-            self._write(gen.with_name(f"{gen.name}-{i}"), set(group), changed, diff, opened, embeds, made)
+            own = gen.with_name(f"{gen.name}-{i}")
+            try:
+                with watched(self.spark, *within):
+                    self._write(own, set(group), changed, diff, opened, embeds, made)
+            except Stopped:
+                shutil.rmtree(own, ignore_errors=True)
+                stopped = True
+                break
             progress(f"group {i + 1} of {len(groups)}")
         m = self.manifest()
         total, _, embedded = self._sizes()
@@ -286,8 +331,8 @@ class Engine:
         old_chunks, old_vectors = self.table("chunks", group), self.table("vectors", group)
 
         def write(df: DataFrame, name: str, *order: str) -> DataFrame:
-            df.repartition("part").sortWithinPartitions("part", *order).write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(str(gen / name))
-            return self.spark.read.schema(df.schema).parquet(str(gen / name))
+            df.repartition("part").sortWithinPartitions("part", *order).write.option("parquet.block.size", 8 << 20).partitionBy("part").parquet(_uri(gen / name))
+            return self.spark.read.schema(df.schema).parquet(_uri(gen / name))
 
         if changed:
             size = self.config["chunk"]
@@ -459,6 +504,14 @@ class Engine:
         return {"index": str(self.folder), "generation": m.get("generation"), "age_seconds": age, "corpora": named, **total, "embedded_ratio": share, "embedder": bool(self.provider), **of, "embedder_note": said, "lexical_backend": self.backend.name, "config_hint": self.config.get("_paths", {}).get("user", "the configuration"), "last_report": m.get("report")}
 
 
+def _uri(path: Path) -> str:
+    return f"file://{os.path.abspath(path)}"
+
+
+def _rooted(corpus: C.Corpus) -> C.Corpus:
+    return replace(corpus, root=_uri(Path(corpus.root)))
+
+
 def _groups(parts: set[int]) -> list[list[int]]:
     every = sorted(parts)
     return [every[i : i + GROUP] for i in range(0, len(every), GROUP)]

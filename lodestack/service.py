@@ -88,7 +88,7 @@ class Service:
 
     def _run(self, reason: str) -> None:
         try:
-            self.last_run = {"trigger": reason, **self.engine.index(should_stop=self.stopping.is_set)}
+            self.last_run = {"trigger": reason, **self.engine.index(should_stop=self.stopping.is_set, stop_within=1.0)}
         except Exception as e:  # noqa: BLE001 - the session goes on with the index it has
             self.last_run = {"trigger": reason, "error": f"{type(e).__name__}: {e}"}
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fnmatch import translate
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -69,6 +70,45 @@ def scan(spark: SparkSession, corpus: Corpus, max_bytes: int = 2_000_000, exclud
     return x.select(F.lit(corpus.name).alias("corpus"), "rel", F.col("plain").alias("path"), decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
+#: Contents in one Arrow batch, and in one task, about.
+OPEN_BYTES, TASK_BYTES = 8 << 20, 128 << 20
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        took, held, size = [], [], 0
+        for i, path in enumerate(rb.column("path").to_pylist()):
+            try:
+                with open(path, "rb") as f:
+                    held.append(f.read())
+            except FileNotFoundError:  # it has gone since it was listed
+                continue
+            took.append(i)
+            size += len(held[-1])
+            if size >= OPEN_BYTES:
+                yield _with_content(rb, took, held)
+                took, held, size = [], [], 0
+        yield _with_content(rb, took, held)
+
+
+def _with_content(rb: pa.RecordBatch, took: list[int], held: list[bytes]) -> pa.RecordBatch:
+    rows = rb.take(pa.array(took, pa.int64()))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(held, pa.binary())], [*rows.schema.names, "content"])
+
+
+def opened(listed: DataFrame) -> DataFrame:
+    """What :func:`scan` gives, of just the rows of ``listed`` (see :func:`listing`), however many:
+    each file is opened by the task that holds its row, below a folder that all executors mount.
+    Time and size stay those listed, so a file that changed since is looked at again next time."""
+    spark = listed.sparkSession
+    ship(spark)
+    rows = listed.select("corpus", "rel", "path", "mtime", "size")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    raw = rows.repartition(n, "corpus", "rel").mapInArrow(_open, "corpus string, rel string, path string, mtime timestamp, size long, content binary")
+    return raw.select("corpus", "rel", "path", decode_text("content").alias("text"), F.sha2("content", 256).alias("sha256"), "mtime", "size")
+
+
 def write_index(rows: DataFrame, path: str) -> None:
     """Rows by corpus; only the corpora present in ``rows`` are replaced."""
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("corpus").parquet(path)

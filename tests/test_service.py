@@ -129,6 +129,73 @@ def test_a_stopped_run_keeps_finished_groups(engine, tmp_path, monkeypatch):
     assert engine.index()["files_indexed"] == 1 and engine.status()["chunks"] == 2
 
 
+def test_a_run_stops_within_a_group(engine, tmp_path):
+    """The jobs of the group that is being written are cancelled; the next run completes it."""
+    import time
+
+    from lodestack.engine import Engine
+
+    def slow(texts):
+        time.sleep(60)
+        return hashed_embedding(texts)
+
+    began, asked = time.time(), []
+    lazy = Engine(engine.spark, engine.config, str(tmp_path / "index"), slow)
+    got = lazy.index(should_stop=lambda: bool(asked) and time.time() - began > 6 or bool(asked.append(1)), stop_within=0.5)
+    assert got == {"stopped": True} and time.time() - began < 50
+    assert not engine.manifest() and not list((tmp_path / "index").glob("gen-*")) and not (tmp_path / "index/writer.lock").exists()
+    assert engine.index()["files_indexed"] == 2 and engine.status()["embedded"] == 2
+
+
+def test_a_lock_is_renewed_while_a_group_is_written(spark):
+    import time
+
+    from lodestack.engine import Stopped, watched
+
+    asked = []
+    with watched(spark, lambda: bool(asked.append(1)), 0.05):
+        time.sleep(0.5)
+    assert len(asked) > 2
+    with pytest.raises(ValueError), watched(spark, lambda: False, 60):
+        raise ValueError
+    with pytest.raises(Stopped), watched(spark, lambda: True, 0.05):
+        spark.range(4).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L)").collect()
+        time.sleep(0.5)
+        spark.range(4).collect()
+    assert spark.range(4).count() == 4
+
+
+def test_many_changed_files_are_opened_by_tasks(engine, tmp_path, monkeypatch):
+    """Only these are opened, and what is stored is what opening by name stores."""
+    from lodestack import engine as module
+
+    rows = lambda t: sorted(tuple(r) for r in engine.table(t).collect())
+    (tmp_path / "kb/odd.txt").write_bytes(b"bad \xff byte\r\nand line")
+    engine.index()
+    want = rows("files"), rows("chunks")
+    monkeypatch.setattr(module, "BY_NAME", 0)
+    monkeypatch.setattr(module.S, "scan", lambda *a: pytest.fail("read by name"))
+    monkeypatch.setattr(module.S, "OPEN_BYTES", 1)
+    assert engine.index()["files_unchanged"] == 3
+    engine.index(full=True)
+    assert (rows("files"), rows("chunks")) == want
+    listed = engine._listed(tmp_path / "index" / "look", engine.available())
+    (tmp_path / "kb/odd.txt").unlink()
+    assert {r.rel for r in module.S.opened(listed).collect()} == {"alpha.md", "beta.txt"}
+
+
+def test_folders_keep_their_scheme(engine):
+    """Where Spark's default file system is another one."""
+    conf = engine.spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://nowhere.invalid:1")
+    try:
+        assert engine.index()["files_indexed"] == 2
+        assert engine.search("clay", mode="lexical")["hits"][0]["path"].startswith("/")
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_backend_switch_rebuilds_the_lexical_tables(engine, spark, tmp_path):
     engine.index(embed=False)
     assert engine.status()["embedded"] == 0 and engine.search("clay")["note"] == "the index has no embeddings yet"
