@@ -69,6 +69,18 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a range, about, and the column that holds a row's range.
+RANGE_ROWS, RANGE = 1 << 17, "__ls_range"
+
+
+def ranged(rows: DataFrame, total: int, *keys: Column | str) -> DataFrame:
+    """``rows``, about ``total`` of them, staged with the number of the range of ``keys`` that each
+    falls into; numbers ascend with the keys.  Running sums are then sums of ranges, and a sum
+    within each: no key's rows gather in one task unless the keys can't tell them apart."""
+    n = max(shuffle_partitions(rows.sparkSession), -(-total // RANGE_ROWS))
+    return staged(rows.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id()))
+
+
 def note(spark: SparkSession, path: str) -> None:
     """Have ``path`` deleted with the other scratch tables."""
     if not _MADE:

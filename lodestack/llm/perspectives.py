@@ -4,7 +4,9 @@ For every participant of a conversation the dialogue is rendered once with that
 as the assistant and all others as named users; the loss mask covers the assistant's words.
 Rendering is kept as segments, one row for each turn and perspective, with their place in the
 rendered dialogue, so a conversation of any length stays spread over tasks: places come from
-running sums over blocks of turns, then within a block.  ``render`` joins the segments of
+running sums over ranges of turns, then within a range, and copies of a turn travel as one
+row until they are placed.  Turns of one number and role whose texts begin with the same
+``PREFIX`` characters share a range, however many they are; nothing else does.  ``render`` joins the segments of
 conversations known to be short.
 
 Names and texts can't forge the format's marks: in a text ``<|`` becomes ``< |``, in a name
@@ -24,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import hot_join, text_of
+from ._common import RANGE, hot_join, ranged, text_of
 
 #: Fixed values of the chat format.
 ASSISTANT_HEAD, USER_HEAD, USER_TAIL, MESSAGE_END = "<|assistant|>\n", "<|user name=", "|>\n", "<|end|>\n"
 #: Marks of the format that stand in a name or text are spaced out, so that they are none.
 MARKS = ("<|", "|>")
-#: Turns in a block of running sums.
-BLOCK = 256
+#: Characters of a text by which ranges are cut, and copies of a turn that one row stands for at last.
+PREFIX, COPIES = 64, 1 << 16
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -40,20 +42,28 @@ def rotate(turns: DataFrame) -> DataFrame:
     for users) for every turn of ``turns`` and participant of its conversation."""
     plain = lambda c, marks: functools.reduce(lambda x, m: F.replace(x, F.lit(m), F.lit(" ".join(m))), marks, c)
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), text_of().alias("text"))
-    t = t.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")))
-    who = t.groupBy("conv").agg(F.collect_set("role").alias("who"), F.count("*").alias("turns"))  # participants; rows come out for each of them anyway
-    x = hot_join(t, who, ["conv"], "turns", t.count()).withColumn("perspective", F.explode("who")).drop("who")
+    once = t.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    once = once.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")))
+    last = F.col("turn").asc_nulls_last()
+    once = ranged(once, t.count(), "conv", last, "role", F.substring("text", 1, PREFIX))
+    who = once.groupBy("conv").agg(F.collect_set("role").alias("who"), F.count("*").alias("turns"))  # participants; rows come out for each of them anyway
+    total, most = once.agg(F.count("*"), F.max("copies")).first()
+    x = hot_join(once, who, ["conv"], "turns", total).withColumn("perspective", F.explode("who")).drop("who")
     mine = F.col("role") == F.col("perspective")
     head = F.when(mine, F.lit(ASSISTANT_HEAD)).otherwise(F.concat(F.lit(USER_HEAD), plain(F.col("role"), MARKS), F.lit(USER_TAIL)))
     x = x.withColumns({"head": F.char_length(head), "segment": F.concat(head, plain(F.col("text"), MARKS[:1]), F.lit(MESSAGE_END)), "mine": mine})
-    x = x.withColumns({"length": F.char_length("segment").cast("long"), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62) // BLOCK))})
-    keys = ["conv", "perspective", "block"]
-    sums = x.groupBy(*keys).agg(F.sum("length").alias("sum"))
-    upto = Window.partitionBy(*keys[:2]).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("length", F.char_length("segment").cast("long")).withColumn("all", F.col("length") * F.col("copies"))
+    keys = ["conv", "perspective", RANGE]
+    sums = x.groupBy(*keys).agg(F.sum("all").alias("sum"))
+    upto = Window.partitionBy(*keys[:2]).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("own", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(sums, keys)
-    start = F.col("ahead") + F.col("own")
+    inner = Window.partitionBy(*keys).orderBy(last, "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("own", F.coalesce(F.sum("all").over(inner), F.lit(0))).join(sums, keys)
+    # copies get their places: some at a time, so that those of a common turn are spread
+    x = x.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    x = x.repartition("conv", "perspective", "turn", "role", "lot") if (most or 0) > COPIES else x
+    x = x.withColumn("nth", F.explode(F.sequence(F.col("lot") * COPIES, F.least(F.col("copies"), (F.col("lot") + 1) * COPIES) - 1)))
+    start = F.col("ahead") + F.col("own") + F.col("nth") * F.col("length")
     text_at = start + F.col("head")
     return x.select(
         "conv_id", "perspective", "turn", "role", "text", F.when(F.col("mine"), "assistant").otherwise("user").alias("speaks"), "segment", start.alias("start"), (start + F.col("length")).alias("end"),

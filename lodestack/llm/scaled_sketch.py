@@ -7,6 +7,7 @@ lie above keeps its least hash, so that only texts without words have an empty f
 
 ``with_next`` pairs each document with the next by doc_id in one shuffle of the texts: ranges
 of ids are sorted side by side, and each range also gets the first document of the next one.
+Ranges are found from ids, hashes and lengths, which are taken from the texts once.
 
 Edge cases: null and empty texts, and texts of white space, have the empty fingerprint; two
 empty ones are alike (1), an empty and another are not (0); a text under five words has one
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import documents, id_key, ship, shuffle_partitions, text_of
+from ._common import documents, id_key, ship, shuffle_partitions, staged, text_of
 
 WORDS = 5
 FRACTION = 0.25
@@ -113,18 +114,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     fills several slots alone is cut by the hash.  Only slot bounds come to the driver."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), id_key().alias("key"), F.xxhash64(text_of()).alias("tag"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = staged(rows.select("key", "tag", F.octet_length("text").alias("bytes")))
+    size = keys.agg(F.sum("bytes")).first()[0] or 0
     n = min(MAX_SLOTS, max(shuffle_partitions(spark), -(-size // SLOT_BYTES)))
-    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * MAX_SLOTS)).first()[0] or [0]
+    found = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * MAX_SLOTS)).first()[0] or [0]
     bounds, times = zip(*sorted(Counter(found).items()), strict=True)  # and slots that the id at a bound fills
     first = [1, *(1 + x for x in accumulate(times))]  # slot 0 lies before all bounds
-    rows = rows.withColumn("range", _range(list(bounds)))
     of = lambda values: F.get(F.lit(list(values)), F.col("range") - 1)
     part = F.floor(F.shiftrightunsigned("tag", 32) * of(times) / F.lit(float(1 << 32))).cast("int")
     slot = F.when(F.col("range") == 0, 0).otherwise(of(first) + F.when(of(bounds) == F.col("key"), part).otherwise(of(times) - 1))
-    rows = rows.withColumn("slot", slot.cast("int"))
+    slotted = lambda d: d.withColumn("range", _range(list(bounds))).withColumn("slot", slot.cast("int"))
+    rows = slotted(rows)
     order = [F.col("key"), F.col("tag").bitwiseXOR(F.lit(-(1 << 63)))]
-    begins = rows.groupBy("slot").agg(F.min(F.struct("key", order[1].alias("order"))).alias("f")).orderBy("slot").collect()  # one row for each slot
+    begins = slotted(keys).groupBy("slot").agg(F.min(F.struct("key", order[1].alias("order"))).alias("f")).orderBy("slot").collect()  # one row for each slot
     if not begins:
         return rows.select("slot", F.lit(False).alias("guest"), "doc_id", "text")
     # the first document of a slot also follows the slot before; the very first follows the last
@@ -132,7 +134,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = spark.createDataFrame(goes, "slot int, key long, order long, to int")
     guests = rows.withColumn("order", order[1]).join(F.broadcast(heads), ["slot", "key", "order"]).select(F.col("to").alias("slot"), F.lit(True).alias("guest"), "doc_id", "text", "key", "tag")
     sent = rows.select("slot", F.lit(False).alias("guest"), "doc_id", "text", "key", "tag").unionByName(guests.dropDuplicates(["slot"]))
-    return sent.repartitionByRange(n, "slot").sortWithinPartitions("slot", "guest", *order).select("slot", "guest", "doc_id", "text")
+    return sent.repartitionById(1 + sum(times), "slot").sortWithinPartitions("slot", "guest", *order).select("slot", "guest", "doc_id", "text")
 
 
 def _range(bounds: list[int]) -> Column:

@@ -7,11 +7,11 @@ after round, until its target is filled.  The integral up to t, scaled to the ta
 source's cumulative demand at t; inverting it at the middle of what a document supplies gives
 the document's training position, and documents are range-sorted by position.
 
-Running sums over a source are split: documents fall into about sqrt(n) buckets by hash,
-sums of buckets are accumulated first, then documents within their bucket.  So no task takes
-a whole source, however large.  All of it is DataFrame code.
+Running sums over a source are split: documents fall into ranges of the queue's order, sums
+of ranges are accumulated first, then documents within their range.  So no task takes a whole
+source or all rows of one doc_id, however many.  All of it is DataFrame code.
 
-A null doc_id queues by its text; rows that repeat a doc_id queue together.
+A null doc_id queues by its text; rows that repeat a doc_id queue together, by their texts.
 
 Edge cases: a null source is a source of its own, last in order; null and empty texts have
 size 0, take nothing and have no position; rows that repeat a doc_id count each; an empty
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import documents, n_words_of, row_name, staged, text_of
+from ._common import RANGE, documents, n_words_of, ranged, row_name, staged, text_of
 
 #: A table of so many sources is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -63,7 +63,7 @@ def source_targets(sized: DataFrame, cycle: Sequence[Knots], cap: float = CAP) -
     (null last), size, weight, segments, target.  Targets share the sum of sizes by weight;
     sources whose share exceeds cap times their size stop there.  These come first in order of
     cap * size / weight, so one pass of running sums finds the level of the rest."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = by.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))  # one row for each source
     named = named.withColumn("segs", _schedule(cycle, F.col("sid"))).withColumn("weight", F.element_at("segs", -1)["hi"])
     full = (F.lit(float(cap)) * F.col("source_size")).alias("full")
@@ -74,8 +74,7 @@ def source_targets(sized: DataFrame, cycle: Sequence[Knots], cap: float = CAP) -
     fits = F.col("level") * F.col("weight") <= F.col("full")
     x = x.withColumn("nth", F.row_number().over(order))
     x = x.withColumn("level", F.min(F.when(fits, F.struct("nth", "level"))).over(everything)["level"])  # of the first that fits
-    x = x.withColumn("n", F.sum("source_rows").over(everything))
-    return x.select("source", "sid", "source_size", "n", "weight", "segs", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
+    return x.select("source", "sid", "source_size", "weight", "segs", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
 
 
 def _position(segs: Column, area: Column) -> Column:
@@ -93,15 +92,17 @@ def plan_mix(docs: DataFrame, cycle: Sequence[Knots], cap: int = CAP, also: Sequ
     sized = staged(docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("tag"), n_words_of(text_of()).alias("size")))
     sources = staged(source_targets(sized, cycle, cap))
     few = sources.count() <= BROADCAST_SOURCES
-    x = sized.alias("a").join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).drop("source")
+    hint = F.broadcast if few else lambda d: d
+    nth = F.xxhash64(row_name(sized)).alias("__ls_nth")  # tells copies apart
+    x = sized.select("*", nth).join(hint(sources.select(F.col("source").alias("__ls_source"), "sid")), F.col("source").eqNullSafe(F.col("__ls_source"))).drop("source", "__ls_source")
     x = x.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("tag").cast("string")))))
-    buckets = F.ceil(F.sqrt(F.col("n")))
-    x = x.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))))
-    sums = x.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
-    upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "bucket", F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("sid", "bucket").orderBy("turn", F.col("doc_id").asc_nulls_last(), "tag", "size").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("own", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["sid", "bucket"])
+    order = ["turn", F.col("doc_id").asc_nulls_last(), "tag", "__ls_nth"]
+    x = ranged(x, sized.count(), "sid", *order)
+    sums = x.groupBy("sid", RANGE).agg(F.sum("size").alias("sum"))
+    upto = Window.partitionBy("sid").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sid", RANGE, F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("ahead"))
+    inner = Window.partitionBy("sid", RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("own", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["sid", RANGE]).join(hint(sources.drop("source")), "sid")
     quota = F.floor(F.col("target") + 0.5)
     start = F.col("ahead") + F.col("own")
 

@@ -52,6 +52,27 @@ def test_positions_follow_the_schedule(spark):
     assert np.allclose(pos, want, atol=1e-9)
 
 
+def test_one_id_of_many_rows_is_cut(spark, monkeypatch):
+    """Rows of one doc_id, and copies, fall into many ranges, and what is taken is as ever."""
+    from lodestack.llm import _common
+
+    monkeypatch.setattr(_common, "RANGE_ROWS", 40)
+    rows = [(7, f"text {i} " * (i % 5 + 1), "a") for i in range(400)] + [(7, "the same words", "a")] * 400 + [(i, "w " * (i % 7), "b") for i in range(200)] + [(None, "none", None)] * 90 + [(1, "long " * 50_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    made, ranged = [], source_mix.ranged
+    monkeypatch.setattr(source_mix, "ranged", lambda *a: made.append(ranged(*a)) or made[-1])
+    plan = source_mix.plan_mix(df, source_mix.ramped((1, 2, 3))).collect()
+    sizes = [r["count"] for r in made[0].groupBy(_common.RANGE).count().collect()]
+    assert sum(sizes) == len(rows) == len(plan) and len(sizes) > 15 and max(sizes) < 120
+    taken, of = {}, {}
+    for r in plan:
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source_size], of[r.source_size] = taken.get(r.source_size, 0) + r.taken, r.target
+    assert len(of) == 3 and all(abs(taken[k] - of[k]) <= 1 for k in of)
+    again = source_mix.plan_mix(df.repartition(3), source_mix.ramped((1, 2, 3))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, plan))
+
+
 def test_mixed_keeps_columns_and_order(docs):
     out = source_mix.mixed(docs, source_mix.ramped((1, 2, 3)))
     assert out.columns == docs.columns and out.count() > 0

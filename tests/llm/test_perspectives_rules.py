@@ -75,6 +75,29 @@ def test_rotation_equals_its_sql(spark, turns):
     assert perspectives.rotate(turns.where("turn < 0")).count() == 0
 
 
+def test_common_turns_are_spread(spark, monkeypatch):
+    """Copies of a turn, and turns without a number, are neither one range nor one lot."""
+    from lodestack.llm import _common
+
+    monkeypatch.setattr(_common, "RANGE_ROWS", 50)
+    monkeypatch.setattr(perspectives, "COPIES", 7)
+    rows = [(1, None, "a", f"late {i} text") for i in range(900)] + [(1, None, "b", "the same")] * 500 + [(2, 3, "a", "again")] * 300 + [(2, 3, "b", None)] * 20
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    sizes, staged = [], _common.staged
+    monkeypatch.setattr(_common, "staged", lambda d: sizes.append(staged(d)) or sizes[-1])
+    got = {}
+    for r in perspectives.rotate(df).collect():
+        got.setdefault((r.conv_id, r.perspective), []).append(r)
+    most = max(r["count"] for r in sizes[0].groupBy(_common.RANGE).count().collect())
+    assert sizes[0].count() == 903 and most < 200
+    for k, want in plain_rotation(rows).items():
+        at = 0
+        assert len(got[k]) == len(want)
+        for r, (head, rest, own) in zip(sorted(got[k], key=lambda r: r.start), want, strict=True):
+            assert (r.start, r.segment, r.mask_start) == (at, head + rest, at + len(head) if own else None)
+            at = r.end
+
+
 def doc(rng, **odd):
     words = [rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randrange(99)) for _ in range(rng.randrange(25, 60))]
     if odd.get("symbols"):
