@@ -51,8 +51,8 @@ def rotate(turns: DataFrame) -> DataFrame:
     x = hot_join(once, who, ["conv"], "turns", total).withColumn("perspective", F.explode("who")).drop("who")
     mine = F.col("role") == F.col("perspective")
     head = F.when(mine, F.lit(ASSISTANT_HEAD)).otherwise(F.concat(F.lit(USER_HEAD), plain(F.col("role"), MARKS), F.lit(USER_TAIL)))
-    x = x.withColumns({"head": F.char_length(head), "segment": F.concat(head, plain(F.col("text"), MARKS[:1]), F.lit(MESSAGE_END)), "mine": mine})
-    x = x.withColumn("length", F.char_length("segment").cast("long")).withColumn("all", F.col("length") * F.col("copies"))
+    segment = F.concat(head, plain(F.col("text"), MARKS[:1]), F.lit(MESSAGE_END))  # made again at the end, so that it isn't shuffled
+    x = x.withColumns({"head": F.char_length(head), "mine": mine, "length": F.char_length(segment).cast("long")}).withColumn("all", F.col("length") * F.col("copies"))
     keys = ["conv", "perspective", RANGE]
     sums = x.groupBy(*keys).agg(F.sum("all").alias("sum"))
     upto = Window.partitionBy(*keys[:2]).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -66,7 +66,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     start = F.col("ahead") + F.col("own") + F.col("nth") * F.col("length")
     text_at = start + F.col("head")
     return x.select(
-        "conv_id", "perspective", "turn", "role", "text", F.when(F.col("mine"), "assistant").otherwise("user").alias("speaks"), "segment", start.alias("start"), (start + F.col("length")).alias("end"),
+        "conv_id", "perspective", "turn", "role", "text", F.when(F.col("mine"), "assistant").otherwise("user").alias("speaks"), segment.alias("segment"), start.alias("start"), (start + F.col("length")).alias("end"),
         F.when(F.col("mine"), text_at).alias("mask_start"), F.when(F.col("mine"), start + F.col("length")).alias("mask_end"),
     )
 
