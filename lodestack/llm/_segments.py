@@ -279,6 +279,20 @@ def _coalesce(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return doc[first], start[first], reach[last] - (doc[first] << 32)
 
 
+def _deltas(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def _planes(v: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, dtype: type, count: int, at: int) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T).view(dtype).reshape(count)
+
+
 _BLOBS = pa.list_(pa.binary())
 _SPANS = "doc long, tag long, start long, end long"
 _ROUTED = "task int, blobs array<binary>, " + _SPANS
@@ -318,7 +332,8 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             to = pa.array((name % U64(plan.tasks)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([to, pa.nulls(len(n), _BLOBS), *spans.columns], ["task", "blobs", *spans.schema.names])
         order, lead = order[asks], lead[asks]
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
+        lead_bits = U64(plan.buckets.bit_length() - 1)
 
         def blob(a: int, b: int) -> bytes | None:
             rows, of = order[a:b], lead[a:b]
@@ -329,8 +344,12 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             sel = length[firsts]
             at = np.concatenate([[0], np.cumsum(sel)])
             body = text[np.arange(at[-1]) + np.repeat(begin[firsts] - at[:-1], sel)]
-            fields = [np.array([len(firsts), len(rows)], np.int64), key[firsts], sel.astype(np.int32), runs[firsts].astype(np.int32), (np.cumsum(head) - 1).astype(np.int32), doc[rows], tag[rows], start[rows].astype(np.int32)]
-            return zip_.compress(b"".join([*(f.tobytes() for f in fields), body.tobytes()]))
+            # what follows the bucket's bits in a key: it only brings strings together that may share a window
+            short = ((key[firsts] << lead_bits) >> U64(32)).astype(np.uint32)
+            fields = [_deltas(short), runs[firsts].astype(np.int32), (sel - runs[firsts]).astype(np.int32), _deltas((np.cumsum(head) - 1).astype(np.int32)), doc[rows], tag[rows], start[rows].astype(np.int32)]
+            # numbers by planes of bytes and text by itself, as each packs worse with another kind
+            packed = zip_.compress(b"".join(map(_planes, fields)))
+            return np.array([len(firsts), len(rows), len(packed)], np.int64).tobytes() + packed + zip_.compress(body.tobytes())
 
         if len(order):
             tasks, blobs = zip(*((t, [blob(a, b) for a, b in ranges]) for t, ranges in _by_task(plan, key[order])), strict=True)  # order ascends by key
@@ -382,15 +401,16 @@ def unpacked(blobs: list[bytes]) -> tuple:
     unzip = zstandard.ZstdDecompressor()
     index: dict[bytes, int] = {}
     keys, runs, owner, docs, tags, starts = [], [], [], [], [], []
-    for raw in map(unzip.decompress, blobs):
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        at = 16
-        fields = []
-        for dtype, count in ((U64, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
-            fields.append(np.frombuffer(raw, dtype, count, at))
+    for blob in blobs:
+        n, m, size = np.frombuffer(blob, np.int64, 3).tolist()
+        packed, raw = unzip.decompress(blob[24 : 24 + size]), unzip.decompress(blob[24 + size :])
+        at, fields = 0, []
+        for dtype, count in ((np.uint32, n), (np.int32, n), (np.int32, n), (np.int32, m), (np.int64, m), (np.int64, m), (np.int32, m)):
+            fields.append(_from_planes(packed, dtype, count, at))
             at += count * np.dtype(dtype).itemsize
-        key, length, run, who, doc, tag, start = fields
-        ends = (at + np.cumsum(length)).tolist()
+        step, run, over, next_, doc, tag, start = fields
+        key, who = np.cumsum(step, dtype=np.uint32), np.cumsum(next_, dtype=np.int32)
+        ends, at = np.cumsum(run + over).tolist(), 0
         place = np.empty(n, np.int64)
         for i, (e, kk, rr) in enumerate(zip(ends, key.tolist(), run.tolist(), strict=True)):
             s = raw[at:e]
@@ -468,11 +488,35 @@ def _each_bucket(plan: Plan, bucket: Callable[[list[bytes]], Iterator[pa.RecordB
     return run
 
 
-def with_keys(df: DataFrame) -> DataFrame:
+def with_keys(df: DataFrame, tagged: bool = True) -> DataFrame:
     """The rows with a sortable id and a tag of the text, which together name a row: rows that
     repeat a doc_id with another text keep apart.  Columns named ``__ls_*`` are reserved."""
     keep = [c for c in df.columns if not c.startswith("__ls_")]
-    return df.select(*keep, id_key().alias(KEY), F.xxhash64(text_of()).alias(TAG))
+    return df.select(*keep, id_key().alias(KEY), (F.xxhash64(text_of()) if tagged else F.lit(0).cast("long")).alias(TAG))
+
+
+def with_short_keys(df: DataFrame) -> DataFrame:
+    """As :func:`with_keys`; where no id comes twice the tags, which travel with every string and
+    span, are all 0."""
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(id_key()).alias("ids")).first()
+    return with_keys(df, n["rows"] > n["ids"])
+
+
+def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows with SPANS; ``text`` is compressed for the shuffle (see :func:`unzipped`)."""
+    ship(keyed.sparkSession)
+    return keyed.withColumn("text", F.arrow_udf(_zipped, "binary")(F.col("text"))).join(spans, [KEY, TAG], "left")
+
+
+def _zipped(text: pa.Array) -> pa.Array:
+    zip_ = zstandard.ZstdCompressor(level=3)
+    raw = text.cast(pa.binary())  # bytes as they are, in UTF-8 or not
+    return pa.array([None if x is None else zip_.compress(x) for x in raw.to_pylist()], pa.binary())
+
+
+def unzipped(column: pa.Array) -> list[bytes | None]:
+    unzip = zstandard.ZstdDecompressor()
+    return [None if x is None else unzip.decompress(x) for x in column.to_pylist()]
 
 
 def solved_by(df: DataFrame, plan: Plan, solve: Any, schema: str) -> DataFrame:

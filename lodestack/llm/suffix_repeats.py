@@ -281,21 +281,17 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_bytes(docs: DataFrame, k: int = K, m: int = M, **plan: int) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) with ``removed array<struct<start, end>>``: the
-    maximal byte ranges that k-byte windows cover which also start in a smaller doc_id."""
-    keyed = S.with_keys(docs)
-    spans = S.removable(keyed, S.plan_for(docs, "bytes", k, m, **plan), solve_bucket)
-    return keyed.join(spans, [S.KEY, S.TAG], "left")
+    """The rows of ``docs`` (doc_id, text, ...), texts compressed, with the byte ranges covered by
+    k-byte windows that also start in a smaller doc_id (see ``_segments.removable``)."""
+    keyed = S.with_short_keys(docs)
+    return S.with_spans(keyed, S.removable(keyed, S.plan_for(docs, "bytes", k, m, **plan), solve_bucket))
 
 
 def _finish(fields: list[str], schema: pa.Schema, make: object) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            text, off = V.buffers(rb.column("text"))
             spans = rb.column(S.SPANS)
-            o = off.tolist()
-            raw = text.tobytes()
-            rows = [make(raw[o[i] : o[i + 1]], S.merged(spans[i].values.to_numpy(zero_copy_only=False) if spans[i].is_valid else None)) for i in range(len(rb))]
+            rows = [make(text or b"", S.merged(spans[i].values.to_numpy(zero_copy_only=False) if spans[i].is_valid else None)) for i, text in enumerate(S.unzipped(rb.column("text")))]
             new = dict(zip(fields, zip(*rows, strict=True), strict=True)) if rows else {f: () for f in fields}
             yield pa.RecordBatch.from_arrays([pa.array(list(new[f.name]), f.type) if f.name in new else rb.column(f.name) for f in schema], schema=schema)
 
@@ -320,18 +316,17 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, **plan: int) -> Data
     kept even if nothing of its text stays."""
     fields = [c for c in docs.columns if not c.startswith("__ls_")]
     rows = repeated_bytes(docs, k, m, **plan).select(*fields, S.SPANS)
-    # a Python function runs for every row, whatever the branch, so other rows send it a null
-    new = F.pandas_udf(_cut_column, "string")(F.when(F.col(S.SPANS).isNotNull(), F.col("text")), F.col(S.SPANS))
-    cut = rows.withColumn("text", F.when(F.col(S.SPANS).isNotNull(), new).otherwise(F.col("text")))
+    cut = rows.withColumn("text", F.arrow_udf(_cut_column, "string")(F.col("text"), F.col(S.SPANS)))
     if "n_chars" in fields:
         cut = cut.withColumn("n_chars", F.when(F.col(S.SPANS).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*fields)
 
 
-def _cut_column(text, spans):  # type: ignore[no-untyped-def]
-    import pandas as pd
+def _cut_column(text: pa.Array, spans: pa.Array) -> pa.Array:
+    def cut(t: bytes, s: pa.ListScalar) -> bytes:
+        return _cut(t, S.merged(s.values.to_numpy(zero_copy_only=False))).decode("utf-8", "ignore").encode() if s.is_valid else t
 
-    return pd.Series([None if t is None else t if s is None else _cut(t.encode(), S.merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
+    return pa.array([None if t is None else cut(t, s) for t, s in zip(S.unzipped(text), spans, strict=True)], pa.binary()).view(pa.string())
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

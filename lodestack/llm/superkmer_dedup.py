@@ -55,10 +55,10 @@ def count_windows(strings: list[bytes], key: np.ndarray, run: np.ndarray, least:
 
 
 def repeated_words(docs: DataFrame, k: int = K, m: int = M, **plan: int) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) with the ranges of word numbers covered by
+    """The rows of ``docs`` (doc_id, text, ...), texts compressed, with the ranges of word numbers covered by
     k-word windows that also start in a smaller doc_id (see ``_segments.removable``)."""
-    keyed = S.with_keys(docs)
-    return keyed.join(S.removable(keyed, S.plan_for(docs, "words", k, m, **plan), count_windows), [S.KEY, S.TAG], "left")
+    keyed = S.with_short_keys(docs)
+    return S.with_spans(keyed, S.removable(keyed, S.plan_for(docs, "words", k, m, **plan), count_windows))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:

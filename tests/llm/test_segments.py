@@ -249,3 +249,26 @@ def test_settled_spans_spread_over_tasks(spark, ids):
     assert sum(n) >= 199  # all documents but the first
     assert len(n) == 16
     assert max(n) <= 5 * sum(n) / 16
+
+
+def test_routed_strings_take_few_bytes(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(3000)]
+    df = spark.createDataFrame([(i * 977, " ".join(rng.choice(words) for _ in range(3000))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    from lodestack.llm import _segments as S
+
+    keyed = S.with_short_keys(df)
+    assert keyed.where(f"{S.TAG} <> 0").isEmpty()  # no id comes twice
+    twice = S.with_short_keys(df.union(spark.createDataFrame([(977, "other")], df.schema)))
+    assert twice.select(S.TAG).distinct().count() == 61
+    plan = S.Plan("bytes", 50, 16, 64, 16, 1 << 16)
+    every = S.Filter(plan, [(b, b"\xff" * (plan.block // 8), b"") for b in range(plan.buckets)])
+    rows = S.routed(keyed.select(S.KEY, S.TAG, "text"), plan, spark.sparkContext.broadcast(every)).where("blobs is not null").collect()
+    blobs = [bytes(b) for r in rows for b in r["blobs"] if b is not None]
+    index, keys, runs, owner, docs, tags, starts = S.unpacked(blobs)
+    text = {r["doc_id"]: r["text"].encode() for r in df.collect()}
+    strings = list(index)
+    found = [(o, d, s) for os, ds, ss in zip(owner, docs, starts, strict=True) for o, d, s in zip(os.tolist(), ds.tolist(), ss.tolist(), strict=True)]
+    assert all(text[d][s : s + len(strings[o])] == strings[o] for o, d, s in found)
+    assert sum(runs[o] for o, _, _ in found) == sum(len(t) - 49 for t in text.values())
+    assert sum(map(len, blobs)) < 52 * len(found)  # 56.8 with whole keys and tags in one block with the text
