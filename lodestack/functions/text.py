@@ -19,7 +19,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 def word_count(text: Column) -> Column:
     """Words between Unicode white space."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long")
 
 
 def light_stem(tok: Column) -> Column:
@@ -35,8 +35,13 @@ def light_stem(tok: Column) -> Column:
     )
 
 
+def cased_tokens(text: Column) -> Column:
+    """Tokens as the text has them."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def raw_tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.lower(t))
+    return F.transform(cased_tokens(text), lambda t: F.lower(t))
 
 
 def tokens(text: Column, stem: bool = True) -> Column:
@@ -46,6 +51,11 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return F.transform(kept, light_stem) if stem else kept
 
 
+def is_indexed(token: Column) -> Column:
+    """Of a token in lower case, one to a row: what :func:`tokens` keeps."""
+    return (F.char_length(token) >= 2) & ~token.isin(STOPWORDS)
+
+
 def query_terms(query: str, words: list[str] | None = None) -> list[str]:
     """Unstemmed tokens of a query (or its ``words``); if stop words are all it has, these."""
     found = [t.lower() for t in re.findall(r"[^\W_]+", query)] if words is None else words

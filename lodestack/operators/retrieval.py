@@ -23,19 +23,26 @@ VECTOR_BLOCK = 1024
 FIELD_WEIGHTS = {"heading": 2.0, "body": 1.0, "path": 0.5}
 
 
+def token_rows(rows: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and term of each indexed token of ``text``.  Tokens are lowered, filtered and
+    stemmed as rows: Spark compiles that, but not functions over arrays."""
+    cased = rows.select(*keep, F.explode(T.cased_tokens(text)).alias("term"))
+    low = cased.select(*keep, F.lower("term").alias("term")).where(T.is_indexed(F.col("term")))
+    # never null, as a join would ask of each token, stemming it once more
+    return low.select(*keep, F.coalesce(T.light_stem(F.col("term")), F.lit("")).alias("term"))
+
+
 def postings(chunks: DataFrame, heading_weight: int = 2, also: Sequence[str] = ()) -> DataFrame:
     """(term, chunk_id, tf, and columns ``also`` of the chunk): tokens of the body, of the heading (counted twice) and of the path."""
-    field = lambda c, w: F.transform(T.tokens(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    every = F.concat(field(F.col("body"), 1), field(F.col("heading"), heading_weight), field(T.path_text(F.concat_ws("/", "corpus", "rel")), 1))
-    return chunks.select("chunk_id", *also, F.explode(every).alias("x")).groupBy("x.term", "chunk_id", *also).agg(F.sum("x.w").cast("long").alias("tf"))
+    text = F.concat_ws(" ", "body", *["heading"] * heading_weight, T.path_text(F.concat_ws("/", "corpus", "rel")))
+    return token_rows(chunks, text, ["chunk_id", *also]).groupBy("term", "chunk_id", *also).agg(F.count("*").alias("tf"))
 
 
 def field_postings(chunks: DataFrame) -> DataFrame:
     """(field, term, chunk_id, tf) for :func:`bm25_fields`."""
     parts = {"body": F.col("body"), "heading": F.col("heading"), "path": T.path_text(F.concat_ws("/", "corpus", "rel"))}
-    named = lambda f: lambda t: F.struct(F.lit(f).alias("field"), t.alias("term"))
-    every = F.concat(*(F.transform(T.tokens(c), named(f)) for f, c in parts.items()))
-    return chunks.select("chunk_id", F.explode(every).alias("x")).groupBy("x.field", "x.term", "chunk_id").agg(F.count("*").alias("tf"))
+    x = chunks.select("chunk_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c.alias("text")) for f, c in parts.items()))).alias("x"))
+    return token_rows(x.select("chunk_id", "x.*"), F.col("text"), ["field", "chunk_id"]).groupBy("field", "term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(post: DataFrame) -> DataFrame:
@@ -75,7 +82,8 @@ def bm25(post: DataFrame, chunks: DataFrame, queries: DataFrame, pool: int, corp
     hint = _hint(asked)
     wanted = post.join(hint(asked.select("term").distinct()), "term", "left_semi").join(c, "chunk_id")
     stats = c.agg(F.count("*").alias("n"), F.avg("words").alias("avg"))
-    freq = wanted.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term
+    # a row for each asked term; what is counted is read by hits too, so both share one shuffle of postings
+    freq = wanted.groupBy("term").agg(F.count(F.nullif("tf", F.lit(0))).alias("df"))
     hits = wanted.join(hint(asked), "term").join(hint(freq), "term").crossJoin(F.broadcast(stats))  # stats is one row
     return _best(hits, F.col("n"), F.col("avg"), pool, digits)
 
