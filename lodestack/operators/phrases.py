@@ -9,7 +9,7 @@ words bring no row for each of their places, and none at all where the rare word
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +24,17 @@ GAP = 1 << 28
 Asked = Sequence[tuple[int, list[list[str]]]]
 
 
-def _place(base: int):  # type: ignore[no-untyped-def]
-    return lambda t, i: F.struct(t.alias("term"), (i + base).alias("at"))
-
-
-def postings(chunks: DataFrame, fields: Sequence[Column], also: Sequence[str] = ()) -> DataFrame:
+def postings(chunks: DataFrame, fields: Sequence[Column], also: Sequence[str] = (), term: Callable[[Column], Column] = lambda t: t) -> DataFrame:
     """term, chunk_id, ``also``, words (tokens of all fields), tf and ``at``, sorted places, of
-    ``chunks`` by arrays of tokens: those of the i-th field start at i * GAP."""
+    ``chunks`` by arrays of tokens: those of the i-th field start at i * GAP.  ``term`` makes a
+    term of each token, one to a row."""
     x = chunks.select("chunk_id", *also, *(f.alias(f"f{i}") for i, f in enumerate(fields)))
     names = [f"f{i}" for i in range(len(fields))]
     words = sum((F.size(n) for n in names), F.lit(0))
-    placed = [F.transform(F.col(n), _place(i * GAP)) for i, n in enumerate(names)]
-    rows = x.select("chunk_id", *also, words.alias("words"), F.explode(F.concat(*placed)).alias("x"))
-    return rows.groupBy("x.term", "chunk_id", *also, "words").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("x.at")).alias("at"))
+    keep = ["chunk_id", *also, "words"]
+    of = x.select("chunk_id", *also, words.alias("words"), F.explode(F.array(*(F.struct(F.col(n).alias("tokens"), F.lit(i * GAP).alias("base")) for i, n in enumerate(names)))).alias("f"))
+    rows = of.select(*keep, "f.base", F.posexplode("f.tokens").alias("at", "token")).select(*keep, (F.col("at") + F.col("base")).alias("at"), F.coalesce(term(F.col("token")), F.lit("")).alias("term"))
+    return rows.groupBy("term", *keep).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
 
 
 def _shifted(at: Column, by: Column) -> Column:

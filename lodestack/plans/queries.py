@@ -120,17 +120,18 @@ def q_bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25_fields(R.field_postings(c), asked(spark, MORE[:1]), 40, c).select("id", "score")
 
 
-def _words(text: Column) -> Column:
-    return F.transform(T.raw_tokens(text), T.light_stem)
-
-
 def q_bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    """Each word of a search and all of them in sequence, in body and path, weighed 1 and 0.5."""
+    """Each word of a search and all of them in sequence, in body and path, weighed 1 and 0.5.  The
+    asked words' postings are held."""
     c = chunks(spark, sf)
-    post = phrases.postings(c, [_words(F.col("body")), _words(F.concat_ws("/", "corpus", "rel"))], ("corpus",))
+    fields = [F.col("body"), F.concat_ws("/", "corpus", "rel")]
+    post = phrases.postings(c, [T.cased_tokens(f) for f in fields], ("corpus",), lambda t: T.light_stem(F.lower(t)))
     wanted = sorted({t for _, ps in _sequences() for p in ps for t in p})
-    size = post.agg(F.countDistinct("chunk_id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
-    return phrases.rank(post.where(F.col("term").isin(wanted)), _sequences(), (1.0, 0.5), size["n"], size["tokens"], 20)
+    full = c.select("chunk_id", sum(F.regexp_count(f, F.lit(T.TOKEN)) for f in fields).cast("long").alias("tokens")).where("tokens > 0")
+    size = full.agg(F.countDistinct("chunk_id").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    terms = spark.createDataFrame([(t,) for t in wanted], "term string")  # a filter would stem each token in its own terms
+    held = post.join(F.broadcast(terms), "term", "left_semi").persist()  # read for frequencies, rare words and others
+    return phrases.rank(held, _sequences(), (1.0, 0.5), size["n"], size["tokens"], 20)
 
 
 def _sequences() -> list[tuple[int, list[list[str]]]]:
