@@ -16,7 +16,10 @@ bucket is solved:
    a string sends a bucket at most one document for each map task, however many have it.
    Buckets of one reduce task travel in one row, gathered from more text the more tasks there
    are.  A minimiser found in very many tasks is routed by whole windows instead, which
-   spreads the strings around a passage that a large part of the corpus quotes.
+   spreads the strings around a passage that a large part of the corpus quotes.  Strings are
+   routed in rounds, each for a range of the tasks, and a round's shuffle goes when its spans
+   are stored: what is on disk at a time is bounded by ROUND_SHARE of the text, however many
+   windows repeat.
 3. *Solving.*  A bucket gets its distinct strings with their least doc_id, and a solver says
    for each window the least document that has it.  Windows whose least document is smaller
    than their own are removed.
@@ -27,7 +30,8 @@ Nothing is sampled or capped: Bloom filter and merges only save work.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -38,20 +42,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import LAST_ID, id_key, ship, shuffle_partitions, text_of
+from ._common import LAST_ID, drop, id_key, ship, shuffle_partitions, staged, text_of
 
 U64 = np.uint64
 #: Longest run of windows in one packed string.
 MAX_RUN = 60
 #: A map task hands over what it has gathered when it reaches so many bytes: a row for each
 #: reduce task then holds about ROW_BYTES, so rows grow with the text and not with its square.
-FLUSH_BYTES, MAX_FLUSH_BYTES, ROW_BYTES = 8 << 20, 64 << 20, 1 << 10
+FLUSH_BYTES, MAX_FLUSH_BYTES, ROW_BYTES = 8 << 20, 64 << 20, 4 << 10
+#: Bytes that a round of routing shuffles, about: a share of the text, or so many at least; and
+#: bytes that a string takes there, with what is said of it.
+ROUND_SHARE, ROUND_BYTES, STRING_BYTES = 0.4, 128 << 20, {"bytes": 48, "words": 192}
+#: Bytes that a string has, about.
+RAW_BYTES = {"bytes": 64, "words": 448}
 #: Bloom filter: bits at least, and at most (32 MB on each worker).
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 #: Text bytes that feed one bucket, roughly, and buckets of one reduce task.
 BUCKET_BYTES, TASK_BUCKETS = 2 << 20, 4
-#: A minimiser reported by so many map tasks is routed by whole windows.
-HOT_TASKS = 64
+#: A minimiser that so many map tasks report is routed by whole windows, if its strings take so
+#: many bytes, or as many as a bucket's text: a window then travels alone and not with 17 others.
+HOT_TASKS, HOT_BYTES = 64, 1 << 20
 
 #: Stands before a text's first byte; UTF-8 doesn't have it.
 NO_BYTE = 255
@@ -72,6 +82,11 @@ class Plan:
     hot_tasks: int = HOT_TASKS
     #: bytes of context behind a window that travel with it, and one before; all occurrences do
     reach: int | None = None
+    #: strings that a hot minimiser has at least
+    hot_strings: int = 0
+    #: bytes of text, and rounds of routing (0: by what the census finds)
+    total: int = 0
+    rounds: int = 0
 
     @property
     def block(self) -> int:
@@ -84,7 +99,20 @@ class Plan:
 
     @property
     def flush(self) -> int:
-        return min(MAX_FLUSH_BYTES, max(FLUSH_BYTES, self.tasks * ROW_BYTES))
+        return min(MAX_FLUSH_BYTES, max(FLUSH_BYTES, self.tasks // max(1, self.rounds) * ROW_BYTES))
+
+    def in_rounds(self, strings: int) -> Plan:
+        """With rounds for so many routed strings, and as many more tasks as buckets allow, so that
+        a round has enough of them."""
+        size = STRING_BYTES[self.kind] + (self.reach or 0) // 2
+        rounds = self.rounds or max(1, round(strings * size / max(ROUND_BYTES, ROUND_SHARE * self.total)))
+        rounds = min(rounds, self.buckets)
+        return replace(self, rounds=rounds, tasks=min(self.buckets, self.tasks << (rounds - 1).bit_length()))
+
+    def turn(self, nth: int) -> tuple[int, int]:
+        """The tasks of a round: from, to."""
+        rounds = max(1, self.rounds)
+        return nth * self.tasks // rounds, (nth + 1) * self.tasks // rounds
 
 
 def plan_for(df: DataFrame, kind: str, k: int, m: int, **override: int) -> Plan:
@@ -96,7 +124,8 @@ def plan_for(df: DataFrame, kind: str, k: int, m: int, **override: int) -> Plan:
     tasks = min(tasks, buckets)
     per_bit = 8 if kind == "bytes" else 64
     bits = override.get("bits") or min(MAX_BITS, max(MIN_BITS, pow2(total // per_bit)))
-    return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS), override.get("reach"))
+    hot_strings = 0 if "hot_tasks" in override else min(HOT_BYTES, total // buckets) // RAW_BYTES[kind]
+    return Plan(kind, k, m, buckets, tasks, max(bits, 64 * buckets), override.get("hot_tasks", HOT_TASKS), override.get("reach"), hot_strings, total, override.get("rounds", 0))
 
 
 class Symbols:
@@ -193,10 +222,11 @@ def _census(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         key, n = np.unique(np.concatenate(parts), return_counts=True)
         parts.clear()
         low, rows = (key & U64(0xFFFFFFFF)).astype(np.uint32), []
+        many = np.minimum(n, 0xFFFF).astype(np.uint16)
         for t, ranges in _by_task(plan, key):
             found = [(low[a:b], n[a:b] > 1) for a, b in ranges]
-            rows.append((t, [x[~m].tobytes() for x, m in found], [x[m].tobytes() for x, m in found]))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), _BLOBS, _BLOBS), strict=True)], ["task", "once", "more"])
+            rows.append((t, [x[~m].tobytes() for x, m in found], [x[m].tobytes() for x, m in found], [many[a:b][m].tobytes() for (a, b), (_, m) in zip(ranges, found, strict=True)]))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), _BLOBS, _BLOBS, _BLOBS), strict=True)], ["task", "once", "more", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -241,12 +271,14 @@ def _tally(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for t, rows in _task_rows(batches):
             for sub in range(plan.subs):
                 once, more = ([np.frombuffer(r[c][sub], np.uint32) for r in rows] for c in ("once", "more"))
-                low, tasks = np.unique(np.concatenate(once + more), return_counts=True)
-                shared = (tasks > 1) | np.isin(low, np.concatenate(more))
-                hot = low[tasks >= plan.hot_tasks]
+                many = [np.ones(sum(map(len, once)), np.int64), *(np.frombuffer(r["many"][sub], np.uint16) for r in rows)]
+                low, at, tasks = np.unique(np.concatenate(once + more), return_inverse=True, return_counts=True)
+                n = np.bincount(at, np.concatenate(many), len(low))  # strings of a minimiser
+                shared = n > 1
+                hot = low[(tasks >= plan.hot_tasks) & (n >= plan.hot_strings)]
                 if shared.any():
-                    row = {"bucket": t * plan.subs + sub, "shared": _fill(low[shared], plan.block), "hot": _fill(hot, max(64, plan.block // 8)) if len(hot) else b""}
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]))
+                    row = {"bucket": t * plan.subs + sub, "shared": _fill(low[shared], plan.block), "hot": _fill(hot, max(64, plan.block // 8)) if len(hot) else b"", "strings": int(n[shared].sum())}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary()), ("strings", pa.int64())]))
 
     return run
 
@@ -302,7 +334,13 @@ def _span_batch(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.nda
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, tag, start, end)], ["doc", "tag", "start", "end"])
 
 
-def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _route(plan: Plan, shared: Any, nth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    lo, hi = plan.turn(nth)
+
+    def now(key: np.ndarray) -> np.ndarray:
+        bucket = _bucket_of(plan, key)
+        return (bucket >= lo * plan.subs) & (bucket < hi * plan.subs)
+
     def hand_over(pack: _Pack) -> Iterator[pa.RecordBatch]:
         length, digest, key, doc, tag, start, runs = (np.concatenate(c) for c in zip(*pack.cols, strict=True))
         text = np.concatenate(pack.text)
@@ -329,7 +367,7 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             spans = _span_batch(rows[n, 0], rows[n, 1], s, e)
             # settled: any task can pass them on; by a hash, as ids may ascend in steps or repeat
             name = V.mix(rows[n, 0].astype(U64) + rows[n, 1].astype(U64))
-            to = pa.array((name % U64(plan.tasks)).astype(np.int32))
+            to = pa.array((name % U64(hi - lo)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([to, pa.nulls(len(n), _BLOBS), *spans.columns], ["task", "blobs", *spans.schema.names])
         order, lead = order[asks], lead[asks]
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -352,7 +390,7 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             return np.array([len(firsts), len(rows), len(packed)], np.int64).tobytes() + packed + zip_.compress(body.tobytes())
 
         if len(order):
-            tasks, blobs = zip(*((t, [blob(a, b) for a, b in ranges]) for t, ranges in _by_task(plan, key[order])), strict=True)  # order ascends by key
+            tasks, blobs = zip(*((t - lo, [blob(a, b) for a, b in ranges]) for t, ranges in _by_task(plan, key[order])), strict=True)  # order ascends by key
             none = pa.nulls(len(tasks), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(blobs, _BLOBS), none, none, none, none], ["task", "blobs", "doc", "tag", "start", "end"])
 
@@ -364,11 +402,12 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for a, b in V.slices(off):
                 sym = Symbols(plan, text[off[a] : off[b]], off[a : b + 1] - off[a])
                 key, doc, start, length = _runs(plan, sym)
-                ok = known.is_shared(key)
-                key, doc, start, length = key[ok], doc[ok], start[ok], length[ok]
+                hot = known.is_hot(key) if plan.reach is None else np.zeros(len(key), bool)
+                ok = now(key) | hot  # a hot one's windows have rounds of their own
+                ok[ok] = known.is_shared(key[ok])
+                key, doc, start, length, hot = key[ok], doc[ok], start[ok], length[ok], hot[ok]
                 if not len(key):
                     continue
-                hot = known.is_hot(key) if plan.reach is None else np.zeros(len(key), bool)
                 step = np.where(hot, 1, MAX_RUN)
                 pieces = -(-length // step)
                 if (pieces > 1).any() or hot.any():
@@ -384,6 +423,10 @@ def _route(plan: Plan, shared: Any) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     source = np.insert(source, sym.first[:-1], NO_BYTE)
                 if hot.any():
                     key = np.where(hot, V.mix(V.span_hashes(sym.text, bs, be) + U64(5)), key)
+                    ok = now(key)
+                    bs, be, key, doc, start, length = bs[ok], be[ok], key[ok], doc[ok], start[ok], length[ok]
+                    if not len(key):
+                        continue
                 pack.add(source, bs, be, key, ids[a + doc], tags[a + doc], start - sym.first[doc], length)
                 if pack.size > plan.flush:
                     yield from hand_over(pack)
@@ -455,17 +498,17 @@ def _solve(plan: Plan, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], I
             last = np.append(first[1:], len(row)) - 1
             yield _span_batch(d[row[first]], t[row[first]], s[row[first]] + nth[first], s[row[first]] + nth[last] + plan.k)
 
-    return _each_bucket(plan, bucket)
+    return _each_bucket(bucket)
 
 
-def _each_bucket(plan: Plan, bucket: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _each_bucket(bucket: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs ``bucket`` on each bucket of the routed rows; spans that are settled pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def solved() -> Iterator[pa.RecordBatch]:
-            for sub in range(plan.subs):
+            for sub in range(len(held[0]) if held else 0):
                 blobs = [x for x in (row[sub].as_py() for row in held) if x is not None]
                 if blobs:
                     yield from bucket(blobs)
@@ -520,23 +563,34 @@ def unzipped(column: pa.Array) -> list[bytes | None]:
 
 
 def solved_by(df: DataFrame, plan: Plan, solve: Any, schema: str) -> DataFrame:
-    """Census and routing of ``df``, and what ``solve`` makes of the reduce tasks' rows."""
+    """Census and routing of ``df``, and what ``solve`` makes of the reduce tasks' rows: it is
+    stored, so that no shuffle of one round is there in the next, or when texts are joined."""
     spark = df.sparkSession
     ship(spark)
     slim = df.select(KEY, TAG, text_of().alias("text"))
-    # A partition for each reduce task: hashed, up to seven of 4096 would share one and a third be idle.
-    parts = max(shuffle_partitions(spark), plan.tasks)
-    counted = slim.select("text").mapInArrow(_census(plan), "task int, once array<binary>, more array<binary>")
-    blocks = counted.repartitionById(parts, F.col("task")).sortWithinPartitions("task").mapInArrow(_tally(plan), "bucket int, shared binary, hot binary")
+    counted = slim.select("text").mapInArrow(_census(plan), "task int, once array<binary>, more array<binary>, many array<binary>")
+    blocks = counted.repartitionById(max(shuffle_partitions(spark), plan.tasks), F.col("task")).sortWithinPartitions("task")
+    blocks = staged(blocks.mapInArrow(_tally(plan), "bucket int, shared binary, hot binary, strings long"))
     # One block of fixed size for each bucket, MAX_BITS in all and as much again / 8 for hot ones.
-    known = spark.sparkContext.broadcast(Filter(plan, [(r["bucket"], bytes(r["shared"]), bytes(r["hot"])) for r in blocks.toLocalIterator()]))
-    return routed(slim, plan, known).repartitionById(parts, F.col("task")).sortWithinPartitions("task").mapInArrow(solve, schema)
+    known = spark.sparkContext.broadcast(Filter(plan, [(r["bucket"], bytes(r["shared"]), bytes(r["hot"])) for r in blocks.drop("strings").toLocalIterator()]))
+    plan = plan.in_rounds(blocks.agg(F.sum("strings")).first()[0] or 0)
+    drop(blocks)
+
+    def done(nth: int) -> DataFrame:
+        lo, hi = plan.turn(nth)
+        # A partition for each reduce task: hashed, up to seven of 4096 would share one and a third be idle.
+        parts = max(shuffle_partitions(spark), hi - lo)
+        return staged(routed(slim, plan, known, nth).repartitionById(parts, F.col("task")).sortWithinPartitions("task").mapInArrow(solve, schema))
+
+    found = [done(nth) for nth in range(plan.rounds)]
+    known.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def all_occurrences(df: DataFrame, plan: Plan, solver: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What ``solver`` makes of each bucket's strings with ``plan.reach`` bytes of context and all
     their occurrences: it gets what :func:`unpacked` returns."""
-    return solved_by(df, plan, _each_bucket(plan, lambda blobs: solver(*unpacked(blobs))), schema)
+    return solved_by(df, plan, _each_bucket(lambda blobs: solver(*unpacked(blobs))), schema)
 
 
 def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
@@ -548,10 +602,10 @@ def removable(df: DataFrame, plan: Plan, solver: Solver) -> DataFrame:
     return found.groupBy(F.col("doc").alias(KEY), F.col("tag").alias(TAG)).agg(F.collect_set(packed).alias(SPANS))
 
 
-def routed(slim: DataFrame, plan: Plan, known: Any) -> DataFrame:
-    """Rows for the reduce tasks: the packed strings of a task's buckets that were gathered by a
-    map task, or spans that are settled already."""
-    return slim.mapInArrow(_route(plan, known), _ROUTED)
+def routed(slim: DataFrame, plan: Plan, known: Any, nth: int = 0) -> DataFrame:
+    """Rows for the reduce tasks of a round, numbered from 0: the packed strings of a task's buckets
+    that were gathered by a map task, or spans that are settled already."""
+    return slim.mapInArrow(_route(plan, known, nth), _ROUTED)
 
 
 def merged(packed: list[int] | np.ndarray | None) -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _segments as S
 from . import _vec as V
-from ._common import LAST_ID, documents, staged, text_of
+from ._common import LAST_ID, documents, text_of
 from ._extend import extended
 
 U64 = np.uint64
@@ -204,7 +204,7 @@ def repeat_groups(docs: DataFrame, k: int = K, m: int = M, reach: int = REACH, *
     occurrence, however long it is: the buckets' arrays see ``k + reach`` bytes, and what is
     longer is followed from there (see ``_extend``)."""
     keyed = S.with_keys(docs)
-    found = staged(S.all_occurrences(keyed, S.plan_for(docs, "bytes", k, m, reach=reach, **plan), _grouped(k, reach), GROUPS))
+    found = S.all_occurrences(keyed, S.plan_for(docs, "bytes", k, m, reach=reach, **plan), _grouped(k, reach), GROUPS)
     texts = keyed.select(F.col(S.KEY).alias("doc"), F.col(S.TAG).alias("tag"), F.encode(text_of(), "UTF-8").alias("text"))
     longer = extended(found.where("cut").drop("cut"), texts, maximal_repeats)
     every = found.where("not cut").select("group", F.col("length").cast("long").alias("length"), "doc", "tag", "start").union(longer)

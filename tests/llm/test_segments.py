@@ -1,6 +1,7 @@
 """Both substring operators against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -272,3 +273,65 @@ def test_routed_strings_take_few_bytes(spark):
     assert all(text[d][s : s + len(strings[o])] == strings[o] for o, d, s in found)
     assert sum(runs[o] for o, _, _ in found) == sum(len(t) - 49 for t in text.values())
     assert sum(map(len, blobs)) < 52 * len(found)  # 56.8 with whole keys and tags in one block with the text
+
+
+@pytest.mark.parametrize("plan", [{}, {"hot_tasks": 1}, {"buckets": 16, "tasks": 2, "hot_tasks": 3}])
+@pytest.mark.parametrize("module", [suffix_repeats, superkmer_dedup])
+def test_rounds_change_nothing(spark, module, plan):
+    df = spark.createDataFrame(corpus(6), "doc_id long, text string").repartition(5)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    once, often = (sorted((tuple(r) for r in module.removal_report(df, rounds=n, **plan).collect()), key=key) for n in (1, 5))
+    assert once == often
+
+
+def test_rounds_follow_the_strings():
+    from lodestack.llm import _segments as S
+
+    plan = S.Plan("bytes", 50, 16, 4096, 1024, 1 << 20, total=6 << 30)
+    assert plan.in_rounds(0).rounds == plan.in_rounds(1000).rounds == 1
+    much = plan.in_rounds(300_000_000)
+    assert 4 <= much.rounds <= 8 and much.tasks == 4096
+    turns = [much.turn(n) for n in range(much.rounds)]
+    assert [a for a, _ in turns] == [0, *(b for _, b in turns[:-1])] and turns[-1][1] == much.tasks
+    assert max(b - a for a, b in turns) <= min(b - a for a, b in turns) + 1
+
+
+def test_a_minimiser_in_many_tasks_is_split_only_where_it_fills_a_bucket(spark):
+    """A phrase in one text of each of 80 tasks, each time between other words: 80 strings or so for
+    each minimiser, which no bucket has trouble with."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestack.llm import _segments as S
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    phrase = text(30)
+    df = S.with_keys(spark.createDataFrame([(i, phrase.join(text(200) for _ in range(100))) for i in range(80)], "doc_id long, text string").repartitionByRange(80, "doc_id"))
+    assert df.rdd.getNumPartitions() == 80
+
+    def strings(batches):
+        n = [int(np.frombuffer(b, np.int64, 1)[0]) for rb in batches for row in rb.column("blobs").to_pylist() for b in row or () if b]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64())], ["n"])
+
+    found = S.solved_by(df, S.plan_for(df, "bytes", 50, 16), strings, "n long").agg({"n": "sum"}).first()[0]
+    assert 80 * 99 < found < 80 * 99 * 8  # about 4 strings each; 35 windows when split
+
+
+def test_shuffles_go_when_their_round_is_done(spark):
+    import time
+
+    def left():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if "shuffle_" in files.apply(i).getName()}
+
+    df = spark.createDataFrame(corpus(7, 1000), "doc_id long, text string").repartition(5).localCheckpoint()
+    before = left()
+    report = suffix_repeats.removal_report(df, rounds=3)
+    for _ in range(50):
+        if not (more := left() - before):
+            break
+        time.sleep(0.2)
+    size = sum(os.path.getsize(f) for f in more if os.path.exists(f))
+    assert size < 10_000  # sums over the table; the census alone left 61,647 bytes
+    assert report.count() == df.count()
