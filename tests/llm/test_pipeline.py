@@ -183,3 +183,29 @@ def test_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{at}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_stage_that_cuts_repeats_leaves_no_shuffle(spark):
+    """What it shuffles to find repeats is gone before the texts are joined."""
+    import os
+    import time
+
+    def left():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if "shuffle_" in files.apply(i).getName()}
+
+    rng = random.Random(22)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(400)
+    docs = spark.createDataFrame([(i, text(2000) + passage * (i % 2)) for i in range(100)], "doc_id long, text string").repartition(5).localCheckpoint()
+    before = left()
+    cut = C.cut_repeats(spark, docs, "")
+    for _ in range(50):
+        if not (more := left() - before):
+            break
+        time.sleep(0.2)
+    assert sum(os.path.getsize(f) for f in more if os.path.exists(f)) < 10_000  # sums over the table
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert len(got) == 100 and got[1] == rows[1]
+    assert all(abs(len(got[i]) - 2000) < 10 for i in range(3, 100, 2))
